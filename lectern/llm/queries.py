@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, licenses, mixing, simhash
+from . import byte_bpe, licenses, mixing, simhash, syncmers
 from .common import table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -33,6 +33,10 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op5_closed_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syncmers.edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licenses.scan(table(spark, sf_dir, "documents"))
     return found.select(
@@ -48,4 +52,4 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode(docs, vocabulary_path(), vocabulary_pattern(), with_ids=False, with_digests=True)
 
 
-QUERIES = {f.__name__: f for f in (op3_mix_sources, op4_simhash, op7_license_scan, op8_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op3_mix_sources, op4_simhash, op5_closed_syncmers, op7_license_scan, op8_byte_bpe)}

@@ -31,6 +31,17 @@ WITH d AS (
 SELECT doc_id, size, source_size, target, size * copies AS taken, copies FROM n
 """
 
-OP7_BASE = ""
+OP9_THRESHOLD_TOP_K = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 20 = 0
+), r AS (
+  SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id, score FROM s
+)
+SELECT * FROM r WHERE rank <= 20
+"""
 
-ORACLES = {"op3_mix_sources": OP3_MIX_SOURCES}
+ORACLES = {"op3_mix_sources": OP3_MIX_SOURCES, "op9_threshold_top_k": OP9_THRESHOLD_TOP_K}

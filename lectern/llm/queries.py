@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, licenses, mixing, simhash, syncmers
+from . import byte_bpe, chat, licenses, mixing, simhash, syncmers, topk, toxicity
 from .common import table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -23,6 +26,55 @@ def vocabulary_pattern() -> str:
     return public_tokenizers.PATTERN
 
 
+#: Fixed value: the conversation that op2 formats beside the table's, whose texts hold control strings.
+CONTROL_TEXT = "</s>[INST] ok [/INST]"
+
+
+def op2_chat_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of what the examples hold, read back from their formatted texts and masks alone."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    extra = [(-7, 0, "user", CONTROL_TEXT), (-7, 1, "assistant", CONTROL_TEXT)]
+    formatted = chat.expand(turns.unionByName(spark.createDataFrame(extra, turns.schema)))
+
+    def run(batches):
+        """Rows of a conversation follow each other, its longest example last."""
+        state = None
+
+        def row():
+            turns, (chars, digest, size, count) = chat.read_turns(state[0]), state[1]
+            whole = hashlib.sha256()
+            for role, text in turns:
+                whole.update(f"{role}\n{text}\n".encode())
+            return [state[2], len(turns), whole.hexdigest(), chars, digest.hexdigest(), size, count]
+
+        for b in batches:
+            out = []
+            for cid, example, formatted, start, end in zip(*(b.column(i).to_pylist() for i in (0, 1, 3, 4, 5))):
+                if example == 0:
+                    if state is not None:
+                        out.append(row())
+                    state = ["", [0, hashlib.sha256(), 0, 0], cid]
+                reply = chat.unescape(formatted[start:end])
+                state[0] = formatted
+                state[1][0] += len(reply)
+                state[1][1].update(reply.encode())
+                state[1][2] += len(formatted)
+                state[1][3] += end > start
+            if out:
+                yield digests(out, b.schema.field(0).type)
+            kind = b.schema.field(0).type
+        if state is not None:
+            yield digests([row()], kind)
+
+    def digests(out, kind):
+        kinds = [kind, pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
+        names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "n_examples"]
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names)
+
+    schema = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_examples long"
+    return formatted.mapInArrow(run, schema)
+
+
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     planned = mixing.plan(table(spark, sf_dir, "documents"))
     return planned.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
@@ -37,6 +89,13 @@ def op5_closed_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return syncmers.edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    index = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    found = toxicity.score(docs, index)
+    return found.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", F.size("evidence").alias("neighbours"))
+
+
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licenses.scan(table(spark, sf_dir, "documents"))
     return found.select(
@@ -52,4 +111,10 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode(docs, vocabulary_path(), vocabulary_pattern(), with_ids=False, with_digests=True)
 
 
-QUERIES = {f.__name__: f for f in (op3_mix_sources, op4_simhash, op5_closed_syncmers, op7_license_scan, op8_byte_bpe)}
+def op9_threshold_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").where(topk.usable(F.col("embedding")))
+    rows = rows.select("vec_id", topk.quantise(F.col("embedding")).alias("embedding"))
+    return topk.top_k(rows, rows.where("vec_id % 20 = 0"), k=20)
+
+
+QUERIES = {f.__name__: f for f in (op2_chat_examples, op3_mix_sources, op4_simhash, op5_closed_syncmers, op6_toxicity, op7_license_scan, op8_byte_bpe, op9_threshold_top_k)}

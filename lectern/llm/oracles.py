@@ -44,4 +44,44 @@ WITH v AS (
 SELECT * FROM r WHERE rank <= 20
 """
 
-ORACLES = {"op3_mix_sources": OP3_MIX_SOURCES, "op9_threshold_top_k": OP9_THRESHOLD_TOP_K}
+OP10_WARC_FIXITY = r"""
+WITH p AS (
+  SELECT coalesce(floor(page_id / 512.0), -1)::BIGINT AS file, page_id, coalesce(url, '') AS url, html FROM pages
+), q AS (
+  SELECT file, page_id, url, CASE WHEN page_id % 97 = 5 THEN '#' || substr(html, 2) WHEN page_id % 101 = 7 THEN html || '#' ELSE html END AS html
+  FROM p WHERE page_id % 1009 <> 11 OR page_id IS NULL
+), sides AS (
+  SELECT 1 AS side, * FROM p UNION ALL SELECT 2, * FROM q
+), r AS (
+  SELECT side, file, page_id, E'WARC/1.1\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:record:' || coalesce(page_id::VARCHAR, '')
+    || E'>\r\nWARC-Target-URI: ' || url || E'\r\nWARC-Date: 2024-01-01T00:00:00Z\r\nContent-Type: text/html\r\nContent-Length: '
+    || octet_length(encode(coalesce(html, ''))) || E'\r\n\r\n' || coalesce(html, '') || E'\r\n\r\n' AS content
+  FROM sides
+), d AS (
+  SELECT side, file, page_id, octet_length(encode(content))::BIGINT AS size, sha256(content) AS digest FROM r
+), o AS (
+  SELECT *, row_number() OVER (PARTITION BY side, file, page_id ORDER BY digest)::INTEGER AS copy,
+    coalesce(sum(size) OVER (PARTITION BY side, file ORDER BY page_id NULLS FIRST, digest ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
+  FROM d
+), a AS (SELECT * FROM o WHERE side = 1), b AS (SELECT * FROM o WHERE side = 2), leaf AS (
+  SELECT side, file, start // 65536 AS leaf, string_agg(start || ':' || size || ':' || digest, ';' ORDER BY start, size, digest) AS sums
+  FROM o GROUP BY ALL
+), bad AS (
+  SELECT coalesce(x.file, y.file) AS file, coalesce(x.leaf, y.leaf) AS leaf
+  FROM (SELECT * FROM leaf WHERE side = 1) x FULL JOIN (SELECT * FROM leaf WHERE side = 2) y ON x.file = y.file AND x.leaf = y.leaf
+  WHERE x.sums IS DISTINCT FROM y.sums
+), j AS (
+  SELECT coalesce(a.file, b.file) AS file, coalesce(a.page_id, b.page_id) AS page_id, coalesce(a.copy, b.copy) AS copy,
+    coalesce(a.start, b.start) AS start, coalesce(a.size, b.size) AS size, a.digest, b.digest AS replica_digest, a.start AS s1, b.start AS s2
+  FROM a FULL JOIN b ON a.file = b.file AND a.page_id IS NOT DISTINCT FROM b.page_id AND a.copy = b.copy
+), k AS (
+  SELECT *, EXISTS (SELECT 1 FROM bad WHERE bad.file = j.file AND bad.leaf = j.s1 // 65536)
+    OR EXISTS (SELECT 1 FROM bad WHERE bad.file = j.file AND bad.leaf = j.s2 // 65536) AS checked FROM j
+)
+SELECT file, page_id, copy, start, size, digest, replica_digest, start // 65536 AS leaf, checked,
+  CASE WHEN NOT checked THEN 'ok' WHEN replica_digest IS NULL THEN 'missing' WHEN digest IS NULL THEN 'extra'
+    WHEN digest <> replica_digest THEN 'corrupt' WHEN s1 <> s2 THEN 'moved' ELSE 'ok' END AS status
+FROM k
+"""
+
+ORACLES = {"op3_mix_sources": OP3_MIX_SOURCES, "op9_threshold_top_k": OP9_THRESHOLD_TOP_K, "op10_warc_fixity": OP10_WARC_FIXITY}

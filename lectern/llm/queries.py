@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat, licenses, mixing, simhash, syncmers, topk, toxicity
+from . import byte_bpe, chat, licenses, mixing, simhash, syncmers, topk, toxicity, url_filter, warc
 from .common import table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -26,6 +26,10 @@ def vocabulary_pattern() -> str:
     return public_tokenizers.PATTERN
 
 
+def op1_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages").select("page_id", "url"))
+
+
 #: Fixed value: the conversation that op2 formats beside the table's, whose texts hold control strings.
 CONTROL_TEXT = "</s>[INST] ok [/INST]"
 
@@ -117,4 +121,17 @@ def op9_threshold_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(rows, rows.where("vec_id % 20 = 0"), k=20)
 
 
-QUERIES = {f.__name__: f for f in (op2_chat_examples, op3_mix_sources, op4_simhash, op5_closed_syncmers, op6_toxicity, op7_license_scan, op8_byte_bpe, op9_threshold_top_k)}
+def op10_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages as an archive against a replica with known damage: every 97th record has one byte
+    changed, every 101st another payload length, every 1009th is lost."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    html = F.col("html")
+    damaged = F.when(F.col("page_id") % 97 == 5, F.concat(F.lit("#"), F.substring(html, F.lit(2), F.length(html)))).when(
+        F.col("page_id") % 101 == 7, F.concat(html, F.lit("#"))
+    ).otherwise(html)
+    replica = pages.where((F.col("page_id") % 1009 != 11) | F.col("page_id").isNull()).withColumn("html", damaged)
+    found = warc.audit(warc.archive(pages), warc.archive(replica))
+    return found.withColumnRenamed("record_id", "page_id")
+
+
+QUERIES = {f.__name__: f for f in (op1_url_templates, op2_chat_examples, op3_mix_sources, op4_simhash, op5_closed_syncmers, op6_toxicity, op7_license_scan, op8_byte_bpe, op9_threshold_top_k, op10_warc_fixity)}

@@ -31,6 +31,23 @@ WITH d AS (
 SELECT doc_id, size, source_size, target, size * copies AS taken, copies FROM n
 """
 
+OP2_CHAT_EXAMPLES = r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+), e AS (
+  SELECT *, length('<s>[INST]</s>') + length(regexp_replace(regexp_replace(role, CTRL, '\1\\\2\3', 'g'), INST, '\1\\\2\3', 'g'))
+    + length(regexp_replace(regexp_replace(text, CTRL, '\1\\\2\3', 'g'), INST, '\1\\\2\3', 'g')) AS size,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS n, count(*) OVER (PARTITION BY conv_id) AS turns FROM c
+), f AS (
+  SELECT *, sum(size) OVER (PARTITION BY conv_id ORDER BY n) AS so_far, role = 'assistant' AS trained FROM e
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY n)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (trained), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY n) FILTER (trained), '')) AS loss_sha256,
+  sum(so_far) FILTER (trained OR n = turns)::BIGINT AS formatted_chars, count(*) FILTER (trained AND text <> '') AS n_examples
+FROM f GROUP BY conv_id
+""".replace("CTRL", r"'(<)(\\*)(s>|/s>|<SYS>>|</SYS>>|\|im_start\|>|\|im_end\|>|\|endoftext\|>)'").replace("INST, ", r"'(\[)(\\*)(INST\]|/INST\])', ")
+
 OP9_THRESHOLD_TOP_K = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v FROM embeddings
@@ -84,4 +101,4 @@ SELECT file, page_id, copy, start, size, digest, replica_digest, start // 65536
 FROM k
 """
 
-ORACLES = {"op3_mix_sources": OP3_MIX_SOURCES, "op9_threshold_top_k": OP9_THRESHOLD_TOP_K, "op10_warc_fixity": OP10_WARC_FIXITY}
+ORACLES = {"op2_chat_examples": OP2_CHAT_EXAMPLES, "op3_mix_sources": OP3_MIX_SOURCES, "op9_threshold_top_k": OP9_THRESHOLD_TOP_K, "op10_warc_fixity": OP10_WARC_FIXITY}

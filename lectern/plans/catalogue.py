@@ -619,3 +619,20 @@ def people_shown(spark, sf_dir):
 @query(f"WITH {TEXT_SQL} SELECT id, venue || CASE WHEN type = 'article' AND volume IS NOT NULL THEN ' ' || volume ELSE '' END || coalesce(' ' || year, '') || CASE WHEN type = 'proceedings' THEN ' · ' || series || ' ' || coalesce(volume, '') ELSE '' END || ': ' || pages AS venue FROM pubs")
 def venue_shown(spark, sf_dir):
     return text_records(spark, sf_dir).select("id", document.venue_shown().alias("venue"))
+
+
+# ---------------------------------------------------------------- incremental ingest
+
+
+@query("SELECT user_id, max(ts) AS ts, arg_max(event_type, (ts, event_type)) AS event_type FROM events WHERE user_id IS NOT NULL GROUP BY user_id")
+def latest_version_per_key(spark, sf_dir):
+    from ..streaming.ingest import latest_versions
+
+    return latest_versions(table(spark, sf_dir, "events"), "user_id", "ts", "event_type")
+
+
+@query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
+def windowed_event_counts(spark, sf_dir):
+    from ..streaming.ingest import windowed_counts
+
+    return windowed_counts(table(spark, sf_dir, "events"), "ts", "event_type")

@@ -636,3 +636,68 @@ def windowed_event_counts(spark, sf_dir):
     from ..streaming.ingest import windowed_counts
 
     return windowed_counts(table(spark, sf_dir, "events"), "ts", "event_type")
+
+
+# ---------------------------------------------------------------- more of linkage, comparison and display
+
+
+@query(rf"""
+WITH {TEXT_SQL}, w AS (SELECT p_partkey AS entry, list_distinct(regexp_extract_all(lower(p_name), '[a-z]+')) AS words FROM part),
+b AS (SELECT item_id AS entry, list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z]+'), lambda x: length(x) > 2)[1:3]) AS words FROM benchmark),
+t AS (SELECT id, list_distinct(regexp_extract_all(lower(strip_accents(title)), '[\p{{L}}\p{{N}}\p{{Co}}]+')) AS words FROM pubs)
+SELECT b.entry, t.id FROM b JOIN t ON list_has_all(t.words, b.words) WHERE len(b.words) > 0
+""")
+def title_candidates(spark, sf_dir):
+    """Records whose title has the first three longer words of a benchmark item; all of them, without a cap."""
+    pubs = text_records(spark, sf_dir)
+    words = F.filter(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), F.lit(1)), lambda x: F.length(x) > 2)
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("entry"), F.array_distinct(F.slice(words, 1, 3)).alias("words"))
+    return search.title_candidates(pubs, search.build_index(pubs), asked.where(F.size("words") > 0), most=None)
+
+
+@query()
+def similar_titles(spark, sf_dir):
+    """How alike the names of the parts of one brand and size are to the first of them (matching blocks)."""
+    from ..functions.text import similarity_udf
+
+    parts = table(spark, sf_dir, "part")
+    first = parts.groupBy("p_brand", "p_size").agg(F.min_by("p_name", "p_partkey").alias("first"))
+    return parts.join(first, ["p_brand", "p_size"]).select("p_partkey", F.round(similarity_udf("p_name", "first"), 6).alias("ratio"))
+
+
+@query()
+def word_diffs(spark, sf_dir):
+    """Words of each turn that the turn before it does not have in order, as a count of changed pieces on either side."""
+    from ..functions.text import arrow, word_diff
+
+    def changed(before, after):
+        left, right = word_diff(before, after)
+        return [sum(new for _, new in left), sum(new for _, new in right)]
+
+    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    turns = table(spark, sf_dir, "conversations").withColumn("before", F.lag("text").over(order))
+    return turns.select("conv_id", "turn", arrow(changed, "array<int>")("before", "text").alias("changed"))
+
+
+@query(f"WITH {TEXT_SQL} SELECT id, 'Writer ' || (id % 37) || '; Helper ' || (id % 11) || ': Paper ' || id || ' ' || venue || coalesce(' ' || year, ' ') AS line FROM pubs")
+def item_lines(spark, sf_dir):
+    rows = text_records(spark, sf_dir)
+    who = F.array_join("authors", " and ")
+    title = F.concat(F.lit("{Paper} "), F.col("id").cast("string"))
+    line = document.item_line_udf(who, title, F.col("venue"), F.col("year").cast("string"))
+    return rows.select("id", F.when(F.col("year").isNull(), F.concat(line, F.lit(" "))).otherwise(line).alias("line"))
+
+
+@query()
+def option_preview(spark, sf_dir):
+    """What the options change: every record rendered as the source has it and with defaults, compared field by field."""
+    pubs = text_records(spark, sf_dir).withColumn("title", F.col("key"))
+    none = F.lit(None).cast("string")
+    items = pubs.select(F.col("id").alias("doc"), F.lit(0).alias("pos"), F.lit("record").alias("kind"), F.col("key").alias("record"), none.alias("key"), none.alias("raw"), none.alias("match"), none.alias("orig"))
+    plain = transform.Options.of(series_abbrev=False, booktitle="keep", full_years=False, url_doi="keep", drop_source_meta=False, latex=False, protect_caps=False)
+
+    def fields(options):
+        made = document.render(pubs, items, options)
+        return made.select(F.col("doc").alias("entry"), F.posexplode("fields").alias("pos", "f")).select("entry", "pos", F.col("f.name").alias("name"), F.col("f.value").alias("value"))
+
+    return document.field_diff(fields(plain), fields(transform.Options())).where("changed")

@@ -248,7 +248,10 @@ def deduplicate(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **o
     classes = near_duplicates(docs, text, doc_id, **options)
     keep = cut(classes.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count("*").alias("rows_of_id")))
     single, several = keep.where("rows_of_id = 1"), keep.where("rows_of_id > 1")
-    stay = docs.join(single.select(F.col("doc_id").alias(doc_id)), doc_id, "left_semi")
-    again = docs.join(several.select(F.col("doc_id").alias("__id")), F.col(doc_id).eqNullSafe(F.col("__id")), "left_semi")
+    # documents meet the ids by a shuffle at every size: ids that stay have no bound for a broadcast
+    stay = docs.join(single.select(F.col("doc_id").alias(doc_id)).hint("merge"), doc_id, "left_semi").select(*docs.columns)
+    if not several.limit(1).count():
+        return stay
+    again = docs.join(several.select(F.col("doc_id").alias("__id")).hint("merge"), F.col(doc_id).eqNullSafe(F.col("__id")), "left_semi")
     one = again.groupBy(F.col(doc_id).alias("__id")).agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("row"))
     return stay.unionByName(one.select("row.*"))

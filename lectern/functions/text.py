@@ -7,7 +7,6 @@ import html
 import re
 import unicodedata
 from collections.abc import Callable
-from functools import cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -44,7 +43,6 @@ def _arity(batch, fn):
 # ---------------------------------------------------------------- folding for search (JVM)
 
 
-@cache
 def _fold_table() -> tuple[str, str]:
     """Characters and what they fold to: Latin letters to their base letter, combining marks to nothing.
 
@@ -60,9 +58,12 @@ def _fold_table() -> tuple[str, str]:
     return "".join(source) + "".join(marks), "".join(target)
 
 
+FOLD_TABLE = _fold_table()
+
+
 def fold(text: Column) -> Column:
     """Lower case without the diacritics of Latin letters."""
-    return F.translate(F.lower(text), *_fold_table())
+    return F.translate(F.lower(text), *FOLD_TABLE)
 
 
 def tokens(text: Column) -> Column:

@@ -9,11 +9,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from ..functions import bibtex
+from ..functions.bibtex import first_entry, fold_space, same_entry, set_key, sniff_key
+from ..functions.bibtex import render as render_entry
 from ..functions.latex import to_display
 from ..functions.text import arrow
-from . import transform
-from .transform import Options
+from .transform import Options, foreign_entry, record_entry, replace, spellings_of, text_of
 
 #: Suffixes of keys that are taken.
 SUFFIXES = "bcdefghijklmnopqrstuvwxyz"
@@ -54,9 +54,9 @@ def unique_keys(items: DataFrame, doc: str = "doc", pos: str = "pos", key: str =
 def _rendered(items: list[dict], o: Options) -> list[dict]:
     """The items of one document, in order, as rows of RENDERED_DDL; rec and xref, alt_rec and alt_xref come with them."""
     taken = {i["key"] for i in items if i["kind"] == "record" and i["key"]}
-    taken |= {k for i in items if i["kind"] == "raw" and (k := bibtex.sniff_key(i["raw"]))}
+    taken |= {k for i in items if i["kind"] == "raw" and (k := sniff_key(i["raw"]))}
     texts = [i["raw"] for i in items if i["kind"] == "raw"] + [i["orig"] for i in items if i["orig"]]
-    spellings = transform.spellings_of(texts) if o.keep_name_spellings else {}
+    spellings = spellings_of(texts) if o.keep_name_spellings else {}
     out = []
     for i in items:
         row = dict.fromkeys(["text", "key", "type", "fields", "subst_text", "alt_text", "alt_key", "same", "error"]) | {k: i[k] for k in ("doc", "pos", "kind")}
@@ -75,29 +75,29 @@ def _listed(fields) -> list[dict]:
 def _record_item(i: dict, o: Options, taken: set, spellings: dict) -> dict:
     if i["rec"] is None:
         return {"text": f"% record {i['record']} not found in the database", "error": "not found"}
-    entry = transform.record_entry(i["rec"], i["xref"], o, i["key"] or None, spellings)
+    entry = record_entry(i["rec"], i["xref"], o, i["key"] or None, spellings)
     if not i["key"]:
-        entry = transform.replace(entry, key=unique_key(entry.key, taken))
+        entry = replace(entry, key=unique_key(entry.key, taken))
     taken.add(entry.key)
-    return {"text": transform.text_of(entry), "key": entry.key, "type": entry.type, "fields": _listed(entry.fields)}
+    return {"text": text_of(entry), "key": entry.key, "type": entry.type, "fields": _listed(entry.fields)}
 
 
 def _raw_item(i: dict, o: Options, taken: set, spellings: dict) -> dict:
-    item = bibtex.first_entry(i["raw"])
+    item = first_entry(i["raw"])
     if item is None:
         return {"text": i["raw"]}
     taken.add(item.key)
     row = {"text": i["raw"], "key": item.key, "type": item.type, "fields": _listed(item.fields)}
-    changed = transform.foreign_entry(item, o)
+    changed = foreign_entry(item, o)
     if list(changed.fields) != item.fields:
-        row["subst_text"] = transform.text_of(changed)
+        row["subst_text"] = text_of(changed)
         row["text"] = row["subst_text"] if o.normalize_foreign else row["text"]
     if o.uniform_layout:
         fields = changed.fields if o.normalize_foreign else item.fields
-        row["text"] = bibtex.render(item.type, item.key, [(n, bibtex.fold_space(n, v)) for n, v in fields], item.exprs)
+        row["text"] = render_entry(item.type, item.key, [(n, fold_space(n, v)) for n, v in fields], item.exprs)
     if i["alt_rec"] is not None:
-        alt = transform.record_entry(i["alt_rec"], i["alt_xref"], o, item.key if o.keep_keys else None, spellings)
-        row |= {"alt_text": transform.text_of(alt), "alt_key": alt.key, "same": bibtex.same_entry(item, (alt.type, alt.key, alt.fields))}
+        alt = record_entry(i["alt_rec"], i["alt_xref"], o, item.key if o.keep_keys else None, spellings)
+        row |= {"alt_text": text_of(alt), "alt_key": alt.key, "same": same_entry(item, (alt.type, alt.key, alt.fields))}
     return row
 
 
@@ -260,7 +260,7 @@ def set_keys(items: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def _set_key(raw, key):
-    return None if raw is None else raw if key is None else bibtex.set_key(raw, key)
+    return None if raw is None else raw if key is None else set_key(raw, key)
 
 
 # ---------------------------------------------------------------- display

@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import bibtex
+from ..functions.bibtex import field_of, first_entry
 from ..functions.names import bib_last_names, overlap_of_names_udf, overlap_udf
 from ..functions.text import arrow, norm_title, norm_title_udf, similarity_udf, strip_latex, title_words
 from .records import informal_strict, summary
@@ -32,10 +32,10 @@ def _doi(value: str) -> str | None:
 
 def entry_facts(raw: str | None) -> dict | None:
     """What the first entry of a text offers for linking; null without an entry."""
-    entry = bibtex.first_entry(raw)
+    entry = first_entry(raw)
     if entry is None:
         return None
-    value = lambda name: bibtex.field_of(entry, name) or ""
+    value = lambda name: field_of(entry, name) or ""
     keys = [entry.key.removeprefix(KEY_PREFIX)] * entry.key.startswith(KEY_PREFIX)
     keys += re.findall(r"dblp\.org/rec/(.+?)(?:\.bib|\.html)?$", value("biburl"))[:1]
     marked = "arxiv" in (value("archiveprefix").lower(), value("eprinttype").lower())

@@ -10,7 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import tokens
+from ..functions.text import FOLD_TABLE, tokens
 from .records import in_categories, in_years
 
 #: Searched fields with their weights, names of fields in queries, ranking constants.
@@ -43,9 +43,7 @@ def search_tokens(text: str) -> tuple[str, ...]:
     """What tokens() makes of a text, on the driver."""
     import regex
 
-    from ..functions.text import _fold_table
-
-    source, target = _fold_table()
+    source, target = FOLD_TABLE
     table = {ord(c): (target[i] if i < len(target) else None) for i, c in enumerate(source)}
     return tuple(regex.findall(r"[\p{L}\p{N}\p{Co}]+", text.lower().translate(table)))
 

@@ -10,10 +10,14 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..functions.latex import to_latex_udf, to_unicode_udf
 from ..functions.names import abbreviate_udf, fold_name_udf, last_name_udf, overlap_of_names_udf
+from ..functions.text import arrow, norm_title_udf, similarity_udf, word_diff
 from ..functions.titles import clean_booktitle_udf, full_years_udf
 from ..operators import document, link, records, search, transform
 from ..operators.search import B, K1, LEAST_IDF, WEIGHTS
+from ..operators.transform import Entry, Options, apply_rules
 from ..sources import bib
+from ..sources.catalog import duplicate_keys
+from ..streaming.ingest import latest_versions, windowed_counts
 from .carriers import DOC_SQL, STAR_SQL, TEXT_SQL, doc_items, star_records, table, text_records
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -248,7 +252,7 @@ def entity_decode_strip(spark, sf_dir):
 @query()
 def norm_title(spark, sf_dir):
     """Compatibility decomposition is beyond the oracle; tests hold it against the standard library."""
-    return text_records(spark, sf_dir).select("id", tx.norm_title_udf("title").alias("norm"))
+    return text_records(spark, sf_dir).select("id", norm_title_udf("title").alias("norm"))
 
 
 @query(r"SELECT c_custkey, regexp_replace(c_name || ' ' || lpad((c_custkey % 10000)::VARCHAR, 4, '0'), '\s+\d{4}$', '') AS plain FROM customer")
@@ -561,14 +565,12 @@ def render_fields(spark, sf_dir):
 
 @query(rf"WITH {TEXT_SQL} SELECT id, regexp_replace(regexp_replace(pages, ' - ', '-', 'g'), '^0', '') AS pages FROM pubs")
 def custom_rules(spark, sf_dir):
-    from ..functions.text import arrow
-
     return text_records(spark, sf_dir).select("id", arrow(_ruled, "string")("pages").alias("pages"))
 
 
 def _ruled(pages):
-    entry = transform.Entry("misc", "k", (("pages", pages),), plain=False)
-    return transform.apply_rules(entry, transform.Options.of(custom_rules="*: \\s-\\s => -\npages: ^0 => ")).get("pages")
+    entry = Entry("misc", "k", (("pages", pages),), plain=False)
+    return apply_rules(entry, Options.of(custom_rules="*: \\s-\\s => -\npages: ^0 => ")).get("pages")
 
 
 @query()
@@ -599,8 +601,6 @@ def extra_json(spark, sf_dir):
 
 @query("SELECT l_orderkey || '/' || l_linenumber AS key, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1")
 def unique_key_check(spark, sf_dir):
-    from ..sources.catalog import duplicate_keys
-
     return duplicate_keys(table(spark, sf_dir, "lineitem").select(F.concat_ws("/", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("key")))
 
 
@@ -626,15 +626,11 @@ def venue_shown(spark, sf_dir):
 
 @query("SELECT user_id, max(ts) AS ts, arg_max(event_type, (ts, event_type)) AS event_type FROM events WHERE user_id IS NOT NULL GROUP BY user_id")
 def latest_version_per_key(spark, sf_dir):
-    from ..streaming.ingest import latest_versions
-
     return latest_versions(table(spark, sf_dir, "events"), "user_id", "ts", "event_type")
 
 
 @query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
 def windowed_event_counts(spark, sf_dir):
-    from ..streaming.ingest import windowed_counts
-
     return windowed_counts(table(spark, sf_dir, "events"), "ts", "event_type")
 
 
@@ -658,8 +654,6 @@ def title_candidates(spark, sf_dir):
 @query()
 def similar_titles(spark, sf_dir):
     """How alike the names of the parts of one brand and size are to the first of them (matching blocks)."""
-    from ..functions.text import similarity_udf
-
     parts = table(spark, sf_dir, "part")
     first = parts.groupBy("p_brand", "p_size").agg(F.min_by("p_name", "p_partkey").alias("first"))
     return parts.join(first, ["p_brand", "p_size"]).select("p_partkey", F.round(similarity_udf("p_name", "first"), 6).alias("ratio"))
@@ -668,8 +662,6 @@ def similar_titles(spark, sf_dir):
 @query()
 def word_diffs(spark, sf_dir):
     """Words of each turn that the turn before it does not have in order, as a count of changed pieces on either side."""
-    from ..functions.text import arrow, word_diff
-
     def changed(before, after):
         left, right = word_diff(before, after)
         return [sum(new for _, new in left), sum(new for _, new in right)]

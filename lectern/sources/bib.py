@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
 
-from ..functions import bibtex
+from ..functions.bibtex import parse as parse_bib
 
 ITEM_DDL = (
     "pos int, kind string, type string, key string, fields array<struct<name:string,value:string>>, "
@@ -18,7 +18,7 @@ class ParseBib:
     """All items of a text, in order."""
 
     def eval(self, text: str):
-        for pos, i in enumerate(bibtex.parse(text)):
+        for pos, i in enumerate(parse_bib(text)):
             pairs = [[{"name": n, "value": v} for n, v in p] for p in (i.fields, i.exprs.items())]
             yield pos, i.kind, i.type, i.key, *pairs, i.raw, i.error
 

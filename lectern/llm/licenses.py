@@ -167,21 +167,25 @@ class Scanner:
         return {"places": places, "spans": self._chain(found, maximal)}
 
     def _chain(self, found, maximal):
-        open_, done = {}, []
+        open_, done, at_word, least = {}, [], 0, self.least
         for start, length in maximal:
-            for number, at in self.starts.get(tuple(found[start : start + self.least]), ()):
-                template = self.templates[number][0]
-                most = min(length, len(template) - at)
-                k = self.least
-                while k < most and template[at + k] == found[start + k]:
-                    k += 1
-                c = open_.get(number)
-                if c and 0 <= at - c["to"] <= self.gap and 0 <= start - c["end"] <= self.gap:
-                    c["end"], c["to"], c["hit"] = start + k, at + k, c["hit"] + k
-                else:
-                    if c:
-                        done.append(c)
-                    open_[number] = {"number": number, "start": start, "end": start + k, "to": at + k, "hit": k}
+            # each place inside the maximal matches once: shorter matches of other templates begin there too
+            for word in range(max(start, at_word), start + length - least + 1):
+                for number, at in self.starts.get(tuple(found[word : word + least]), ()):
+                    template = self.templates[number][0]
+                    if at and word and template[at - 1] == found[word - 1]:
+                        continue  # goes on from the place before
+                    k = least
+                    while at + k < len(template) and word + k < len(found) and template[at + k] == found[word + k]:
+                        k += 1
+                    c = open_.get(number)
+                    if c and 0 <= at - c["to"] <= self.gap and 0 <= word - c["end"] <= self.gap:
+                        c["end"], c["to"], c["hit"] = word + k, at + k, c["hit"] + k
+                    else:
+                        if c:
+                            done.append(c)
+                        open_[number] = {"number": number, "start": word, "end": word + k, "to": at + k, "hit": k}
+            at_word = max(at_word, start + length - least + 1)
         done += open_.values()
         return sorted((c["start"], c["end"], c["number"], c["hit"] / len(self.templates[c["number"]][0])) for c in done)
 

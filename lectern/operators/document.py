@@ -239,6 +239,22 @@ def use_record(items: DataFrame, keep_keys: bool = True) -> DataFrame:
     )
 
 
+def apply_substitutions(items: DataFrame, rendered: DataFrame) -> DataFrame:
+    """Raw items that substitutions would change, and that no record covers, take the changed text; the old one is kept."""
+    changed = rendered.where("subst_text is not null and alt_text is null").select("doc", "pos", "subst_text")
+    hit = (F.col("kind") == "raw") & F.col("subst_text").isNotNull()
+    return items.join(changed, ["doc", "pos"], "left").withColumn("orig", F.when(hit, F.coalesce("orig", "raw")).otherwise(F.col("orig"))).withColumn(
+        "raw", F.when(hit, F.col("subst_text")).otherwise(F.col("raw"))
+    ).select(items.columns)
+
+
+def upgrade(items: DataFrame, versions: DataFrame) -> DataFrame:
+    """Record items whose record has a published version (record, version: keys) move to the first one by key."""
+    first = versions.groupBy("record").agg(F.min("version").alias("version"))
+    hit = (F.col("kind") == "record") & F.col("version").isNotNull()
+    return items.join(first, "record", "left").withColumn("record", F.when(hit, F.col("version")).otherwise(F.col("record"))).select(items.columns)
+
+
 def revert(items: DataFrame) -> DataFrame:
     """Items that keep an old text become raw items of that text again."""
     hit = F.col("orig").isNotNull()

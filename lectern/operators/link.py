@@ -112,6 +112,16 @@ def published_versions(pubs: DataFrame, index: Index, records: DataFrame, limit:
     return both.select(F.col("entry").alias("id"), F.col("id").alias("version"), "overlap")
 
 
+def upgrades(pubs: DataFrame, index: Index, items: DataFrame, limit: int | None = TITLE_LIMIT) -> DataFrame:
+    """(record, version): keys of the published versions of the records that items of kind record hold."""
+    held = pubs.join(items.where("kind = 'record'").select(F.col("record").alias("key")).distinct(), "key", "left_semi")
+    key = lambda name: pubs.select(F.col("id").alias(f"{name}_id"), F.col("key").alias(name))
+    found = published_versions(pubs, index, held, limit)
+    return found.join(key("record"), F.col("id") == F.col("record_id")).join(key("version_key"), F.col("version") == F.col("version_key_id")).select(
+        "record", F.col("version_key").alias("version")
+    )
+
+
 def _title_tokens(title):
     return sorted({t for w in title_words(title) for t in search_tokens(w)})
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -153,7 +154,9 @@ def toc(pubs: DataFrame, key: str) -> tuple[dict | None, DataFrame]:
 
 
 def author_page(pubs: DataFrame, name: str) -> DataFrame:
-    """A person's records, newest first."""
+    """A person's records, newest first; a name without letters or digits is nobody's."""
+    if not re.search(r"\w", name):
+        return pubs.limit(0)
     return pubs.where(by_person(name)).orderBy(F.desc("year"), F.desc("id"))
 
 

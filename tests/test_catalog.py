@@ -4,9 +4,9 @@ import gzip
 
 import pytest
 
-from lectern.operators import document, records, search
+from lectern.operators import document, link, records, search
 from lectern.operators.transform import Options
-from lectern.sources import bib, catalog, dump
+from lectern.sources import bib, catalog, dump, files
 
 HEAD = '<?xml version="1.0" encoding="ISO-8859-1"?>\n<!DOCTYPE x SYSTEM "x.dtd">\n<x>\n'
 
@@ -200,6 +200,38 @@ def test_spellings_and_foreign_entries(spark, built):
         assert part in r.subst_text
 
 
+def test_transitions(spark, built):
+    preprint = {"kind": "record", "record": "journals/corr/abs-2104-05348"}
+    rows = items(spark, preprint, {"kind": "raw", "raw": "@misc{x, series = {EPiC Series in Computing}}"})
+    versions = link.upgrades(built.pubs, built.index, rows)
+    assert {(r.record, r.version) for r in versions.collect()} == {(preprint["record"], v) for v in ("conf/cade/FurerLST20", "journals/lmcs/FurerLST22")}
+    assert document.upgrade(rows, versions).orderBy("pos").first().record == "conf/cade/FurerLST20"
+    changed = document.apply_substitutions(rows, document.render(built.pubs, rows)).orderBy("pos").collect()[1]
+    assert "series       = {EPiC}" in changed.raw and changed.orig == "@misc{x, series = {EPiC Series in Computing}}"
+    back = document.revert(document.apply_substitutions(rows, document.render(built.pubs, rows))).orderBy("pos").collect()[1]
+    assert back.raw == changed.orig and back.orig is None
+    assert built.author("!").count() == 0
+
+
+def test_files(tmp_path):
+    path = str(tmp_path / "a.bib")
+    files.save_with_backup(path, "one")
+    files.save_with_backup(path, "two")
+    assert open(path).read() == "two" and open(path + ".bak").read() == "one"
+    with pytest.raises(ValueError):
+        files.save_with_backup(str(tmp_path / "a.txt"), "x")
+    state = str(tmp_path / "state.json")
+    assert files.load_state(state) == {}
+    files.save_state(state, {"ü": 1})
+    assert files.load_state(state) == {"ü": 1}
+    assert files.http_seconds("Mon, 01 Jan 2024 00:00:10 GMT") == 1704067210 and files.http_seconds("x") is None
+    source = tmp_path / "source"
+    source.write_bytes(b"abc" * 1000)
+    assert open(files.download(source.as_uri(), str(tmp_path / "got"), chunk=512), "rb").read() == b"abc" * 1000
+    assert files.is_current(5000, 3, {"modified": 2000, "size": 3}) and not files.is_current(5000, 4, {"modified": 2000, "size": 3})
+    assert files.is_current(9000, 4, {"modified": 2000, "size": 3}) and not files.is_current(None, 3, {"modified": 2000, "size": 3})
+
+
 def test_bib_files(spark, tmp_path):
     (tmp_path / "a.bib").write_text("% c\n@misc{k, title = {x}}\n@broken{z, title = {\n@misc{l, note = 1 # a}\n")
     (tmp_path / "a.txt").write_text("@misc{no, title = {x}}")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 import re
+import zlib
 from collections import Counter
 from dataclasses import dataclass, field
 
@@ -12,12 +14,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import small_batches
+from .common import cut, small_batches
 
 #: The classifier's bounds: labelled rows of each class and features it is fitted on.
 EXAMPLES_PER_CLASS, FEATURES = 2000, 1024
 #: Neighbours that vote, examples of an index block, rows in which a feature must stand to be chosen.
 NEIGHBOURS, BLOCK, LEAST_ROWS = 16, 64, 3
+#: Cosines this close count as equal.
+TIE = 1e-9
 #: Words whose features a worker remembers before it starts anew.
 CACHE = 200_000
 
@@ -53,6 +57,25 @@ class Index:
     class_weight: np.ndarray = field(default_factory=lambda: np.ones(2))
     prior: float = 0.0
     knots: tuple[np.ndarray, np.ndarray] | None = None
+    plain: float | None = None
+
+    def judge(self, counts: dict[int, int]) -> tuple[float, np.ndarray, np.ndarray]:
+        """The vote on counted features, and the neighbours that give it.
+
+        Texts that have no chosen feature tie with all examples that have none: their vote is taken once
+        and they have no neighbours. Without examples the vote is 0.
+        """
+        none = (np.zeros(0, np.int64), np.zeros(0))
+        if not self.ids:
+            return 0.0, *none
+        f, w = self.vector(counts)
+        if len(f) and f[0] < len(self.features):
+            places, scores = self.nearest(f, w, NEIGHBOURS)
+            return self.vote(places, scores), places, scores
+        if self.plain is None:
+            rest = len(self.features)
+            self.plain = self.vote(*self.nearest(np.array([rest]), np.ones(1), NEIGHBOURS))
+        return self.plain, *none
 
     def vector(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
         """Features and their normalised TF-IDF weights."""
@@ -61,7 +84,7 @@ class Index:
         return f, w / np.linalg.norm(w) if len(f) else w
 
     def nearest(self, f: np.ndarray, w: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """The k examples of highest cosine above 0, ties to the earlier example, and their cosines.
+        """The examples of the k highest cosines above 0, all that tie with the kth included, and the cosines.
 
         Blocks are taken by falling upper bound, the sum of the query's weights times the block's
         maxima; when a bound is below the kth cosine no later block can add or tie, and the search ends.
@@ -73,7 +96,7 @@ class Index:
         order = order[bounds[order] > 0]
         places, scores, at, step = np.zeros(0, np.int64), np.zeros(0), 0, 2
         while at < len(order):
-            if len(scores) == k and bounds[order[at]] < scores[-1] * (1 - 1e-9):
+            if len(scores) >= k and bounds[order[at]] < scores[k - 1] * (1 - TIE):
                 break
             blocks = order[at : at + step]
             got = np.einsum("f,fbe->be", w, self.weights[self.where[f][:, blocks]])
@@ -81,7 +104,9 @@ class Index:
             s = got.ravel()
             hit = s > 0
             places, scores = np.concatenate((places, p[hit])), np.concatenate((scores, s[hit]))
-            best = np.lexsort((places, -scores))[:k]
+            best = np.argsort(-scores, kind="stable")
+            if len(best) > k:
+                best = best[scores[best] >= scores[best[k - 1]] * (1 - TIE)]
             places, scores = places[best], scores[best]
             at += step
             step = min(8, step * 2)
@@ -102,12 +127,13 @@ def _index(features: list[tuple[str, int]], examples: list[tuple[object, int, di
     out = Index()
     out.features = {name: i for i, (name, _) in enumerate(features)}
     total = len(examples)
-    out.idf = np.array([np.log((1 + total) / (1 + rows)) + 1 for _, rows in features])
+    # the last term stands for all other words, which every text has: it weighs how much of a text is chosen
+    out.idf = np.array([*[np.log((1 + total) / (1 + rows)) + 1 for _, rows in features], 1.0])
     vectors = [(i, y, *out.vector(c)) for i, y, c in examples]
     vectors.sort(key=lambda v: (v[1], int(v[2][np.argmax(v[3])]) if len(v[2]) else -1, str(v[0])))
     out.ids, out.labels = [v[0] for v in vectors], np.array([v[1] for v in vectors], np.int64)
     blocks = -(-total // BLOCK)
-    out.where, rows = np.zeros((len(features), blocks), np.int64), [np.zeros(BLOCK)]
+    out.where, rows = np.zeros((len(features) + 1, blocks), np.int64), [np.zeros(BLOCK)]
     for n, (_, _, f, w) in enumerate(vectors):
         for i, x in zip(f.tolist(), w.tolist()):
             if not out.where[i, n // BLOCK]:
@@ -122,8 +148,11 @@ def _index(features: list[tuple[str, int]], examples: list[tuple[object, int, di
     # each example is scored by the others; the votes' observed toxic rates, made monotone, calibrate
     votes = []
     for n, (_, _, f, w) in enumerate(vectors):
-        places, scores = out.nearest(f, w, NEIGHBOURS + 1)
-        votes.append(out.vote(places[places != n][:NEIGHBOURS], scores[places != n][:NEIGHBOURS]))
+        if len(f) and f[0] < len(features):
+            places, scores = out.nearest(f, w, NEIGHBOURS + 1)
+            votes.append(out.vote(places[places != n], scores[places != n]))
+        else:
+            votes.append(out.judge({})[0])
     out.knots = _isotonic(np.array(votes), out.labels, mass)
     return out
 
@@ -131,8 +160,9 @@ def _index(features: list[tuple[str, int]], examples: list[tuple[object, int, di
 def _isotonic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Knots of the least-squares rising fit of y by x (pool adjacent violators), from (0, 0) to (1, 1)."""
     pools: list[list[float]] = []  # sum of weight, of weight times x, of weight times y
-    for i in np.argsort(x, kind="stable"):
-        pools.append([weight[i], weight[i] * x[i], weight[i] * y[i]])
+    _, same = np.unique(np.round(x, 9), return_inverse=True)  # equal votes are one point
+    for w, wx, wy in zip(*(np.bincount(same, v) for v in (weight, weight * x, weight * y))):
+        pools.append([w, wx, wy])
         while len(pools) > 1 and pools[-2][2] / pools[-2][0] >= pools[-1][2] / pools[-1][0]:
             last = pools.pop()
             pools[-1] = [a + b for a, b in zip(pools[-1], last)]
@@ -152,8 +182,9 @@ def fit(
     """The index of a bounded sample of the labelled rows that are not held out.
 
     Up to per_class rows of each label, least hash of the id first, so any run takes the same ones.
-    Features are chosen by the score of their difference between the classes of that sample; other
-    labels than 0 and 1 and null ids are no examples; a document with both labels counts as toxic.
+    Features are those whose split between the classes of that sample is beyond chance, one by chance
+    among all candidates expected, the clearest first; a feature counts once for each surrounding of its
+    first place in a text, so that copies of a text are no evidence. Other labels than 0 and 1 and null ids are no examples; a document with both labels counts as toxic.
     Without examples the index is empty and every score is 0. The driver gets the sample's counts of
     chosen features, never a text.
     """
@@ -175,25 +206,35 @@ def fit(
 
     def spread(batches):
         for b in batches:
-            y, t = b.column(0).to_pylist(), b.column(1)
-            seen = [Counter(), Counter()]
-            for i in range(len(y)):
-                seen[y[i]].update({f for w in word_counts(t[i].as_py()) for f in features_of(w)})
-            names = list(seen[0].keys() | seen[1].keys())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(names, pa.string()), *[pa.array([s[n] for n in names], pa.int64()) for s in seen]], ["feature", "n0", "n1"]
-            )
+            seen = set()
+            for y, t in zip(b.column(0).to_pylist(), b.column(1)):
+                found = _WORDS.findall((t.as_py() or "").lower())
+                first: dict[str, int] = {}
+                for i, w in enumerate(found):
+                    first.setdefault(w, i)
+                around = {}
+                for w, i in first.items():
+                    place = zlib.crc32("\n".join(found[max(0, i - 2) : i + 3]).encode())
+                    for f in features_of(w):
+                        around.setdefault(f, place)
+                seen.update((f, y, place) for f, place in around.items())
+            rows = list(zip(*seen)) or [(), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.string()), pa.array(rows[1], pa.int32()), pa.array(rows[2], pa.int64())], ["feature", "y", "place"])
 
     size = texts.groupBy("y").agg(F.count("*").alias("n"))
     got = {r["y"]: r["n"] for r in size.collect()}
     n0, n1 = got.get(0, 0), got.get(1, 0)
     if not n0 + n1:
         return Index()
-    seen = texts.select("y", "text").mapInArrow(spread, "feature string, n0 long, n1 long")
-    seen = seen.groupBy("feature").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).where(F.col("n0") + F.col("n1") >= LEAST_ROWS)
-    p = (F.col("n0") + F.col("n1") + 1) / (n0 + n1 + 2)
-    z = (F.col("n1") / max(n1, 1) - F.col("n0") / max(n0, 1)) / F.sqrt(p * (1 - p) * (1 / max(n0, 1) + 1 / max(n1, 1)))
-    best = seen.withColumn("z", F.abs(z)).orderBy(F.desc("z"), "feature").limit(most_features).collect()
+    seen = texts.select("y", "text").mapInArrow(spread, "feature string, y int, place long").distinct()
+    seen = seen.groupBy("feature").agg(F.count_if(F.col("y") == 0).alias("n0"), F.count_if(F.col("y") == 1).alias("n1")).where(F.col("n0") + F.col("n1") >= LEAST_ROWS)
+    seen = cut(seen)
+    # the exponent of the Chernoff bound on so uneven a split of the feature's rows, were it chance
+    base, n = (n1 + 0.5) / (n0 + n1 + 1), F.col("n0") + F.col("n1")
+    part = lambda k, q: F.when(k > 0, k * F.ln(k / n / q)).otherwise(0.0)
+    evidence = part(F.col("n1"), base) + part(F.col("n0"), 1 - base)
+    least = math.log(max(seen.count(), 1))
+    best = seen.withColumn("e", evidence).where(F.col("e") >= least).orderBy(F.desc("e"), "feature").limit(most_features).collect()
     features = [(r["feature"], r["n0"] + r["n1"]) for r in best]
     ids = {name: i for i, (name, _) in enumerate(features)}
 
@@ -209,8 +250,9 @@ def fit(
 
 
 def _chosen(counts: Counter, ids: dict[str, int], cache: dict | None = None) -> Counter:
-    """Counts of the chosen features in counted words."""
+    """Counts of the chosen features in counted words; the number after the last feature counts the other words."""
     out: Counter = Counter()
+    rest = 0
     for word, n in counts.items():
         own = cache.get(word) if cache is not None else None
         if own is None:
@@ -219,21 +261,23 @@ def _chosen(counts: Counter, ids: dict[str, int], cache: dict | None = None) ->
                 if len(cache) > CACHE:
                     cache.clear()
                 cache[word] = own
+        if not own:
+            rest += n
         for i in own:
             out[i] += n
+    if rest:
+        out[len(ids)] = rest
     return out
 
 
 def score(docs: DataFrame, index: Index, text: str = "text", doc_id: str = "doc_id", threshold: float = 0.3, whole_rows: bool = False) -> DataFrame:
     """For every row: doc_id, score in [0, 1], predicted (1 from the threshold on) and evidence.
 
-    evidence lists the nearest examples, nearest first, as (doc_id, similarity, toxic). A text with
-    none of the features, null and empty texts included, has no evidence and the calibrated score of
-    the prior. Repeated rows score alike. With whole_rows a struct named row holds the columns of docs.
+    evidence lists the nearest examples, nearest first, as (doc_id, similarity, toxic); all that tie
+    with the last vote, but are not listed. A text with none of the features, null and empty texts
+    included, has no evidence and the calibrated score of the examples that have none. Repeated rows score alike. With whole_rows a struct named row holds the columns of docs.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
-    shared = spark.sparkContext.broadcast(index)
+    small_batches(docs.sparkSession)
     work = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     if whole_rows:
         work = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"), F.struct(*docs.columns).alias("row"))
@@ -242,14 +286,15 @@ def score(docs: DataFrame, index: Index, text: str = "text", doc_id: str = "doc_
     evidence = pa.list_(pa.struct([("doc_id", pa.string()), ("similarity", pa.float64()), ("toxic", pa.int32())]))
 
     def run(batches):
-        index, cache = shared.value, {}
+        cache = {}
         for b in batches:
             scores, why = [], []
             for t in b.column(1):
                 counts = _chosen(word_counts(t.as_py()), index.features, cache)
-                places, near = index.nearest(*index.vector(counts), NEIGHBOURS)
-                scores.append(index.calibrated(index.vote(places, near)) if len(index.ids) else 0.0)
-                why.append([{"doc_id": str(index.ids[p]), "similarity": s, "toxic": int(index.labels[p])} for p, s in zip(places.tolist(), near.tolist())])
+                vote, places, near = index.judge(counts)
+                scores.append(index.calibrated(vote))
+                best = zip(places[:NEIGHBOURS].tolist(), near[:NEIGHBOURS].tolist())
+                why.append([{"doc_id": str(index.ids[p]), "similarity": s, "toxic": int(index.labels[p])} for p, s in best])
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(scores, pa.float64()), pa.array([int(s >= threshold) for s in scores], pa.int32()), pa.array(why, evidence), *([b.column(2)] if whole_rows else [])],
                 ["doc_id", "score", "predicted", "evidence", *["row"] * whole_rows],

@@ -7,6 +7,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import connected_components, cut, small_batches
 
@@ -52,18 +53,23 @@ def fingerprint(text: str | None, words: int = 3, seed: int = 42) -> int:
     return int.from_bytes(np.packbits(counts * 2 > len(starts)).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = 3, seed: int = 42) -> DataFrame:
-    """(doc_id, fp) for every row; fp holds the 64 bits as a signed long. See fingerprint()."""
+def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = 3, seed: int = 42, whole_rows: bool = False) -> DataFrame:
+    """(doc_id, fp) for every row; fp holds the 64 bits as a signed long. See fingerprint().
+
+    With whole_rows a struct named row holds the columns of docs beside them.
+    """
     small_batches(docs.sparkSession)
-    work = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
-    kind = work.schema["doc_id"].dataType.simpleString()
+    row = [F.struct(*docs.columns).alias("row")] if whole_rows else []
+    work = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"), *row)
+    schema = StructType([work.schema["doc_id"], StructField("fp", LongType()), *([work.schema["row"]] if whole_rows else [])])
 
     def run(batches):
         for b in batches:
             found = [fingerprint(t.as_py(), words, seed) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array(found, np.uint64).view(np.int64))], ["doc_id", "fp"])
+            columns = [b.column(0), pa.array(np.array(found, np.uint64).view(np.int64)), *b.columns[2:]]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "fp", *["row"] * whole_rows])
 
-    return work.mapInArrow(run, f"doc_id {kind}, fp long")
+    return work.mapInArrow(run, schema)
 
 
 def budgets(most: int) -> list[int]:
@@ -220,12 +226,12 @@ def link_classes(fps: DataFrame, most: int = 3) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = 3, seed: int = 42, most: int = 3) -> DataFrame:
-    """(doc_id, fp, component_id) for every row of docs.
+    """(doc_id, fp, component_id, class_fp) for every row of docs.
 
     Documents link if their fingerprints differ in at most so many bits; component_id is the smallest
     doc_id that links reach, itself included. Equal fingerprints are one node, so groups of copies
     never make pairs. Rows with a null doc_id take part, but name no class unless all its ids are
-    null (then component_id is null). Repeated rows are copies. An empty table gives no rows.
+    null (then component_id is null; class_fp, the smallest fingerprint of the class, tells it). Repeated rows are copies. An empty table gives no rows.
     """
     found = cut(fingerprints(docs, text, doc_id, words, seed))
     distinct = cut(found.groupBy("fp").agg(F.min("doc_id").alias("rep")))
@@ -234,24 +240,31 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     parts = connected_components(edges)
     members = parts.join(distinct.withColumnRenamed("fp", "node"), "node", "left")
     least = members.groupBy("component").agg(F.min("rep").alias("least"))
-    linked = cut(parts.join(least, "component").select(F.col("node").alias("fp"), "least"))
-    rep = distinct.join(linked, "fp", "left").select("fp", F.coalesce("least", "rep").alias("component_id"))
-    return found.join(rep, "fp").select("doc_id", "fp", "component_id")
+    linked = cut(parts.join(least, "component").select(F.col("node").alias("fp"), "least", "component"))
+    own = F.when(F.col("component").isNull(), F.col("rep")).otherwise(F.col("least"))
+    rep = distinct.join(linked, "fp", "left").select("fp", own.alias("component_id"), F.coalesce("component", "fp").alias("class_fp"))
+    return found.join(rep, "fp").select("doc_id", "fp", "component_id", "class_fp")
 
 
 def deduplicate(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:
     """The rows of docs whose id is the smallest of its class: one document of each group stays.
 
-    Where several rows share that id (repeated rows) one of them stays: the first in the order of all
-    its columns' text. Rows whose class has only null ids stay likewise, one for each fingerprint class.
+    Where several rows share that id (repeated rows) one of them stays: that of the least hash of all
+    its columns. Of a class whose ids are all null one row stays likewise.
     """
-    classes = near_duplicates(docs, text, doc_id, **options)
-    keep = cut(classes.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count("*").alias("rows_of_id")))
+    classes = cut(near_duplicates(docs, text, doc_id, **options))
+    keep = cut(classes.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.count("*").alias("rows_of_id")))
     single, several = keep.where("rows_of_id = 1"), keep.where("rows_of_id > 1")
     # documents meet the ids by a shuffle at every size: ids that stay have no bound for a broadcast
     stay = docs.join(single.select(F.col("doc_id").alias(doc_id)).hint("merge"), doc_id, "left_semi").select(*docs.columns)
-    if not several.limit(1).count():
-        return stay
-    again = docs.join(several.select(F.col("doc_id").alias("__id")).hint("merge"), F.col(doc_id).eqNullSafe(F.col("__id")), "left_semi")
-    one = again.groupBy(F.col(doc_id).alias("__id")).agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("row"))
-    return stay.unionByName(one.select("row.*"))
+    first = F.min_by("row", F.xxhash64("row")).alias("row")
+    nameless = classes.where("doc_id is null and component_id is null").select("fp", "class_fp").distinct()
+    if nameless.limit(1).count():
+        rows = fingerprints(docs.where(F.col(doc_id).isNull()), text, doc_id, whole_rows=True, **{k: v for k, v in options.items() if k != "most"})
+        stay = stay.unionByName(rows.join(nameless, "fp").groupBy("class_fp").agg(first).select("row.*"))
+    if several.limit(1).count():
+        again = docs.select(F.struct(*docs.columns).alias("row")).join(
+            several.select(F.col("doc_id").alias("id")).hint("merge"), F.col(f"row.`{doc_id}`") == F.col("id")
+        )
+        stay = stay.unionByName(again.groupBy("id").agg(first).select("row.*"))
+    return stay

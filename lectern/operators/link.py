@@ -106,8 +106,9 @@ def published_versions(pubs: DataFrame, index: Index, records: DataFrame, limit:
         F.col("id").alias("entry"), tokenise("title").alias("words"), norm_title_udf("title").alias("norm"), F.col("authors").alias("own_authors"), F.col("key").alias("own_key")
     )
     cand = title_candidates(pubs, index, own.where(F.size("words") > 0), limit)
-    other = pubs.where(~informal_strict() & ~F.col("type").isin("proceedings", "data")).select("id", "key", "authors", norm_title_udf("title").alias("other"))
-    both = cand.join(own.drop("words"), "entry").join(other, "id").where("other = norm and key <> own_key")
+    other = pubs.where(~informal_strict() & ~F.col("type").isin("proceedings", "data")).select("id", "key", "authors", "title")
+    # titles are normalised only where all words agree
+    both = cand.join(own.drop("words"), "entry").join(other, "id").where("key <> own_key").withColumn("other", norm_title_udf("title")).where("other = norm")
     both = both.withColumn("overlap", overlap_of_names_udf("authors", "own_authors")).where(F.col("overlap") > PUBLISHED_OVERLAP)
     return both.select(F.col("entry").alias("id"), F.col("id").alias("version"), "overlap")
 

@@ -1,6 +1,7 @@
 """A small dump, built, searched, linked and rendered; expected values from the survey's fixtures."""
 
 import gzip
+import re
 
 import pytest
 
@@ -241,3 +242,11 @@ def test_bib_files(spark, tmp_path):
     assert docs.first().bib == "a\n\nb\n"
     bib.write_bib(docs, str(tmp_path / "out"))
     assert [r.value for r in spark.read.text(str(tmp_path / "out")).collect()] == ["a", "", "b"]
+
+
+def test_search_reads_only_its_terms(spark, built):
+    """The words reach the scan of the postings, and a field named by every term prunes its partitions."""
+    fresh = catalog.Catalog.open(spark, str(built.folder / "catalogue"))
+    spark.catalog.clearCache()
+    plan = search.search(fresh.pubs, fresh.index, "author:traytel")._jdf.queryExecution().toString()
+    assert "StringStartsWith(term,traytel)" in plan and re.search(r"PartitionFilters: \[[^\]]*field", plan)

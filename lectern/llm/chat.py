@@ -19,11 +19,17 @@ OPEN, MIDDLE, CLOSE = "<s>", "[INST]", "</s>"
 
 # a control string, with any number of backslashes after its first character
 _ANY = re.compile("|".join(f"({re.escape(c[0])})(\\\\*)({re.escape(c[1:])})" for c in sorted(CONTROL, key=len, reverse=True)))
-_TURN = re.compile(f"{re.escape(OPEN)}(.*?){re.escape(MIDDLE)}(.*?){re.escape(CLOSE)}", re.S)
+
+
+def _may_hold(text: str) -> bool:
+    """Whether a text has a character that a control string begins with."""
+    return "<" in text or "[" in text
 
 
 def escape(text: str) -> str:
     """The text with one more backslash inside each control string, escaped ones too: no control string is left."""
+    if not _may_hold(text):
+        return text
     return _ANY.sub(lambda m: "{}\\{}{}".format(*[g for g in m.groups() if g is not None]), text)
 
 
@@ -34,7 +40,7 @@ def unescape(text: str) -> str:
         first, bars, rest = [g for g in m.groups() if g is not None]
         return first + bars[1:] + rest if bars else m.group()
 
-    return _ANY.sub(less, text)
+    return _ANY.sub(less, text) if _may_hold(text) else text
 
 
 def mark(role: str, text: str) -> tuple[str, str, str]:
@@ -43,8 +49,9 @@ def mark(role: str, text: str) -> tuple[str, str, str]:
 
 
 def read_turns(formatted: str) -> list[tuple[str, str]]:
-    """The (role, text) turns of formatted text, unescaped."""
-    return [(unescape(a), unescape(b)) for a, b in _TURN.findall(formatted)]
+    """The (role, text) turns of formatted text, unescaped: no mark stands inside a role or a text."""
+    turns = [part.partition(MIDDLE) for part in formatted.split(CLOSE)[:-1]]
+    return [(unescape(head[len(OPEN) :]), unescape(body)) for head, _, body in turns]
 
 
 def examples(turns: Iterator[tuple[str, str]], trained: str = "assistant") -> Iterator[tuple[int, str, int, int]]:

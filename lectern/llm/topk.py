@@ -96,11 +96,10 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 20, vector: str = "embed
     small_batches(spark, 4096)
     pick = lambda df: df.select(F.col(vec_id).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).where(F.col("id").isNotNull() & usable(F.col("v")))
     rows, queries = cut(pick(rows)), cut(pick(queries))
-    sizes = {r["d"]: r["n"] for r in rows.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).collect()}
-    blocks = max(1, -(-sum(sizes.values()) // BLOCK))
+    blocks = max(1, -(-rows.count() // BLOCK))
     cand = rows.select(F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"), F.lit(0).alias("query"), "id", "v")
     asked = queries.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(1).alias("query"), "id", "v")
-    dealt = cand.unionByName(asked).repartition(blocks, "block").sortWithinPartitions("block", "query", F.size("v"))
+    dealt = cand.unionByName(asked).repartitionByRange(blocks, "block").sortWithinPartitions("block", "query", F.size("v"))
 
     def run(batches):
         now, ids, vectors, lists, waiting = None, [], [], {}, []

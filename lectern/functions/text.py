@@ -62,8 +62,8 @@ FOLD_TABLE = _fold_table()
 
 
 def fold(text: Column) -> Column:
-    """Lower case without the diacritics of Latin letters."""
-    return F.translate(F.lower(text), *FOLD_TABLE)
+    """Lower case without the diacritics of Latin letters; only texts beyond ASCII are looked up character by character."""
+    return F.when(text.rlike(r"[^\x00-\x7F]"), F.translate(F.lower(text), *FOLD_TABLE)).otherwise(F.lower(text))
 
 
 def tokens(text: Column) -> Column:

@@ -122,7 +122,7 @@ def _is(slot: tuple[str, bool]) -> Column:
 
 
 def matches(index: Index, terms: list[Term]) -> DataFrame:
-    """(id, tf, tf of each term): weighted occurrences per wanted term of the records that have all of them.
+    """(id, tf of each term): weighted occurrences of the terms in the records that have any of them.
 
     The postings of all query words are read once, with the words as a pushed filter, and grouped
     once by record and field; phrases are then found by their positions.
@@ -149,31 +149,58 @@ def matches(index: Index, terms: list[Term]) -> DataFrame:
     return sums
 
 
-def rank(index: Index, terms: list[Term]) -> DataFrame:
-    """(id, score) of the records that have every wanted term and no unwanted one; a higher score is better."""
-    sums = matches(index, terms)
-    has = [(F.col(f"tf{i}") < 0) | (F.col(f"tf{i}") == 0) if t.excluded else F.col(f"tf{i}") > 0 for i, t in enumerate(terms)]
-    found = sums.where(reduce(Column.__and__, has)).join(index.lengths, "id")
-    total = index.lengths.select(F.count("*")).scalar()
-    mean = index.lengths.select(F.avg("n")).scalar()
+def scan_matches(pubs: DataFrame, terms: list[Term]) -> DataFrame:
+    """(id, n, tf of each term) of every record, from the records themselves: one pass, no shuffle.
+
+    What a search costs where no index is kept: building one for a single query would cost more.
+    """
+    made = F.struct(*[F.coalesce(tokens(field_text(f)), F.array().cast("array<string>")).alias(f) for f in WEIGHTS])
+    # generated, not projected: a projection would be merged into each use and tokenise again for every word
+    rows = pubs.select("id", F.inline(F.array(made)))
+
+    def occurrences(t: Term, name: str) -> Column:
+        last = len(t.words) - 1
+
+        def here(word: Column, i: Column) -> Column:
+            at = [word, *[F.get(F.col(name), i + k) for k in range(1, len(t.words))]]
+            tests = [a.startswith(w) if t.prefix and k == last else a == w for k, (a, w) in enumerate(zip(at, t.words))]
+            return reduce(Column.__and__, tests)
+
+        return F.size(F.filter(F.col(name), here)) * F.lit(WEIGHTS[name])
+
+    sums = [reduce(Column.__add__, [occurrences(t, f) for f in WEIGHTS if t.field in (None, f)]).alias(f"tf{i}") for i, t in enumerate(terms)]
+    return rows.select("id", reduce(Column.__add__, [F.size(f) for f in WEIGHTS]).cast("long").alias("n"), *sums)
+
+
+def rank(table: DataFrame, terms: list[Term]) -> DataFrame:
+    """(id, score) of the records that have every wanted term and no unwanted one; a higher score is better.
+
+    table: (id, n, tf of each term) of all records; a record without a term may have null or 0.
+    """
+    tf = [F.coalesce(F.col(f"tf{i}"), F.lit(0.0)) for i in range(len(terms))]
+    has = reduce(Column.__and__, [tf[i] == 0 if t.excluded else tf[i] > 0 for i, t in enumerate(terms)])
+    # the corpus figures of all terms are one row of one aggregation
+    figures = F.struct(F.count("*").alias("records"), F.avg("n").alias("mean"), *[F.count_if(x > 0).alias(f"d{i}") for i, x in enumerate(tf)])
+    figures = table.agg(figures.alias("f")).select("f").scalar()
+    found = table.where(has).select("id", "n", *[x.alias(f"tf{i}") for i, x in enumerate(tf)]).withColumn("f", figures)
     score = F.lit(0.0)
     for i, t in enumerate(terms):
-        if t.excluded:
-            continue
-        rows = sums.select(F.count_if(F.col(f"tf{i}") > 0)).scalar()
-        idf = F.ln((total - rows + 0.5) / (rows + 0.5))
-        idf = F.when(idf <= 0, F.lit(LEAST_IDF)).otherwise(idf)
-        tf = F.col(f"tf{i}")
-        score = score + idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("n") / mean))
+        if not t.excluded:
+            rows, own = F.col(f"f.d{i}"), F.col(f"tf{i}")
+            idf = F.ln((F.col("f.records") - rows + 0.5) / (rows + 0.5))
+            idf = F.when(idf <= 0, F.lit(LEAST_IDF)).otherwise(idf)
+            score = score + idf * own * (K1 + 1) / (own + K1 * (1 - B + B * F.col("n") / F.col("f.mean")))
     return found.select("id", score.alias("score"))
 
 
 def search(
-    pubs: DataFrame, index: Index, query: str, offset: int = 0, limit: int = 50, types: list[str] | None = None,
+    pubs: DataFrame, index: Index | None, query: str, offset: int = 0, limit: int = 50, types: list[str] | None = None,
     year_from: int | None = None, year_to: int | None = None, sort: str = "relevance", digits: int | None = 6,
 ) -> DataFrame:
     """The records that match a query, ranked, with their score; a page of limit rows from offset.
 
+    With an index the postings of the query's words are read, without one the records' texts.
+
     Order: score (rounded to digits) falling, then year falling, then id; with sort="year" year and id
     falling. An empty query, one of exclusions only, or a term without search tokens finds nothing.
     """
@@ -181,7 +208,7 @@ def search(
     if not terms or any(not t.words for t in terms if not t.excluded):
         return pubs.limit(0).withColumn("score", F.lit(0.0))
     terms = [t for t in terms if t.words]
-    hits = rank(index, terms)
+    hits = rank(index.lengths.join(matches(index, terms), "id", "left") if index else scan_matches(pubs, terms), terms)
     hits = hits.withColumn("score", F.round("score", digits)) if digits is not None else hits
     rows = pubs.join(hits, "id")
     for condition in (in_categories(types), in_years(year_from, year_to)):

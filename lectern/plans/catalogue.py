@@ -68,9 +68,9 @@ SELECT p.id, p.year, h.score FROM h JOIN pubs p ON p.id = h.id WHERE {where} {ta
 RELEVANCE = "ORDER BY h.score DESC, p.year DESC NULLS LAST, p.id LIMIT 50"
 
 
-def _search(spark, sf_dir, text, **options):
+def _search(spark, sf_dir, text, indexed=False, **options):
     pubs = text_records(spark, sf_dir)
-    return search.search(pubs, search.build_index(pubs), text, **options).select("id", "year", "score")
+    return search.search(pubs, search.build_index(pubs) if indexed else None, text, **options).select("id", "year", "score")
 
 
 @query(search_sql([(("er",), True, None, False), (("thing",), True, None, False)], RELEVANCE))
@@ -85,7 +85,12 @@ def search_prefix(spark, sf_dir):
 
 @query(search_sql([(("of", "the"), False, None, False)], RELEVANCE))
 def search_phrase(spark, sf_dir):
-    return _search(spark, sf_dir, '"of the"')
+    return _search(spark, sf_dir, '"of the"', indexed=True)
+
+
+@query(search_sql([(("of", "the"), False, None, False), (("in", "a"), False, "title", True)], RELEVANCE))
+def search_phrase_scan(spark, sf_dir):
+    return _search(spark, sf_dir, '"of the" -t:"in a"')
 
 
 @query(search_sql([(("is", "the"), True, None, False)], RELEVANCE))
@@ -95,12 +100,12 @@ def search_punctuated_word(spark, sf_dir):
 
 @query(search_sql([(("writer", "1"), True, "authors", False), (("src",), True, "venue", False)], RELEVANCE))
 def search_field(spark, sf_dir):
-    return _search(spark, sf_dir, "author:Writer-1 v:src")
+    return _search(spark, sf_dir, "author:Writer-1 v:src", indexed=True)
 
 
-@query(search_sql([(("thand",), True, None, False), (("corr",), True, None, True), (("the",), True, "title", False)], RELEVANCE))
+@query(search_sql([(("er",), True, None, False), (("corr",), True, None, True), (("the",), False, "title", False)], RELEVANCE))
 def search_exclude(spark, sf_dir):
-    return _search(spark, sf_dir, "thand -CoRR t:the")
+    return _search(spark, sf_dir, 'er -CoRR t:"the"', indexed=True)
 
 
 @query(search_sql([(("ander",), True, None, False)], "ORDER BY p.year DESC NULLS LAST, p.id DESC LIMIT 50", "p.year >= 2003 AND p.year <= 2020"))

@@ -19,6 +19,12 @@ BASES = {"source key": 100, "doi": 90, "arXiv id": 80, "title": 60, "similar tit
 NAMES_WORTH, SAME_YEAR, NEAR_YEAR, OTHER_KIND = 30, 10, 4, -30
 SIMILAR, PUBLISHED_OVERLAP, BEST_FROM, KEPT, TITLE_LIMIT = 0.9, 0.4, 70, 8, 60
 
+#: How a record's address, preprint ids and DOIs are written in entries.
+_IN_ADDRESS = re.compile(r"dblp\.org/rec/(.+?)(?:\.bib|\.html)?$")
+_PREPRINT_URL = re.compile(r"arxiv\.org/(?:abs|pdf)/([\w.\-/]+?)(?:v\d+)?(?:\.pdf)?$")
+_PREPRINT_TEXT = re.compile(r"(?:abs/|arXiv:)(\d{4}\.\d{4,5})")
+_DOI = re.compile(r"(10\.\d{4,}/\S+)")
+
 FACTS = (
     "struct<type:string,keys:array<string>,doi:string,arxiv:string,title:string,norm:string,words:array<string>,"
     "last_names:array<string>,year:int>"
@@ -26,7 +32,7 @@ FACTS = (
 
 
 def _doi(value: str) -> str | None:
-    found = re.search(r"(10\.\d{4,}/\S+)", re.sub("[{}]", "", value).strip())
+    found = _DOI.search(re.sub("[{}]", "", value).strip())
     return found[1] if found else None
 
 
@@ -37,12 +43,12 @@ def entry_facts(raw: str | None) -> dict | None:
         return None
     value = lambda name: field_of(entry, name) or ""
     keys = [entry.key.removeprefix(KEY_PREFIX)] * entry.key.startswith(KEY_PREFIX)
-    keys += re.findall(r"dblp\.org/rec/(.+?)(?:\.bib|\.html)?$", value("biburl"))[:1]
+    keys += _IN_ADDRESS.findall(value("biburl"))[:1]
     marked = "arxiv" in (value("archiveprefix").lower(), value("eprinttype").lower())
     arxiv = value("eprint") if marked else ""
     if not arxiv:
-        in_url = re.search(r"arxiv\.org/(?:abs|pdf)/([\w.\-/]+?)(?:v\d+)?(?:\.pdf)?$", value("url"))
-        in_text = re.search(r"(?:abs/|arXiv:)(\d{4}\.\d{4,5})", " ".join(map(value, ("volume", "journal", "note"))))
+        in_url = _PREPRINT_URL.search(value("url"))
+        in_text = _PREPRINT_TEXT.search(" ".join(map(value, ("volume", "journal", "note"))))
         arxiv = in_url[1] if in_url else in_text[1] if in_text else ""
     year = re.search(r"\d{4}", value("year"))
     title = value("title")

@@ -48,6 +48,7 @@ def search_tokens(text: str) -> tuple[str, ...]:
     return tuple(regex.findall(r"[\p{L}\p{N}\p{Co}]+", text.lower().translate(table)))
 
 
+#: Fixed value: a part of a query: a minus, a name with a colon, then a quoted phrase or a word.
 _PART = re.compile(r'(-)?(?:(\w+):)?(?:"([^"]*)"|(\S+))')
 
 

@@ -17,6 +17,7 @@ from ..schema import EXTRA_FIELDS, PUBS_DDL, RECORD_TYPES
 #: Bytes of an uncompressed file that one task scans.
 SPLIT_BYTES = 64 << 20
 
+#: How records, fields, attributes and resolver addresses are written in dumps.
 _TYPES = "|".join(RECORD_TYPES)
 _OPENS = re.compile(rf"<({_TYPES})\s([^>]*)>")
 _RECORD_END = re.compile(rf"(</(?:{_TYPES}|www)>)")

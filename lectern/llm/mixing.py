@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.dump import number_rows
 from .common import WORD, cut
 
 #: Weights of the sources in code point order, repeating.
@@ -25,37 +26,29 @@ def targets(
 
     Sources stand in code point order, null last, and take the weights in turn. Together they get
     share times the sum of all sizes; a target that would exceed most times its source's size stops
-    there and the excess is shared again by weight, until none exceeds it. That fixed point is a
-    water level: sorted by capacity per weight, the sources below the level are full, the rest get
-    level times weight. One row per source meets in a task here, never a document. A source of size
-    0 has target 0 and rate 0. share must not exceed most.
+    there and the excess is shared again by weight, until none exceeds it. Each round is an aggregation
+    over the sources that gives the driver two sums; no task holds all sources. A source of size 0 has
+    target 0 and rate 0; no sources give no rows. share must not exceed most.
     """
     if share > most:
         raise ValueError("share must not exceed most: the targets could not hold it")
-    order = Window.orderBy(F.col("source").asc_nulls_last())
-    ranked = sizes.withColumn("k", F.row_number().over(order) - 1).withColumn(
-        "weight", F.element_at(F.array(*map(F.lit, weights)), (F.col("k") % len(weights) + 1).cast("int"))
-    )
-    level = Window.orderBy(F.col("source_size") / F.col("weight"), "k")
-    below, whole = level.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
-    ranked = (
-        ranked.withColumn("full_size", F.coalesce(F.sum("source_size").over(below), F.lit(0)))
-        .withColumn("full_weight", F.coalesce(F.sum("weight").over(below), F.lit(0.0)))
-        .withColumn("all_size", F.sum("source_size").over(whole))
-        .withColumn("all_weight", F.sum("weight").over(whole))
-        .withColumn(
-            "level",
-            (F.col("all_size") * share - F.col("full_size") * most) / (F.col("all_weight") - F.col("full_weight")),
-        )
-        # the first source in this order that is not full sets the level
-        .withColumn("open", F.col("level") * F.col("weight") <= F.col("source_size") * most)
-        .withColumn("level", F.min(F.when(F.col("open"), F.struct(F.col("source_size") / F.col("weight"), "k", "level"))).over(whole)["level"])
-    )
+    numbered = number_rows(sizes.withColumn("last", F.col("source").isNull()), "last", "source", to="k")
+    weight = F.get(F.array(*map(F.lit, weights)), F.pmod(F.col("k") - 1, F.lit(len(weights))).cast("int"))
+    ranked = cut(numbered.select("source", "source_size", weight.alias("weight")))
     cap = F.col("source_size") * F.lit(most)
-    target = F.least(cap, F.coalesce(F.col("level") * F.col("weight"), cap))
-    return ranked.withColumn("target", target.cast("double")).select(
-        "source", "source_size", "weight", "target",
-        F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(most)))).otherwise(0.0).alias("rate"),
+    size, parts = ranked.agg(F.sum("source_size"), F.sum("weight")).first()
+    full_size, full_parts, level = 0, 0.0, 0.0
+    while size is not None and parts > full_parts:
+        level = (size * share - full_size * most) / (parts - full_parts)
+        full = cap < F.lit(level) * F.col("weight")
+        got = ranked.agg(F.sum(F.when(full, F.col("source_size")).otherwise(0)), F.sum(F.when(full, F.col("weight")).otherwise(0.0))).first()
+        if tuple(got) == (full_size, full_parts):
+            break
+        full_size, full_parts = got
+    target = F.least(cap, F.lit(level) * F.col("weight")).cast("double")
+    return ranked.select(
+        "source", "source_size", "weight", target.alias("target"),
+        F.when(F.col("source_size") > 0, F.least(target / F.col("source_size"), F.lit(float(most)))).otherwise(0.0).alias("rate"),
     )
 
 

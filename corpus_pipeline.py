@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm import byte_bpe, mixing, simhash, toxicity
+from lectern.llm import byte_bpe, mixing, near_copies, toxicity
 from lectern.llm.common import cut, table
 from lectern.llm.queries import vocabulary_path, vocabulary_pattern
 
@@ -19,8 +19,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near copies: the smallest doc_id."""
-    return simhash.deduplicate(docs)
+    """One document of each class of near copies, 5-word similarity 0.8 or more: the smallest doc_id."""
+    return near_copies.deduplicate(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +35,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("toxicity", drop_toxic),
-    ("simhash near-dedup", drop_near_copies),
+    ("near-dedup", drop_near_copies),
     ("mixing sources", mix_sources),
     ("byte-level BPE", encode),
 ]

@@ -237,7 +237,11 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     distinct = cut(found.groupBy("fp").agg(F.min("doc_id").alias("rep")))
     # a node is the fingerprint itself, so that classes hold even where ids are null
     edges = link_classes(distinct.select("fp", F.col("fp").alias("node")), most)
-    parts = connected_components(edges)
+    return classes_of(found, distinct, connected_components(edges))
+
+
+def classes_of(found: DataFrame, distinct: DataFrame, parts: DataFrame) -> DataFrame:
+    """(doc_id, fp, component_id, class_fp) of rows (doc_id, fp), distinct (fp, rep) and components of their fp."""
     members = parts.join(distinct.withColumnRenamed("fp", "node"), "node", "left")
     least = members.groupBy("component").agg(F.min("rep").alias("least"))
     linked = cut(parts.join(least, "component").select(F.col("node").alias("fp"), "least", "component"))
@@ -253,6 +257,12 @@ def deduplicate(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **o
     its columns. Of a class whose ids are all null one row stays likewise.
     """
     classes = cut(near_duplicates(docs, text, doc_id, **options))
+    marked = lambda d: fingerprints(d, text, doc_id, whole_rows=True, **{k: v for k, v in options.items() if k != "most"})
+    return keep_one(docs, classes, marked, doc_id)
+
+
+def keep_one(docs: DataFrame, classes: DataFrame, marked, doc_id: str) -> DataFrame:
+    """The rows of docs that stay for their classes; marked(rows) gives (fp, row) of rows. See deduplicate()."""
     keep = cut(classes.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.count("*").alias("rows_of_id")))
     single, several = keep.where("rows_of_id = 1"), keep.where("rows_of_id > 1")
     # documents meet the ids by a shuffle at every size: ids that stay have no bound for a broadcast
@@ -260,7 +270,7 @@ def deduplicate(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **o
     first = F.min_by("row", F.xxhash64("row")).alias("row")
     nameless = classes.where("doc_id is null and component_id is null").select("fp", "class_fp").distinct()
     if nameless.limit(1).count():
-        rows = fingerprints(docs.where(F.col(doc_id).isNull()), text, doc_id, whole_rows=True, **{k: v for k, v in options.items() if k != "most"})
+        rows = marked(docs.where(F.col(doc_id).isNull()))
         stay = stay.unionByName(rows.join(nameless, "fp").groupBy("class_fp").agg(first).select("row.*"))
     if several.limit(1).count():
         again = docs.select(F.struct(*docs.columns).alias("row")).join(

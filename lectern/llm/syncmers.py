@@ -11,8 +11,6 @@ from .common import SPACE
 
 #: Words of a k-mer and of its inner substrings; the expressions below are written for these.
 K, S = 5, 2
-#: Hashes kept in a fingerprint.
-SKETCH = 64
 #: Rows of one run of neighbouring ids, and the most runs: the driver holds one id for each.
 RUN_ROWS, MOST_RUNS = 2000, 10_000
 
@@ -21,11 +19,6 @@ _UNSPACED = "[\\u2E80-\\u9FFF\\uAC00-\\uD7AF\\uF900-\\uFAFF]"
 _NONE = 1 << 40
 
 
-def _let(value: Column, use) -> Column:
-    """use(value) with value computed once."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def words(text: Column) -> Column:
     """The words of a text: runs without ASCII white space; characters of unspaced scripts stand alone."""
     spaced = F.when(text.rlike(_UNSPACED), F.regexp_replace(text, f"({_UNSPACED})", " $1 ")).otherwise(text)
@@ -72,7 +65,7 @@ def anchors(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Data
 
 
 def _sketch(df: DataFrame, text: str, to: str) -> DataFrame:
-    """df with a column to: the SKETCH smallest distinct syncmer hashes of a text column, sorted, as ints.
+    """df with a column to: all distinct syncmer hashes of a text column, sorted, as ints.
 
     A text without syncmers has one hash of all its words, or of itself if it has no words.
     """
@@ -81,7 +74,7 @@ def _sketch(df: DataFrame, text: str, to: str) -> DataFrame:
     chosen = F.when(
         F.col("g__").isNotNull(), _choose(F.col("h__"), F.col("g__"), lambda i, x: x, F.lit(_NONE))
     ).otherwise(F.array().cast("array<bigint>"))
-    df = df.withColumn("c__", F.slice(F.array_remove(F.sort_array(F.array_distinct(chosen)), _NONE), 1, SKETCH))
+    df = df.withColumn("c__", F.array_remove(F.sort_array(F.array_distinct(chosen)), _NONE))
     whole = F.shiftrightunsigned(F.xxhash64(F.when(F.size("h__") > 0, F.array_join(F.col("h__").cast("array<string>"), " ")).otherwise(F.col(text))), 32)
     kept = F.when(F.size("c__") > 0, F.col("c__")).otherwise(F.array(whole))
     # signed 32-bit numbers in the same order
@@ -94,9 +87,8 @@ def as_text(sketch: Column) -> Column:
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """The estimated Jaccard likeness of two fingerprints, exact where both hold all their hashes."""
-    union = lambda x, y: F.slice(F.sort_array(F.array_union(x, y)), 1, SKETCH)
-    return _let(union(a, b), lambda u: F.size(F.array_intersect(u, F.array_intersect(a, b))) / F.size(u))
+    """The Jaccard likeness of two fingerprints, which hold all hashes of their texts."""
+    return F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b))
 
 
 def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:

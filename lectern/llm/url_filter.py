@@ -70,15 +70,24 @@ def _segments(path: Column) -> Column:
     return F.when(path == "", F.array().cast("array<string>")).when(F.size(parts) > LEVELS, F.concat(head, F.array(F.lit("**")))).otherwise(head)
 
 
+def _apart(rate: str, n: str, lower: Column, m: Column) -> Column:
+    """Whether a rate of n labels is above a lower one of m by the two-proportion test."""
+    pooled = (F.col(rate) * F.col(n) + lower * m) / (F.col(n) + m)
+    error = F.sqrt(pooled * (1 - pooled) * (1 / F.col(n) + 1 / m))
+    return (F.col(rate) - lower) > F.lit(MERGE_Z) * F.greatest(error, F.lit(1e-9))
+
+
 def templates(paths: DataFrame) -> DataFrame:
     """(host, shape, template, n, labelled, blocked, purity, rejected) for each distinct (host, shape) of paths.
 
     paths has host, shape (array of shaped segments), n, labelled and blocked counts. The tree of each
     host is built level by level from these sums, so no task holds a host. At a node with more than
-    MOST_CHILDREN distinct children their segment becomes a wildcard. Other branches that share the
-    shape of what is below them merge if their rates of blocked labels are statistically similar:
-    sorted by rate, neighbours merge unless a two-proportion test tells them apart; unlabelled ones
-    follow the others' mean. purity is the part of blocked labels, drawn to the host's and that to the
+    MOST_CHILDREN distinct children their segment becomes a wildcard, but for labelled branches whose rate
+    is apart from that of all the others: those above and those below it make a wildcard each, {more} and
+    {less}. Other branches that share the shape of what is below them merge if their rates of blocked
+    labels are statistically similar: labelled ones sorted by rate, neighbours merge unless a
+    two-proportion test tells them apart; unlabelled ones join the labelled class if it is the only one,
+    else they are a class of their own. purity is the part of blocked labels, drawn to the host's and that to the
     whole; a template is rejected from REJECT_FROM on.
     """
     cur = paths.select("host", "shape", "n", "labelled", "blocked", F.array().cast("array<string>").alias("made"))
@@ -97,19 +106,27 @@ def templates(paths: DataFrame) -> DataFrame:
         key = (F.col("host") == F.col("h")) & (F.col("made") == F.col("m"))
         few = branch.join(many, key, "left_anti")
         # at most MOST_CHILDREN rows share a node from here on, so windows over a node are small
-        rate = F.when(F.col("l") > 0, F.col("b") / F.col("l"))
         node = ["host", "made", "lo", "hi"]
-        few = few.withColumn("rate", F.coalesce(rate, F.sum("b").over(Window.partitionBy(*node)) / F.greatest(F.sum("l").over(Window.partitionBy(*node)), F.lit(1))))
-        order = Window.partitionBy(*node).orderBy("rate", "seg")
+        # each labelled branch is held against the labelled one before it; the unlabelled ones stand apart
+        few = few.withColumn("known", F.col("l") > 0).withColumn("rate", F.when(F.col("l") > 0, F.col("b") / F.col("l")))
+        order = Window.partitionBy(*node, "known").orderBy("rate", "seg")
         pl, pr = F.lag("l").over(order), F.lag("rate").over(order)
-        pooled = (F.col("rate") * F.col("l") + pr * pl) / F.greatest(F.col("l") + pl, F.lit(1))
-        error = F.sqrt(pooled * (1 - pooled) * (1 / F.greatest(F.col("l"), F.lit(1)) + 1 / F.greatest(pl, F.lit(1))))
-        apart = (F.col("rate") - pr) > F.lit(MERGE_Z) * F.greatest(error, F.lit(1e-9))
-        few = few.withColumn("new", F.when(pr.isNull() | (apart & (F.col("l") > 0) & (pl > 0)), 1).otherwise(0))
+        few = few.withColumn("new", F.when(~F.col("known"), 0).when(pr.isNull() | _apart("rate", "l", pr, pl), 1).otherwise(0))
         few = few.withColumn("class", F.sum("new").over(order))
+        # they join the labelled class if there is one only, else they make a template of their own
+        classes = F.max("class").over(Window.partitionBy(*node))
+        few = few.withColumn("class", F.when(~F.col("known") & (classes == 1), F.lit(1)).otherwise(F.col("class")))
         names = Window.partitionBy(*node, "class")
         few = few.withColumn("merged", F.array_join(F.sort_array(F.collect_set("seg").over(names)), "|"))
         few = few.select(F.col("host").alias("h"), F.col("made").alias("m"), F.col("seg").alias("s"), "merged")
+        # of a node with many children those whose rate is apart from all the others' stay out of its wildcard
+        wide = branch.join(many, key).drop("h", "m")
+        sums = wide.groupBy(F.col("host").alias("h"), F.col("made").alias("m")).agg(F.sum("l").alias("nl"), F.sum("b").alias("nb"))
+        wide = wide.join(sums, key).where("l > 0 and nl > l")
+        wide = wide.withColumn("rate", F.col("b") / F.col("l")).withColumn("others", (F.col("nb") - F.col("b")) / (F.col("nl") - F.col("l"))).withColumn("rest", F.col("nl") - F.col("l"))
+        above, below_ = _apart("rate", "l", F.col("others"), F.col("rest")), _apart("others", "rest", F.col("rate"), F.col("l"))
+        wide = wide.withColumn("merged", F.when(above, "{more}").when(below_, "{less}")).where("merged is not null")
+        few = few.unionByName(wide.select("h", "m", F.col("seg").alias("s"), "merged"))
         joined = cur.join(few, (F.col("host") == F.col("h")) & (F.col("made") == F.col("m")) & (F.col("seg") == F.col("s")), "left")
         step = F.when(F.col("seg").isNull(), F.lit(None).cast("string")).otherwise(F.coalesce("merged", F.lit("*")))
         cur = cut(joined.select("host", "shape", "n", "labelled", "blocked", F.when(step.isNull(), F.col("made")).otherwise(F.concat("made", F.array(step))).alias("made")))

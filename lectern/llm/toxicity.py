@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 import re
 import zlib
 from collections import Counter
@@ -16,143 +15,175 @@ from pyspark.sql.types import StructType
 
 from .common import cut, small_batches
 
-#: The classifier's bounds: labelled rows of each class and features it is fitted on.
-EXAMPLES_PER_CLASS, FEATURES = 2000, 1024
-#: Neighbours that vote, examples of an index block, rows in which a feature must stand to be chosen.
-NEIGHBOURS, BLOCK, LEAST_ROWS = 16, 64, 3
-#: Cosines this close count as equal.
-TIE = 1e-9
-#: Words whose features a worker remembers before it starts anew.
-CACHE = 200_000
+#: The classifier's bound: labelled rows of each class it is fitted on.
+EXAMPLES_PER_CLASS = 2000
+#: Neighbours that vote, examples of an index block (their places fit a byte).
+NEIGHBOURS, BLOCK = 16, 128
+#: Cosines this close, relative to each other, count as equal: postings are 32-bit floats.
+TIE = 1e-5
+#: Places at which a term's evidence counts half.
+DOUBT = 3
+#: Terms of at least this part of the examples have whole rows instead of postings.
+FULL = 1 / 8
+#: Words, and their longest, whose terms a worker remembers before it starts anew.
+CACHE, CACHED_CHARS = 200_000, 64
 
 _WORDS = re.compile(r"\w+")
+_NO_PLACES, _NO_SCORES = np.zeros(0, np.int64), np.zeros(0)
 
 
-def word_counts(text: str | None) -> Counter:
-    """The words of a whole text, lower-cased, with their counts; none for null and empty texts."""
-    return Counter(_WORDS.findall((text or "").lower()))
-
-
-def features_of(word: str) -> list[str]:
+def terms_of(word: str) -> list[str]:
     """The word itself and its beginnings of 4, 5 and 6 characters, marked by a leading ^."""
     return [word, *("^" + word[:n] for n in (4, 5, 6) if len(word) >= n)]
 
 
+class Reader:
+    """Counts the terms of whole texts by their numbers; terms that no example has are left out, their weight is 0."""
+
+    def __init__(self, numbers: dict[str, int]):
+        self.numbers, self.cache = numbers, {}
+
+    def _of(self, word: str) -> np.ndarray:
+        found = self.cache.get(word)
+        if found is None:
+            found = np.array([self.numbers[t] for t in terms_of(word) if t in self.numbers], np.int64)
+            if len(word) <= CACHED_CHARS:
+                if len(self.cache) >= CACHE:
+                    self.cache.clear()
+                self.cache[word] = found
+        return found
+
+    def counts(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers of a text's terms, rising, and how often each stands; none for null and empty texts."""
+        words = Counter(_WORDS.findall((text or "").lower()))
+        parts = [self._of(w) for w in words]
+        if not parts:
+            return _NO_PLACES, _NO_PLACES
+        which = np.concatenate(parts)
+        often = np.repeat(np.fromiter(words.values(), np.int64, len(words)), [len(p) for p in parts])
+        terms, at = np.unique(which, return_inverse=True)
+        return terms, np.bincount(at, often, minlength=len(terms)).astype(np.int64)
+
+
 @dataclass
 class Index:
-    """A block-max inverted index of the examples, and what their votes count.
+    """A block-max inverted index of the examples over all their terms, and what their votes count.
 
-    For each feature and block with postings, weights holds the block's row of normalised TF-IDF
-    weights and peak its maximum; row 0 is empty. where[f, b] is that row. Examples stand by label and
-    strongest feature, so that blocks are alike inside and their maxima low elsewhere.
+    For each term and block with postings, where[term, block] is the number of their run: its postings are
+    place and value from start on, peak is its largest value; run 0 is empty. The values of a term that stands in
+    many examples are a row of full, by block and place, instead. Examples stand by label and strongest term, so
+    that blocks are alike inside and their maxima low elsewhere.
     """
 
-    features: dict[str, int] = field(default_factory=dict)
-    idf: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    numbers: dict[str, int] = field(default_factory=dict)
+    weight: np.ndarray = field(default_factory=lambda: np.zeros(0))
     ids: list = field(default_factory=list)
     labels: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
-    where: np.ndarray = field(default_factory=lambda: np.zeros((0, 0), np.int64))
-    weights: np.ndarray = field(default_factory=lambda: np.zeros((1, BLOCK)))
-    peak: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))
+    where: np.ndarray = field(default_factory=lambda: np.zeros((0, 0), np.int32))
+    start: np.ndarray = field(default_factory=lambda: np.zeros(2, np.int64))
+    place: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint8))
+    value: np.ndarray = field(default_factory=lambda: np.zeros(0, np.float32))
+    peak: np.ndarray = field(default_factory=lambda: np.zeros(1, np.float32))
+    row: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int32))
+    full: np.ndarray = field(default_factory=lambda: np.zeros((0, 0, BLOCK), np.float32))
     class_weight: np.ndarray = field(default_factory=lambda: np.ones(2))
     prior: float = 0.0
     knots: tuple[np.ndarray, np.ndarray] | None = None
-    plain: float | None = None
 
-    def judge(self, counts: dict[int, int]) -> tuple[float, np.ndarray, np.ndarray]:
-        """The vote on counted features, and the neighbours that give it.
+    def vector(self, terms: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The terms of weight above 0 and their normalised weights, (1 + ln count) times the term's weight."""
+        w = (1 + np.log(counts)) * self.weight[terms]
+        keep = w > 0
+        terms, w = terms[keep], w[keep]
+        return terms, w / np.linalg.norm(w) if len(w) else w
 
-        Texts that have no chosen feature tie with all examples that have none: their vote is taken once
-        and they have no neighbours. Without examples the vote is 0.
-        """
-        none = (np.zeros(0, np.int64), np.zeros(0))
-        if not self.ids:
-            return 0.0, *none
-        f, w = self.vector(counts)
-        if len(f) and f[0] < len(self.features):
-            places, scores = self.nearest(f, w, NEIGHBOURS)
-            return self.vote(places, scores), places, scores
-        if self.plain is None:
-            rest = len(self.features)
-            self.plain = self.vote(*self.nearest(np.array([rest]), np.ones(1), NEIGHBOURS))
-        return self.plain, *none
-
-    def vector(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
-        """Features and their normalised TF-IDF weights."""
-        f = np.fromiter(sorted(counts), np.int64, len(counts))
-        w = (1 + np.log(np.array([counts[i] for i in f.tolist()], np.float64))) * self.idf[f] if len(f) else np.zeros(0)
-        return f, w / np.linalg.norm(w) if len(f) else w
-
-    def nearest(self, f: np.ndarray, w: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    def nearest(self, terms: np.ndarray, w: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """The examples of the k highest cosines above 0, all that tie with the kth included, and the cosines.
 
-        Blocks are taken by falling upper bound, the sum of the query's weights times the block's
-        maxima; when a bound is below the kth cosine no later block can add or tie, and the search ends.
+        Blocks are taken by falling upper bound, the sum of the query's weights times the block's maxima;
+        when a bound is below the kth cosine no later block can add or tie, and the search ends.
         """
-        if not len(f) or not len(self.ids):
-            return np.zeros(0, np.int64), np.zeros(0)
-        bounds = w @ self.peak[f]
+        if not len(terms) or not len(self.ids):
+            return _NO_PLACES, _NO_SCORES
+        runs = self.where[terms]
+        bounds = w @ self.peak[runs]
         order = np.argsort(-bounds, kind="stable")
         order = order[bounds[order] > 0]
-        places, scores, at, step = np.zeros(0, np.int64), np.zeros(0), 0, 2
+        row = self.row[terms]
+        many, w32 = row >= 0, w.astype(np.float32)
+        row, wide, runs, few = row[many], w32[many], runs[~many], w[~many]
+        places, scores, at, step = _NO_PLACES, _NO_SCORES, 0, 4
         while at < len(order):
-            if len(scores) >= k and bounds[order[at]] < scores[k - 1] * (1 - TIE):
-                break
+            if len(scores) >= k:
+                least = scores[k - 1] * (1 - TIE)
+                order = order[: np.searchsorted(-bounds[order], -least, side="right")]
             blocks = order[at : at + step]
-            got = np.einsum("f,fbe->be", w, self.weights[self.where[f][:, blocks]])
-            p = (blocks[:, None] * BLOCK + np.arange(BLOCK)).ravel()
-            s = got.ravel()
-            hit = s > 0
-            places, scores = np.concatenate((places, p[hit])), np.concatenate((scores, s[hit]))
+            if not len(blocks):
+                break
+            s = (wide @ self.full[row[:, None], blocks].reshape(len(row), -1)).astype(np.float64) if len(row) else np.zeros(len(blocks) * BLOCK)
+            which, column = np.nonzero(runs[:, blocks])
+            run = runs[which, blocks[column]]
+            begin = self.start[run]
+            size = self.start[run + 1] - begin
+            post = np.repeat(begin - np.cumsum(size) + size, size) + np.arange(size.sum())
+            s += np.bincount(self.place[post] + np.repeat(column * BLOCK, size), self.value[post] * np.repeat(few[which], size), minlength=len(s))
+            p = np.flatnonzero(s > (scores[k - 1] * (1 - TIE) if len(scores) >= k else 0))
+            places, scores = np.concatenate((places, blocks[p // BLOCK] * BLOCK + p % BLOCK)), np.concatenate((scores, s[p]))
             best = np.argsort(-scores, kind="stable")
             if len(best) > k:
                 best = best[scores[best] >= scores[best[k - 1]] * (1 - TIE)]
             places, scores = places[best], scores[best]
             at += step
-            step = min(8, step * 2)
+            step *= 2
         return places, scores
 
     def vote(self, places: np.ndarray, scores: np.ndarray) -> float:
         """The toxic part of the neighbours' votes, each by its cosine and its class's weight, drawn to the prior."""
         y = self.labels[places]
         v = scores * self.class_weight[y]
-        return float(((v * y).sum() + 0.5 * self.prior) / (v.sum() + 0.5))
+        return float(((v * y).sum() + 0.05 * self.prior) / (v.sum() + 0.05))
 
     def calibrated(self, vote: float) -> float:
         return vote if self.knots is None else float(np.interp(vote, *self.knots))
 
 
-def _index(features: list[tuple[str, int]], examples: list[tuple[object, int, dict[int, int]]], rates: dict[int, float]) -> Index:
-    """The index of collected examples (id, label, counts); rates: rows of each class for one example of it."""
-    out = Index()
-    out.features = {name: i for i, (name, _) in enumerate(features)}
-    total = len(examples)
-    # the last term stands for all other words, which every text has: it weighs how much of a text is chosen
-    out.idf = np.array([*[np.log((1 + total) / (1 + rows)) + 1 for _, rows in features], 1.0])
-    vectors = [(i, y, *out.vector(c)) for i, y, c in examples]
+def build(numbers: dict[str, int], weight: np.ndarray, examples: list[tuple], rates: dict[int, float]) -> Index:
+    """The index of examples (id, label, terms, counts); rates: rows of each class that one example of it stands for."""
+    out = Index(numbers, weight)
+    vectors = [(i, y, *out.vector(t, n)) for i, y, t, n in examples]
     vectors.sort(key=lambda v: (v[1], int(v[2][np.argmax(v[3])]) if len(v[2]) else -1, str(v[0])))
     out.ids, out.labels = [v[0] for v in vectors], np.array([v[1] for v in vectors], np.int64)
-    blocks = -(-total // BLOCK)
-    out.where, rows = np.zeros((len(features) + 1, blocks), np.int64), [np.zeros(BLOCK)]
-    for n, (_, _, f, w) in enumerate(vectors):
-        for i, x in zip(f.tolist(), w.tolist()):
-            if not out.where[i, n // BLOCK]:
-                out.where[i, n // BLOCK] = len(rows)
-                rows.append(np.zeros(BLOCK))
-            rows[out.where[i, n // BLOCK]][n % BLOCK] = x
-    out.weights = np.stack(rows)
-    out.peak = out.weights.max(axis=1)[out.where]
+    blocks = -(-len(vectors) // BLOCK)
+    sizes = [len(v[2]) for v in vectors]
+    owner = np.repeat(np.arange(len(vectors)), sizes)
+    key = owner // BLOCK * len(weight) + np.concatenate([v[2] for v in vectors])
+    order = np.argsort(key, kind="stable")
+    key, first = np.unique(key[order], return_index=True)
+    place, value = (owner[order] % BLOCK).astype(np.uint8), np.concatenate([v[3] for v in vectors])[order].astype(np.float32)
+    start = np.append(first, len(owner))
+    out.where = np.zeros((len(weight), blocks), np.int32)
+    term, block = key % max(len(weight), 1), key // max(len(weight), 1)
+    out.where[term, block] = np.arange(1, len(key) + 1)
+    # run 0 holds nothing: its start and end are both 0
+    out.peak = np.concatenate(([0], np.maximum.reduceat(value, first) if len(first) else [])).astype(np.float32)
+    often = np.bincount(term, np.diff(start), minlength=len(weight))
+    whole = np.flatnonzero(often >= max(8, FULL * len(vectors)))
+    out.row = np.full(len(weight), -1, np.int32)
+    out.row[whole] = np.arange(len(whole))
+    out.full = np.zeros((len(whole), blocks, BLOCK), np.float32)
+    run = np.repeat(np.arange(len(key)), np.diff(start))
+    held = out.row[term[run]] >= 0
+    out.full[out.row[term[run[held]]], block[run[held]], place[held]] = value[held]
+    out.place, out.value = place[~held], value[~held]
+    out.start = np.concatenate(([0, 0], np.cumsum(np.bincount(run[~held], minlength=len(key)))))
     out.class_weight = np.array([rates.get(0, 1.0), rates.get(1, 1.0)])
     mass = out.class_weight[out.labels]
     out.prior = float((mass * out.labels).sum() / mass.sum())
     # each example is scored by the others; the votes' observed toxic rates, made monotone, calibrate
     votes = []
-    for n, (_, _, f, w) in enumerate(vectors):
-        if len(f) and f[0] < len(features):
-            places, scores = out.nearest(f, w, NEIGHBOURS + 1)
-            votes.append(out.vote(places[places != n], scores[places != n]))
-        else:
-            votes.append(out.judge({})[0])
+    for n, (_, _, t, w) in enumerate(vectors):
+        places, scores = out.nearest(t, w, NEIGHBOURS + 1)
+        votes.append(out.vote(places[places != n], scores[places != n]))
     out.knots = _isotonic(np.array(votes), out.labels, mass)
     return out
 
@@ -175,18 +206,43 @@ def held_out(doc_id):
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def fit(
-    docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "toxic",
-    per_class: int = EXAMPLES_PER_CLASS, most_features: int = FEATURES,
-) -> Index:
+def evidence_of(n0: np.ndarray, n1: np.ndarray, clean: int, toxic: int) -> np.ndarray:
+    """How uneven a term's places are split between the classes: the exponent of the Chernoff bound, were it chance,
+    drawn to 0 where the places are few."""
+    base, n = (toxic + 0.5) / (clean + toxic + 1), n0 + n1
+    part = lambda k, q: k * np.log(np.maximum(k, 1) / np.maximum(n, 1) / q)
+    return np.maximum(part(n1, base) + part(n0, 1 - base), 0) * n / (n + DOUBT)
+
+
+def document_frequencies(docs: DataFrame, numbers: dict[str, int], text: str = "text") -> np.ndarray:
+    """In how many rows of docs each numbered term stands: every row counts; a task sends one sum a term."""
+    shared = docs.sparkSession.sparkContext.broadcast(numbers)
+
+    def run(batches):
+        reader, rows = Reader(shared.value), np.zeros(len(shared.value), np.int64)
+        for b in batches:
+            for t in b.column(0):
+                rows[reader.counts(t.as_py())[0]] += 1
+        found = np.flatnonzero(rows)
+        yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(rows[found])], ["term", "rows"])
+
+    out = np.zeros(len(numbers), np.int64)
+    sums = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(run, "term long, rows long").groupBy("term").agg(F.sum("rows").alias("rows"))
+    got = sums.toArrow()
+    out[got.column("term").to_numpy()] = got.column("rows").to_numpy()
+    return out
+
+
+def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "toxic", per_class: int = EXAMPLES_PER_CLASS) -> Index:
     """The index of a bounded sample of the labelled rows that are not held out.
 
-    Up to per_class rows of each label, least hash of the id first, so any run takes the same ones.
-    Features are those whose split between the classes of that sample is beyond chance, one by chance
-    among all candidates expected, the clearest first; a feature counts once for each surrounding of its
-    first place in a text, so that copies of a text are no evidence. Other labels than 0 and 1 and null ids are no examples; a document with both labels counts as toxic.
-    Without examples the index is empty and every score is 0. The driver gets the sample's counts of
-    chosen features, never a text.
+    Up to per_class rows of each label, least hash of the id first, so any run takes the same ones. Every
+    term of theirs is indexed. Its weight is its inverse document frequency over all rows of docs, times how
+    uneven its places are split between the labels of the sample: words that tell nothing of the class weigh
+    next to nothing, a word of few places weighs less for that, none is left out. A place counts once for each surrounding of a term's first place in a text, so
+    that copies of a text are no evidence. Other labels than 0 and 1 and null ids are no examples; a
+    document with both labels counts as toxic, one with several texts by its least. Without examples the
+    index is empty and every score is 0. The driver gets the sample's terms and counts, never a text.
     """
     known = labels.select(F.col(doc_id).alias("id"), F.col(label).cast("int").alias("y")).where(
         "id is not null and y in (0, 1)"
@@ -202,7 +258,10 @@ def fit(
     kind = known.schema["id"].dataType.simpleString()
     sample = spark.createDataFrame(chosen, f"id {kind}, y int")
     texts = docs.select(F.col(doc_id).alias("id"), F.col(text).cast("string").alias("text")).join(F.broadcast(sample), "id")
-    texts = texts.groupBy("id", "y").agg(F.min("text").alias("text"))
+    texts = cut(texts.groupBy("id", "y").agg(F.min("text").alias("text")))
+    got = {r["y"]: r["n"] for r in texts.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    if not got:
+        return Index()
 
     def spread(batches):
         for b in batches:
@@ -215,86 +274,58 @@ def fit(
                 around = {}
                 for w, i in first.items():
                     place = zlib.crc32("\n".join(found[max(0, i - 2) : i + 3]).encode())
-                    for f in features_of(w):
-                        around.setdefault(f, place)
-                seen.update((f, y, place) for f, place in around.items())
-            rows = list(zip(*seen)) or [(), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.string()), pa.array(rows[1], pa.int32()), pa.array(rows[2], pa.int64())], ["feature", "y", "place"])
-
-    size = texts.groupBy("y").agg(F.count("*").alias("n"))
-    got = {r["y"]: r["n"] for r in size.collect()}
-    n0, n1 = got.get(0, 0), got.get(1, 0)
-    if not n0 + n1:
-        return Index()
-    seen = texts.select("y", "text").mapInArrow(spread, "feature string, y int, place long").distinct()
-    seen = seen.groupBy("feature").agg(F.count_if(F.col("y") == 0).alias("n0"), F.count_if(F.col("y") == 1).alias("n1")).where(F.col("n0") + F.col("n1") >= LEAST_ROWS)
-    seen = cut(seen)
-    # the exponent of the Chernoff bound on so uneven a split of the feature's rows, were it chance
-    base, n = (n1 + 0.5) / (n0 + n1 + 1), F.col("n0") + F.col("n1")
-    part = lambda k, q: F.when(k > 0, k * F.ln(k / n / q)).otherwise(0.0)
-    evidence = part(F.col("n1"), base) + part(F.col("n0"), 1 - base)
-    least = math.log(max(seen.count(), 1))
-    best = seen.withColumn("e", evidence).where(F.col("e") >= least).orderBy(F.desc("e"), "feature").limit(most_features).collect()
-    features = [(r["feature"], r["n0"] + r["n1"]) for r in best]
-    ids = {name: i for i, (name, _) in enumerate(features)}
+                    for term in terms_of(w):
+                        around.setdefault(term, place)
+                seen.update((term, y, place) for term, place in around.items())
+            columns = list(zip(*seen)) or [(), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.int64())], ["term", "y", "place"])
+
+    seen = texts.select("y", "text").mapInArrow(spread, "term string, y int, place long").distinct()
+    seen = seen.groupBy("term").agg(F.count_if(F.col("y") == 0).alias("n0"), F.count_if(F.col("y") == 1).alias("n1")).orderBy("term").toArrow()
+    numbers = {t: i for i, t in enumerate(seen.column("term").to_pylist())}
+    n0, n1 = (seen.column(c).to_numpy().astype(np.float64) for c in ("n0", "n1"))
+    found = document_frequencies(docs, numbers, text)
+    total = docs.count()
+    weight = (np.log((1 + total) / (1 + found)) + 1) * evidence_of(n0, n1, got.get(0, 0), got.get(1, 0))
+    shared = spark.sparkContext.broadcast(numbers)
 
     def count(batches):
+        reader = Reader(shared.value)
         for b in batches:
-            own = [dict(_chosen(word_counts(t.as_py()), ids)) for t in b.column(2)]
-            arrays = [pa.array([list(c) for c in own], pa.list_(pa.int32())), pa.array([list(c.values()) for c in own], pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *arrays], ["id", "y", "f", "n"])
-
-    examples = texts.select("id", "y", "text").mapInArrow(count, f"id {kind}, y int, f array<int>, n array<int>").collect()
-    examples = sorted(((r["id"], r["y"], dict(zip(r["f"], r["n"]))) for r in examples), key=lambda e: str(e[0]))
-    return _index(features, examples, {y: rows[y] / got[y] for y in got})
-
-
-def _chosen(counts: Counter, ids: dict[str, int], cache: dict | None = None) -> Counter:
-    """Counts of the chosen features in counted words; the number after the last feature counts the other words."""
-    out: Counter = Counter()
-    rest = 0
-    for word, n in counts.items():
-        own = cache.get(word) if cache is not None else None
-        if own is None:
-            own = [ids[f] for f in features_of(word) if f in ids]
-            if cache is not None:
-                if len(cache) > CACHE:
-                    cache.clear()
-                cache[word] = own
-        if not own:
-            rest += n
-        for i in own:
-            out[i] += n
-    if rest:
-        out[len(ids)] = rest
-    return out
+            own = [reader.counts(t.as_py()) for t in b.column(2)]
+            arrays = [pa.array([o[c] for o in own], pa.list_(pa.int32())) for c in (0, 1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *arrays], ["id", "y", "t", "n"])
+
+    examples = texts.select("id", "y", "text").mapInArrow(count, f"id {kind}, y int, t array<int>, n array<int>").toArrow()
+    ids, ys, ts, ns = (examples.column(c).combine_chunks() for c in ("id", "y", "t", "n"))
+    rows_of = zip(ids.to_pylist(), ys.to_pylist(), *([np.asarray(x.values, np.int64) for x in a] for a in (ts, ns)))
+    return build(numbers, weight, list(rows_of), {y: rows[y] / got[y] for y in got})
 
 
 def score(docs: DataFrame, index: Index, text: str = "text", doc_id: str = "doc_id", threshold: float = 0.3, whole_rows: bool = False) -> DataFrame:
     """For every row: doc_id, score in [0, 1], predicted (1 from the threshold on) and evidence.
 
     evidence lists the nearest examples, nearest first, as (doc_id, similarity, toxic); all that tie
-    with the last vote, but are not listed. A text with none of the features, null and empty texts
-    included, has no evidence and the calibrated score of the examples that have none. Repeated rows score alike. With whole_rows a struct named row holds the columns of docs.
+    with the last vote, but are not listed. A text that shares no term with an example, null and empty texts
+    included, has no evidence and the calibrated score of the prior. Repeated rows score alike. With whole_rows a struct named row holds the columns of docs.
     """
     small_batches(docs.sparkSession)
-    work = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
-    if whole_rows:
-        work = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"), F.struct(*docs.columns).alias("row"))
+    row = [F.struct(*docs.columns).alias("row")] if whole_rows else []
+    work = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"), *row)
     found = StructType.fromDDL("score double, predicted int, evidence array<struct<doc_id:string,similarity:double,toxic:int>>")
     schema = StructType([work.schema["doc_id"], *found.fields, *([work.schema["row"]] if whole_rows else [])])
     evidence = pa.list_(pa.struct([("doc_id", pa.string()), ("similarity", pa.float64()), ("toxic", pa.int32())]))
+    shared = docs.sparkSession.sparkContext.broadcast(index)
 
     def run(batches):
-        cache = {}
+        own = shared.value
+        reader = Reader(own.numbers)
         for b in batches:
             scores, why = [], []
             for t in b.column(1):
-                counts = _chosen(word_counts(t.as_py()), index.features, cache)
-                vote, places, near = index.judge(counts)
-                scores.append(index.calibrated(vote))
-                best = zip(places[:NEIGHBOURS].tolist(), near[:NEIGHBOURS].tolist())
-                why.append([{"doc_id": str(index.ids[p]), "similarity": s, "toxic": int(index.labels[p])} for p, s in best])
+                places, near = own.nearest(*own.vector(*reader.counts(t.as_py())), NEIGHBOURS)
+                scores.append(own.calibrated(own.vote(places, near)))
+                why.append([{"doc_id": str(own.ids[p]), "similarity": s, "toxic": int(own.labels[p])} for p, s in zip(places[:NEIGHBOURS].tolist(), near[:NEIGHBOURS].tolist())])
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(scores, pa.float64()), pa.array([int(s >= threshold) for s in scores], pa.int32()), pa.array(why, evidence), *([b.column(2)] if whole_rows else [])],
                 ["doc_id", "score", "predicted", "evidence", *["row"] * whole_rows],

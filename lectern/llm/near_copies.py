@@ -1,33 +1,38 @@
-"""Near copies by the Jaccard similarity of word shingles: MinHash bands propose pairs, exact counts decide."""
+"""Near copies by SimHash: the pigeonring filter at a radius that reaches a Jaccard similarity, which exact counts decide.
+
+A part of the SimHash operator: texts whose word shingles are alike have close fingerprints. The first 64 bits of a
+fingerprint stand on the ring; pairs whose chains of segments keep to their budgets meet, the full distance over all
+128 bits prunes them, and the similarity of the whole sets of shingles decides.
+"""
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import cut, small_batches
-from .simhash import classes_of, connected_components, keep_one
+from .common import connected_components, cut, small_batches
+from .simhash import classes_of, keep_one, word_bounds
 
 #: Words of a shingle and the least similarity of near copies.
 WORDS, LEAST = 5, 0.8
-#: Bands and their hashes: a pair of similarity 0.8 shares no band with probability (1 - 0.8^5)^32, or 3 in a million.
-BANDS, ROWS = 32, 5
-#: Orders by which the rows of a long run are put beside each other.
-ORDERS = 4
-#: All pairs of a band's run of up to so many texts are compared at once; in longer runs neighbours first, then what is not one class yet.
-SHORT_RUN = 8
-#: Shingles hashed at once.
-CHUNK = 1 << 12
+#: Segments of the ring and their width; differing bits of the ring, and of the whole fingerprint, of a candidate pair.
+SEGMENTS, WIDTH, RADIUS, WHOLE = 16, 4, 14, 28
+#: Differences allowed in the first 1, 2, ... segments of a chain.
+BUDGETS = [RADIUS * n // SEGMENTS for n in range(1, SEGMENTS + 1)]
+#: Fingerprints compared at once; a larger product of two sides is split by the next segment of the chain.
+AT_ONCE = 1 << 20
+#: In a bucket with more candidate pairs a node than this, each node's best two are tried before the others.
+FEW = 4
 #: Words of 64 bits of the bitmap that tells which texts are compared.
 BITMAP = 1 << 18
 
-_UPPER = bytes(range(65, 91))
-_FOLD = bytes.maketrans(_UPPER, _UPPER.lower())
-_DRAWN = np.random.default_rng(42).integers(0, 1 << 32, (2, BANDS * ROWS + ORDERS), np.uint32)
+_RATIO = math.log(1 / LEAST)
 
 
 def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
@@ -35,34 +40,35 @@ def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
 
     Fewer words make one shingle of all; null, empty and blank texts have none.
     """
-    found = (text or "").encode("utf-8", "replace").translate(_FOLD).split()
-    if not found:
+    joined, starts, ends = word_bounds(text)
+    if not len(starts):
         return np.zeros(0, np.uint64)
-    joined = b" ".join(found)
-    ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1) - 1
-    starts = np.concatenate(([0], ends[:-1] + 1))
-    most = max(1, len(found) - words + 1)
+    most = max(1, len(starts) - words + 1)
     starts, ends = starts[:most], ends[-most:]
     return np.unique(np.fromiter((xxhash.xxh64_intdigest(joined[a:b], 42) for a, b in zip(starts.tolist(), ends.tolist())), np.uint64, most))
 
 
-def bands(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The keys of the bands of a set of hashes, and for each the place of the text in a long run."""
-    a, b = _DRAWN[0] | np.uint32(1), _DRAWN[1]
-    low, least = (hashes >> np.uint64(32)).astype(np.uint32), np.full(len(a), 0xFFFFFFFF, np.uint32)
-    for at in range(0, len(low), CHUNK):
-        np.minimum(least, (low[at : at + CHUNK, None] * a + b).min(axis=0), out=least)
-    raw = least.tobytes()
-    keys = np.array([xxhash.xxh64_intdigest(raw[k * ROWS * 4 : (k + 1) * ROWS * 4], k) for k in range(BANDS)], np.uint64)
-    return keys.view(np.int64), least[BANDS * ROWS + np.arange(BANDS) % ORDERS].view(np.int32)
+def fingerprint(hashes: np.ndarray) -> tuple[int, int]:
+    """The 128-bit fingerprint of a set of hashes, as two signed numbers: majorities of its bits, and of those of its mixed hashes."""
+    out = []
+    with np.errstate(over="ignore"):
+        mixed = (hashes ^ hashes >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
+        mixed = (mixed ^ mixed >> np.uint64(32)) * np.uint64(0x94D049BB133111EB)
+    for h in (hashes, mixed ^ mixed >> np.uint64(31)):
+        counts = np.zeros(64, np.int64)
+        for at in range(0, len(h), 1 << 14):
+            counts += np.unpackbits(h[at : at + (1 << 14)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+        out.append(int.from_bytes(np.packbits(counts * 2 > len(h)).tobytes(), "big", signed=True))
+    return out[0], out[1]
 
 
-def sets(docs: DataFrame, text: str, doc_id: str, words: int, banded: bool = False, grams: bool = False, whole_rows: bool = False) -> DataFrame:
-    """(doc_id, fp[, n, keys, places][, grams][, row]) for every row; fp is a hash of the text's set of shingles."""
+def sets(docs: DataFrame, text: str, doc_id: str, words: int, prints: bool = False, grams: bool = False, whole_rows: bool = False) -> DataFrame:
+    """(doc_id, fp[, n, ring, rest][, grams][, row]) for every row; fp is a hash of the text's set of shingles."""
     small_batches(docs.sparkSession)
     row = [F.struct(*docs.columns).alias("row")] if whole_rows else []
     work = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"), *row)
-    added = StructType.fromDDL(", ".join(["n int, keys array<bigint>, places array<int>"] * banded + ["grams array<bigint>"] * grams)).fields if banded or grams else []
+    added = ["n int, ring bigint, rest bigint"] * prints + ["grams array<bigint>"] * grams
+    added = StructType.fromDDL(", ".join(added)).fields if added else []
     schema = StructType([work.schema["doc_id"], StructField("fp", LongType()), *added, *([work.schema["row"]] if whole_rows else [])])
 
     def run(batches):
@@ -70,9 +76,9 @@ def sets(docs: DataFrame, text: str, doc_id: str, words: int, banded: bool = Fal
             found = [shingles(t.as_py(), words) for t in b.column(1)]
             fps = np.array([xxhash.xxh64_intdigest(h.tobytes(), 42) for h in found], np.uint64).view(np.int64)
             out = [b.column(0), pa.array(fps)]
-            if banded:
-                keys, places = zip(*(bands(h) if len(h) else (np.zeros(0, np.int64), np.zeros(0, np.int32)) for h in found)) if found else ((), ())
-                out += [pa.array([len(h) for h in found], pa.int32()), pa.array(keys, pa.list_(pa.int64())), pa.array(places, pa.list_(pa.int32()))]
+            if prints:
+                both = np.array([fingerprint(h) for h in found], np.int64).reshape(-1, 2)
+                out += [pa.array([len(h) for h in found], pa.int32()), pa.array(both[:, 0]), pa.array(both[:, 1])]
             if grams:
                 out.append(pa.array([h.view(np.int64) for h in found], pa.list_(pa.int64())))
             yield pa.RecordBatch.from_arrays([*out, *b.columns[2:]], schema.names)
@@ -80,39 +86,155 @@ def sets(docs: DataFrame, text: str, doc_id: str, words: int, banded: bool = Fal
     return work.mapInArrow(run, schema)
 
 
-def runs(distinct: DataFrame) -> DataFrame:
-    """(k, fp, n, place, size, next): each node under each of its bands that others share, and the nodes after it there."""
-    rows = distinct.select("fp", "n", F.explode(F.arrays_zip("keys", "places")).alias("e")).select("fp", "n", F.col("e.keys").alias("k"), F.col("e.places").alias("place"))
-    run = Window.partitionBy("k")
-    order, own = run.orderBy("place", "fp"), F.struct("fp", "n")
-    rows = rows.withColumn("size", F.count("*").over(run)).withColumn("next", F.array_compact(F.array(*[F.lead(own, d).over(order) for d in range(1, SHORT_RUN)])))
-    return rows.where("size > 1")
-
+def turned(ring: np.ndarray, start: int) -> np.ndarray:
+    """Rings turned so that the segment of the start stands first, from the highest bits down."""
+    at = np.uint64(WIDTH * start)
+    return ring if not start else ring << at | ring >> (np.uint64(64) - at)
 
-def _pairs(rows: DataFrame, least: float) -> DataFrame:
-    """Distinct pairs (a, b) of rows (fp, n, o) whose sizes allow the similarity."""
-    rows = rows.where(F.least("n", "o.n") >= F.greatest("n", "o.n") * (least - 1e-9))
-    return rows.select(F.least("fp", "o.fp").alias("a"), F.greatest("fp", "o.fp").alias("b")).distinct()
 
+def chained(differ: np.ndarray) -> np.ndarray:
+    """Whether the chains from the first segment of turned differences keep to their budgets at every length."""
+    sums = np.zeros(len(differ), np.int64)
+    good = np.ones(len(differ), bool)
+    for n, most in enumerate(BUDGETS):
+        sums += np.bitwise_count(differ >> np.uint64(64 - WIDTH * (n + 1)) & np.uint64((1 << WIDTH) - 1))
+        good &= sums <= most
+    return good
 
-def first_pairs(banded: DataFrame, least: float) -> DataFrame:
-    """All pairs of short runs; in longer ones each node and the next by a further MinHash value, another in the next band."""
-    met = F.when(F.col("size") <= SHORT_RUN, F.col("next")).otherwise(F.slice("next", 1, 1))
-    return _pairs(banded.select("fp", "n", F.explode(met).alias("o")), least)
 
+class Bucket:
+    """The nodes of one chain start, first segment and class of sizes; those of the class below are guests.
 
-def other_pairs(banded: DataFrame, parts: DataFrame, least: float) -> DataFrame:
-    """The pairs of long runs that first_pairs() left and whose nodes are in different classes so far.
+    hits() yields the places (i, j) and distances of all pairs, but of two guests, that pass the filter.
+    """
 
-    A run's nodes outside its most frequent class meet all nodes of the run, so no link of classes is lost and a large
-    group that is one class already makes no pairs.
+    def __init__(self, ring, rest, size, guest):
+        order = np.lexsort((ring, guest))
+        self.order, self.ring, self.rest, self.size = order, ring[order], rest[order], size[order].astype(np.int64)
+        self.own = int((~guest).sum())
+
+    def _pairs(self, a0, a1, b0, b1, level, spent):
+        """Pairs of two ranges that agree in their first segments but for so many bits, split while they are many."""
+        if a0 >= a1 or b0 >= b1:
+            return
+        if level == SEGMENTS or (a1 - a0) * (b1 - b0) <= AT_ONCE:
+            step = max(1, AT_ONCE // (b1 - b0))
+            for i in range(a0, a1, step):
+                to = min(a1, i + step)
+                from_ = max(b0, i + 1) if (a0, a1) == (b0, b1) else b0
+                differ = self.ring[i:to, None] ^ self.ring[None, from_:b1]
+                x, y = np.nonzero(np.bitwise_count(differ) <= RADIUS)
+                d = differ[x, y]
+                x, y = x + i, y + from_
+                small, large = np.minimum(self.size[x], self.size[y]), np.maximum(self.size[x], self.size[y])
+                keep = (x < y) & (small >= large * (LEAST - 1e-9))
+                x, y, d = x[keep], y[keep], d[keep]
+                far = np.bitwise_count(d).astype(np.int64) + np.bitwise_count(self.rest[x] ^ self.rest[y])
+                keep = (far <= WHOLE) & chained(d)
+                if keep.any():
+                    yield x[keep], y[keep], far[keep]
+            return
+        at = np.uint64(64 - WIDTH * (level + 1))
+        values = np.arange(1 << WIDTH)
+        split = lambda lo, hi: lo + np.searchsorted(self.ring[lo:hi] >> at & np.uint64((1 << WIDTH) - 1), np.arange((1 << WIDTH) + 1))
+        a, b, same = split(a0, a1), split(b0, b1), (a0, a1) == (b0, b1)
+        for x in values.tolist():
+            for y in values[x if same else 0 :].tolist():
+                now = spent + (x ^ y).bit_count()
+                if now <= BUDGETS[level]:
+                    yield from self._pairs(int(a[x]), int(a[x + 1]), int(b[y]), int(b[y + 1]), level + 1, now)
+
+    def hits(self):
+        yield from self._pairs(0, self.own, 0, self.own, 1, 0)
+        yield from self._pairs(0, self.own, self.own, len(self.ring), 1, 0)
+
+
+def _first_choice(bucket: Bucket) -> tuple[np.ndarray, np.ndarray, bool]:
+    """All candidate pairs of a bucket where they are few; else for each node its nearest and its most central partner."""
+    n, count = len(bucket.ring), 0
+    x, y, central = [], [], np.zeros(n)
+    for i, j, d in bucket.hits():
+        count += len(i)
+        if count <= FEW * n:
+            x.append(i)
+            y.append(j)
+        near = WHOLE + 1.0 - d
+        central += np.bincount(i, near, n) + np.bincount(j, near, n)
+    if not count:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), True
+    if count <= FEW * n:
+        return np.concatenate(x), np.concatenate(y), True
+    rank = np.empty(n)
+    rank[np.lexsort((np.arange(n), -central))] = np.arange(n)
+    best = [np.full(n, np.inf), np.full(n, np.inf)]
+    mate = [np.zeros(n, np.int64), np.zeros(n, np.int64)]
+    for i, j, d in bucket.hits():
+        for one, other in ((i, j), (j, i)):
+            for which, cost in enumerate((d * float(n) + rank[other], rank[other])):
+                order = np.lexsort((cost, one))
+                who = one[order]
+                head = order[np.concatenate(([True], who[1:] != who[:-1]))]
+                better = head[cost[head] < best[which][one[head]]]
+                best[which][one[better]], mate[which][one[better]] = cost[better], other[better]
+    got = np.flatnonzero(best[0] < np.inf)
+    return np.tile(got, 2), np.concatenate([m[got] for m in mate]), False
+
+
+def candidates(nodes: DataFrame, parts: bool = False) -> DataFrame:
+    """(a, b, whole): pairs of nodes (fp, n, ring, rest[, component]) that pass the filter, each once or more.
+
+    A node goes under the first segment of each chain start and its class of sizes, and as a guest to the next
+    class, since sets of that similarity differ in size by no more than a class. Without parts a bucket of many pairs gives
+    two a node, and whole is false; with parts all pairs of different components come.
     """
-    rows = banded.where(F.col("size") > SHORT_RUN).select("k", "fp", "n").join(parts.withColumnRenamed("node", "fp"), "fp", "left")
-    rows = cut(rows.select("k", "fp", "n", F.coalesce("component", "fp").alias("class")))
-    main = rows.groupBy("k", "class").agg(F.count("*").alias("c")).groupBy("k").agg(F.max_by("class", F.struct("c", "class")).alias("main"))
-    rest = rows.join(main, "k").where(F.col("class") != F.col("main")).drop("main")
-    every = rows.select("k", F.col("class").alias("own"), F.struct("fp", "n").alias("o"))
-    return _pairs(rest.join(every, "k").where(F.col("class") != F.col("own")), least)
+    size = F.floor(F.ln(F.greatest(F.col("n"), F.lit(1))) / F.lit(_RATIO) + F.lit(1e-9)).cast("int")
+    start = F.explode(F.array(*[
+        F.struct(F.lit(s).alias("t"), F.shiftrightunsigned("ring", 64 - WIDTH * (s + 1)).bitwiseAND(F.lit((1 << WIDTH) - 1)).cast("int").alias("k"), F.lit(g).alias("guest"), (size + g).alias("size"))
+        for s in range(SEGMENTS) for g in (0, 1)
+    ]))
+    label = F.col("component") if parts else F.col("fp").alias("component")
+    rows = nodes.where("n > 0").select(start.alias("e"), "fp", "n", "ring", "rest", label)
+    rows = rows.select(((F.col("e.size").cast("long") * SEGMENTS + F.col("e.t")) * (1 << WIDTH) + F.col("e.k")).alias("key"), "e.t", "e.guest", "fp", "n", "ring", "rest", "component")
+
+    def pairs(held):
+        key, t, guest, fp, n, ring, rest, component = held
+        cuts = np.flatnonzero(np.diff(key)) + 1
+        for lo, hi in zip(np.concatenate(([0], cuts)).tolist(), np.concatenate((cuts, [len(key)])).tolist()):
+            if hi - lo < 2 or guest[lo:hi].all():
+                continue
+            ids, own = fp[lo:hi], component[lo:hi]
+            bucket = Bucket(turned(ring[lo:hi].view(np.uint64), int(t[lo])), rest[lo:hi].view(np.uint64), n[lo:hi], guest[lo:hi] > 0)
+            ids, own = ids[bucket.order], own[bucket.order]
+            if parts:
+                for x, y, _ in bucket.hits():
+                    keep = own[x] != own[y]
+                    if keep.any():
+                        yield ids[x[keep]], ids[y[keep]], True
+            else:
+                x, y, whole = _first_choice(bucket)
+                if len(x):
+                    yield ids[x], ids[y], whole
+
+    def run(batches):
+        held = None
+
+        def send(part):
+            for a, b, whole in pairs(part):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(np.full(len(a), whole))], ["a", "b", "whole"])
+
+        for batch in batches:
+            now = [np.asarray(c) for c in batch.columns]
+            held = now if held is None else [np.concatenate(x) for x in zip(held, now)]
+            if not len(held[0]):
+                continue
+            last = int(np.searchsorted(held[0], held[0][-1]))
+            if last:
+                yield from send([c[:last] for c in held])
+                held = [c[last:] for c in held]
+        if held is not None and len(held[0]):
+            yield from send(held)
+
+    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a bigint, b bigint, whole boolean")
 
 
 def _only(docs: DataFrame, doc_id: str, ids: DataFrame) -> DataFrame:
@@ -127,28 +249,36 @@ def _only(docs: DataFrame, doc_id: str, ids: DataFrame) -> DataFrame:
 
 
 def near_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = WORDS, least: float = LEAST) -> DataFrame:
-    """(doc_id, fp, component_id, class_fp) for every row, as simhash.near_duplicates() has them.
+    """(doc_id, fp, component_id, class_fp) for every row, as simhash.near_duplicates() has them; fp is a hash of the text's shingles.
 
-    Texts link if the Jaccard similarity of their shingles is at least so much, which is counted on the whole sets of
-    every candidate pair. Texts with the same shingles are one node, so groups of copies make no pairs.
+    Candidate pairs whose shingles have a Jaccard similarity of at least so much, counted on the whole sets, link.
+    Texts with the same shingles are one node, so copies make no pairs. A large group of near copies
+    does not make all its pairs either: each node's nearest and most central partners are counted first, then only
+    pairs that lie in different classes after that. least must not be below LEAST, which the radius is made for.
     """
-    found = cut(sets(docs, text, doc_id, words, banded=True))
-    distinct = cut(found.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.any_value("n").alias("n"), F.any_value("keys").alias("keys"), F.any_value("places").alias("places")))
-    banded = cut(runs(distinct))
-    nodes = banded.select("fp").distinct()
+    if least < LEAST:
+        raise ValueError(f"the radius reaches similarities of {LEAST} or more")
+    found = cut(sets(docs, text, doc_id, words, prints=True))
+    distinct = cut(found.groupBy("fp").agg(F.min("doc_id").alias("rep"), *[F.any_value(c).alias(c) for c in ("n", "ring", "rest")]))
+    pairs = cut(candidates(distinct).groupBy("a", "b").agg(F.min("whole").alias("whole")))
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
     wanted = nodes.join(distinct.select("fp", "rep"), "fp").where("rep is not null").select(F.col("rep").alias("id"))
     grams = sets(_only(docs.select(doc_id, text), doc_id, wanted), text, doc_id, words, grams=True)
     grams = cut(grams.groupBy("fp").agg(F.any_value("grams").alias("grams")))
 
     def alike(pairs):
-        both = pairs.join(grams.select(F.col("fp").alias("a"), F.col("grams").alias("x")), "a").join(grams.select(F.col("fp").alias("b"), F.col("grams").alias("y")), "b")
+        both = pairs.select("a", "b").join(grams.select(F.col("fp").alias("a"), F.col("grams").alias("x")), "a").join(grams.select(F.col("fp").alias("b"), F.col("grams").alias("y")), "b")
         both = both.withColumn("s", F.size(F.array_intersect("x", "y")))
         return both.where(F.col("s") >= (F.size("x") + F.size("y") - F.col("s")) * (least - 1e-9)).select("a", "b")
 
-    edges = cut(alike(first_pairs(banded, least)))
+    edges = cut(alike(pairs))
     parts = connected_components(edges)
-    if banded.where(F.col("size") > SHORT_RUN).limit(1).count():
-        more = cut(alike(other_pairs(banded, parts, least)))
+    if pairs.where("not whole").limit(1).count():
+        crowd = pairs.where("not whole").select(F.explode(F.array("a", "b")).alias("fp")).distinct()
+        again = distinct.join(crowd, "fp").join(parts.withColumnRenamed("node", "fp"), "fp", "left")
+        again = cut(again.withColumn("component", F.coalesce("component", "fp")))
+        more = candidates(again, parts=True).select("a", "b").distinct().join(pairs.select("a", "b"), ["a", "b"], "left_anti")
+        more = cut(alike(more))
         if more.limit(1).count():
             parts = connected_components(edges.unionByName(more))
     return classes_of(found.select("doc_id", "fp"), distinct.select("fp", "rep"), parts)

@@ -27,6 +27,14 @@ _FOLD = bytes.maketrans(_UPPER, _UPPER.lower())
 # the six characters of ASCII white space; bytes.split() takes exactly these
 
 
+def word_bounds(text: str | None) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """A text's words, A-Z lower-cased and joined by single spaces, and where each starts and ends; a word is a run
+    without ASCII white space."""
+    found = (text or "").encode("utf-8", "replace").translate(_FOLD).split()
+    ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1) - 1
+    return b" ".join(found), np.concatenate(([0], ends[:-1] + 1))[: len(found)], ends
+
+
 def fingerprint(text: str | None, words: int = 3, seed: int = 42) -> int:
     """The fingerprint of a whole text as an unsigned number.
 
@@ -35,16 +43,11 @@ def fingerprint(text: str | None, words: int = 3, seed: int = 42) -> int:
     one shingle of the whole sequence. A bit is 1 if over half the hashes have it. Null, empty and
     blank texts have fingerprint 0. Memory beyond the text is bounded: bits are counted by chunks.
     """
-    found = (text or "").encode("utf-8", "replace").translate(_FOLD).split()
-    if not found:
+    joined, starts, ends = word_bounds(text)
+    if not len(starts):
         return 0
-    joined = b" ".join(found)
-    ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1) - 1
-    starts = np.concatenate(([0], ends[:-1] + 1))
-    if len(found) > words:
-        starts, ends = starts[: 1 - words], ends[words - 1 :]
-    elif len(found) <= words:
-        starts, ends = starts[:1], ends[-1:]
+    most = max(1, len(starts) - words + 1)
+    starts, ends = starts[:most], ends[-most:]
     counts, digest = np.zeros(BITS, np.int64), xxhash.xxh64_digest
     for at in range(0, len(starts), CHUNK):
         part = zip(starts[at : at + CHUNK].tolist(), ends[at : at + CHUNK].tolist())

@@ -16,7 +16,7 @@ from pyspark.sql.types import StructType
 from .common import cut, small_batches
 
 #: The classifier's bound: labelled rows of each class it is fitted on.
-EXAMPLES_PER_CLASS = 2000
+EXAMPLES_PER_CLASS = 1000
 #: Neighbours that vote, examples of an index block (their places fit a byte).
 NEIGHBOURS, BLOCK = 16, 128
 #: Cosines this close, relative to each other, count as equal: postings are 32-bit floats.
@@ -25,44 +25,48 @@ TIE = 1e-5
 DOUBT = 3
 #: Terms of at least this part of the examples have whole rows instead of postings.
 FULL = 1 / 8
-#: Words, and their longest, whose terms a worker remembers before it starts anew.
-CACHE, CACHED_CHARS = 200_000, 64
+#: Characters of those beginnings of words that are terms too.
+BEGINNINGS = (4,)
 
 _WORDS = re.compile(r"\w+")
 _NO_PLACES, _NO_SCORES = np.zeros(0, np.int64), np.zeros(0)
 
 
 def terms_of(word: str) -> list[str]:
-    """The word itself and its beginnings of 4, 5 and 6 characters, marked by a leading ^."""
-    return [word, *("^" + word[:n] for n in (4, 5, 6) if len(word) >= n)]
+    """The word itself and its beginnings of BEGINNINGS characters, marked by a leading ^."""
+    return [word, *("^" + word[:n] for n in BEGINNINGS if len(word) >= n)]
 
 
 class Reader:
     """Counts the terms of whole texts by their numbers; terms that no example has are left out, their weight is 0."""
 
     def __init__(self, numbers: dict[str, int]):
-        self.numbers, self.cache = numbers, {}
-
-    def _of(self, word: str) -> np.ndarray:
-        found = self.cache.get(word)
-        if found is None:
-            found = np.array([self.numbers[t] for t in terms_of(word) if t in self.numbers], np.int64)
-            if len(word) <= CACHED_CHARS:
-                if len(self.cache) >= CACHE:
-                    self.cache.clear()
-                self.cache[word] = found
-        return found
+        # whole words, then the beginnings by their length: a shorter word is none of those
+        self.tables = [{t: i for t, i in numbers.items() if t[0] != "^"}]
+        for n in BEGINNINGS:
+            self.tables.append({t[1:]: i for t, i in numbers.items() if t[0] == "^" and len(t) == n + 1})
 
     def counts(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """The numbers of a text's terms, rising, and how often each stands; none for null and empty texts."""
         words = Counter(_WORDS.findall((text or "").lower()))
-        parts = [self._of(w) for w in words]
-        if not parts:
-            return _NO_PLACES, _NO_PLACES
-        which = np.concatenate(parts)
-        often = np.repeat(np.fromiter(words.values(), np.int64, len(words)), [len(p) for p in parts])
-        terms, at = np.unique(which, return_inverse=True)
-        return terms, np.bincount(at, often, minlength=len(terms)).astype(np.int64)
+        get = self.tables[0].get
+        which = [get(w, -1) for w in words]
+        for n, table in zip(BEGINNINGS, self.tables[1:]):
+            get = table.get
+            which += [get(w[:n], -1) for w in words]
+        which = np.array(which, np.int64)
+        often = np.tile(np.fromiter(words.values(), np.int64, len(words)), len(self.tables))
+        terms, at = np.unique(which[which >= 0], return_inverse=True)
+        return terms, np.bincount(at, often[which >= 0], minlength=len(terms)).astype(np.int64)
+
+    def terms(self, text: str | None) -> set[int]:
+        """The numbers of a text's terms."""
+        words = set(_WORDS.findall((text or "").lower()))
+        found = set(map(self.tables[0].get, words))
+        for n, table in zip(BEGINNINGS, self.tables[1:]):
+            found.update(map(table.get, {w[:n] for w in words}))
+        found.discard(None)
+        return found
 
 
 @dataclass
@@ -222,7 +226,7 @@ def document_frequencies(docs: DataFrame, numbers: dict[str, int], text: str = "
         reader, rows = Reader(shared.value), np.zeros(len(shared.value), np.int64)
         for b in batches:
             for t in b.column(0):
-                rows[reader.counts(t.as_py())[0]] += 1
+                rows[list(reader.terms(t.as_py()))] += 1
         found = np.flatnonzero(rows)
         yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(rows[found])], ["term", "rows"])
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, lower_ascii
@@ -16,11 +16,7 @@ RULES = (
     ("block", "com", "/de/"),
 )
 
-#: Levels of the template tree; deeper segments share one wildcard.
-LEVELS = 4
-#: A node with more distinct children than this has a variable segment below it.
-MOST_CHILDREN = 24
-#: Branches whose block rates differ by less than so many standard errors merge.
+#: A branch stays apart from its siblings if their rates of blocked labels differ by more standard errors than this.
 MERGE_Z = 1.96
 #: Pseudo-counts that draw a template's purity to its host's, and a host's to the whole.
 SMOOTHING = 8.0
@@ -64,73 +60,77 @@ def _shape(segment: Column) -> Column:
 
 
 def _segments(path: Column) -> Column:
-    """The shaped segments of a path, the ones beyond LEVELS as one wildcard; a last slash is a segment of its own."""
+    """The shaped segments of a whole path; a last slash is a segment of its own."""
     parts = F.split(F.regexp_replace(path, "^/", ""), "/")
-    head = F.transform(F.slice(parts, 1, LEVELS), _shape)
-    return F.when(path == "", F.array().cast("array<string>")).when(F.size(parts) > LEVELS, F.concat(head, F.array(F.lit("**")))).otherwise(head)
+    return F.when(path == "", F.array().cast("array<string>")).otherwise(F.transform(parts, _shape))
 
 
-def _apart(rate: str, n: str, lower: Column, m: Column) -> Column:
-    """Whether a rate of n labels is above a lower one of m by the two-proportion test."""
-    pooled = (F.col(rate) * F.col(n) + lower * m) / (F.col(n) + m)
-    error = F.sqrt(pooled * (1 - pooled) * (1 / F.col(n) + 1 / m))
-    return (F.col(rate) - lower) > F.lit(MERGE_Z) * F.greatest(error, F.lit(1e-9))
+def _apart(blocked: Column, labelled: Column, others_blocked: Column, others_labelled: Column) -> Column:
+    """1 if a branch's rate is above that of the others by the two-proportion test, -1 if below, else 0."""
+    own, rest = blocked / labelled, others_blocked / others_labelled
+    pooled = (blocked + others_blocked) / (labelled + others_labelled)
+    error = F.sqrt(pooled * (1 - pooled) * (1 / labelled + 1 / others_labelled))
+    z = (own - rest) / F.greatest(error, F.lit(1e-9))
+    return F.when(others_labelled <= 0, 0).when(z > MERGE_Z, 1).when(z < -MERGE_Z, -1).otherwise(0)
+
+
+def classes(branches: DataFrame) -> DataFrame:
+    """(host, made, seg, class) of branches (host, made, seg, labelled, blocked): statistically similar ones share a class.
+
+    All labelled branches of a node begin in one class. Each is held against all the others of its class; those above go to
+    a class of their own and those below to another, until no branch is apart from its class. Every
+    round is an aggregation over a node's classes, so no task holds a node. Unlabelled branches join the node's
+    class if it has one only, or none; else they are a class of their own, ?.
+    """
+    node = ["host", "made"]
+    known = branches.where("labelled > 0").withColumn("class", F.lit(""))
+    while True:
+        sums = known.groupBy(*node, "class").agg(F.sum("labelled").alias("all_l"), F.sum("blocked").alias("all_b"))
+        sign = _apart(F.col("blocked"), F.col("labelled"), F.col("all_b") - F.col("blocked"), F.col("all_l") - F.col("labelled"))
+        known = cut(known.join(sums, [*node, "class"]).withColumn("sign", sign).select(
+            *node, "seg", "labelled", "blocked", F.concat("class", F.when(F.col("sign") > 0, "+").when(F.col("sign") < 0, "-").otherwise("")).alias("class"), "sign"
+        ))
+        if not known.where("sign <> 0").limit(1).count():
+            break
+        known = known.drop("sign")
+    several = known.groupBy(*node).agg(F.min("class").alias("only"), F.count_distinct("class").alias("k"))
+    rest = branches.where("labelled = 0").join(several, node, "left")
+    rest = rest.select(*node, "seg", F.when(F.coalesce("k", F.lit(0)) > 1, "?").otherwise(F.coalesce("only", F.lit(""))).alias("class"))
+    return known.select(*node, "seg", "class").unionByName(rest)
 
 
 def templates(paths: DataFrame) -> DataFrame:
     """(host, shape, template, n, labelled, blocked, purity, rejected) for each distinct (host, shape) of paths.
 
     paths has host, shape (array of shaped segments), n, labelled and blocked counts. The tree of each
-    host is built level by level from these sums, so no task holds a host. At a node with more than
-    MOST_CHILDREN distinct children their segment becomes a wildcard, but for labelled branches whose rate
-    is apart from that of all the others: those above and those below it make a wildcard each, {more} and
-    {less}. Other branches that share the shape of what is below them merge if their rates of blocked
-    labels are statistically similar: labelled ones sorted by rate, neighbours merge unless a
-    two-proportion test tells them apart; unlabelled ones join the labelled class if it is the only one,
-    else they are a class of their own. purity is the part of blocked labels, drawn to the host's and that to the
-    whole; a template is rejected from REJECT_FROM on.
+    host is built level by level from these sums, as deep as two paths go together. At a node the
+    branches of one class (see classes()) become one wildcard: * for those that nothing sets apart, {+}, {-} and so on
+    for those above and below, {?} for unlabelled ones beside several classes; a class of one branch keeps its
+    segment, however many siblings it has. purity is the part of blocked labels, drawn to the host's and that to the
+    whole; a template is rejected from REJECT_FROM on, and only on labels of its own: at least half of them blocked.
     """
-    cur = paths.select("host", "shape", "n", "labelled", "blocked", F.array().cast("array<string>").alias("made"))
-    for level in range(LEVELS):
-        seg = F.get("shape", F.lit(level))
-        has = F.size("shape") > level
-        cur = cur.withColumn("seg", F.when(has, seg))
-        below = F.concat_ws("/", F.transform(F.slice("shape", level + 2, LEVELS + 1), lambda s: F.when(s.startswith("{") | (s == "**"), s).otherwise(F.lit("-"))))
-        branch = (
-            cur.where(F.col("seg").isNotNull())
-            .groupBy("host", "made", "seg")
-            .agg(F.sum("labelled").alias("l"), F.sum("blocked").alias("b"), F.min(below).alias("lo"), F.max(below).alias("hi"))
-        )
-        many = branch.groupBy("host", "made").agg(F.count("*").alias("k")).where(F.col("k") > MOST_CHILDREN)
-        many = many.select(F.col("host").alias("h"), F.col("made").alias("m"))
-        key = (F.col("host") == F.col("h")) & (F.col("made") == F.col("m"))
-        few = branch.join(many, key, "left_anti")
-        # at most MOST_CHILDREN rows share a node from here on, so windows over a node are small
-        node = ["host", "made", "lo", "hi"]
-        # each labelled branch is held against the labelled one before it; the unlabelled ones stand apart
-        few = few.withColumn("known", F.col("l") > 0).withColumn("rate", F.when(F.col("l") > 0, F.col("b") / F.col("l")))
-        order = Window.partitionBy(*node, "known").orderBy("rate", "seg")
-        pl, pr = F.lag("l").over(order), F.lag("rate").over(order)
-        few = few.withColumn("new", F.when(~F.col("known"), 0).when(pr.isNull() | _apart("rate", "l", pr, pl), 1).otherwise(0))
-        few = few.withColumn("class", F.sum("new").over(order))
-        # they join the labelled class if there is one only, else they make a template of their own
-        classes = F.max("class").over(Window.partitionBy(*node))
-        few = few.withColumn("class", F.when(~F.col("known") & (classes == 1), F.lit(1)).otherwise(F.col("class")))
-        names = Window.partitionBy(*node, "class")
-        few = few.withColumn("merged", F.array_join(F.sort_array(F.collect_set("seg").over(names)), "|"))
-        few = few.select(F.col("host").alias("h"), F.col("made").alias("m"), F.col("seg").alias("s"), "merged")
-        # of a node with many children those whose rate is apart from all the others' stay out of its wildcard
-        wide = branch.join(many, key).drop("h", "m")
-        sums = wide.groupBy(F.col("host").alias("h"), F.col("made").alias("m")).agg(F.sum("l").alias("nl"), F.sum("b").alias("nb"))
-        wide = wide.join(sums, key).where("l > 0 and nl > l")
-        wide = wide.withColumn("rate", F.col("b") / F.col("l")).withColumn("others", (F.col("nb") - F.col("b")) / (F.col("nl") - F.col("l"))).withColumn("rest", F.col("nl") - F.col("l"))
-        above, below_ = _apart("rate", "l", F.col("others"), F.col("rest")), _apart("others", "rest", F.col("rate"), F.col("l"))
-        wide = wide.withColumn("merged", F.when(above, "{more}").when(below_, "{less}")).where("merged is not null")
-        few = few.unionByName(wide.select("h", "m", F.col("seg").alias("s"), "merged"))
-        joined = cur.join(few, (F.col("host") == F.col("h")) & (F.col("made") == F.col("m")) & (F.col("seg") == F.col("s")), "left")
-        step = F.when(F.col("seg").isNull(), F.lit(None).cast("string")).otherwise(F.coalesce("merged", F.lit("*")))
-        cur = cut(joined.select("host", "shape", "n", "labelled", "blocked", F.when(step.isNull(), F.col("made")).otherwise(F.concat("made", F.array(step))).alias("made")))
-    cur = cur.withColumn("template", F.concat(F.lit("/"), F.array_join("made", "/"), F.when(F.size("shape") > LEVELS, "/**").otherwise("")))
+    node = ["host", "made"]
+    columns = ["host", "shape", "n", "labelled", "blocked", "made"]
+    cur, done = paths.select(*columns[:-1], F.array().cast("array<string>").alias("made")), None
+    level = 0
+    while True:
+        # a node of one path needs no tree below it
+        alone = cut(cur.groupBy(*node).agg(F.count("*").alias("paths")))
+        cur = cur.join(alone, node).withColumn("open", (F.size("shape") > level) & (F.col("paths") > 1))
+        cur = cut(cur.select(*columns, "open"))
+        ended = cur.where("not open").select(*columns[:-1], F.concat("made", F.slice("shape", level + 1, F.greatest(F.size("shape") - level, F.lit(0)))).alias("made"))
+        done = ended if done is None else done.unionByName(ended)
+        cur = cur.where("open").drop("open").withColumn("seg", F.get("shape", F.lit(level)))
+        if not cur.limit(1).count():
+            break
+        branch = cut(cur.groupBy(*node, "seg").agg(F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked")))
+        own = cut(classes(branch))
+        size = own.groupBy(*node, "class").agg(F.count("*").alias("branches"))
+        name = F.when(F.col("branches") == 1, F.col("seg")).when(F.col("class") == "", "*").otherwise(F.concat(F.lit("{"), F.col("class"), F.lit("}")))
+        named = own.join(size, [*node, "class"]).select(*node, "seg", name.alias("step"))
+        cur = cut(cur.join(named, [*node, "seg"]).select(*columns[:-1], F.concat("made", F.array("step")).alias("made")))
+        level += 1
+    cur = cut(done.withColumn("template", F.concat(F.lit("/"), F.array_join("made", "/"))))
     own = cur.groupBy("host", "template").agg(*[F.sum(c).alias(c) for c in ("n", "labelled", "blocked")])
     hosts = own.groupBy(F.col("host").alias("h")).agg(F.sum("labelled").alias("hl"), F.sum("blocked").alias("hb"))
     labelled, blocked = own.agg(F.sum("labelled"), F.sum("blocked")).first()
@@ -138,7 +138,8 @@ def templates(paths: DataFrame) -> DataFrame:
     host_rate = (F.col("hb") + SMOOTHING * base) / (F.col("hl") + SMOOTHING)
     purity = (F.col("blocked") + SMOOTHING * host_rate) / (F.col("labelled") + SMOOTHING)
     judged = own.join(hosts, F.col("host") == F.col("h")).withColumn("purity", purity)
-    judged = judged.select("host", "template", "n", "labelled", "blocked", "purity", (F.col("purity") >= REJECT_FROM).alias("rejected"))
+    rejected = (F.col("purity") >= REJECT_FROM) & (F.col("labelled") > 0) & (F.col("blocked") * 2 >= F.col("labelled"))
+    judged = judged.select("host", "template", "n", "labelled", "blocked", "purity", rejected.alias("rejected"))
     return cur.select("host", "shape", "template").join(judged, ["host", "template"])
 
 

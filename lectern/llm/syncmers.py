@@ -16,7 +16,6 @@ RUN_ROWS, MOST_RUNS = 2000, 10_000
 
 # scripts written without spaces: each such character is a word of its own
 _UNSPACED = "[\\u2E80-\\u9FFF\\uAC00-\\uD7AF\\uF900-\\uFAFF]"
-_NONE = 1 << 40
 
 
 def words(text: Column) -> Column:
@@ -65,30 +64,47 @@ def anchors(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Data
 
 
 def _sketch(df: DataFrame, text: str, to: str) -> DataFrame:
-    """df with a column to: all distinct syncmer hashes of a text column, sorted, as ints.
+    """df with a column to: the anchors of a text column, sorted, each hash once at its first place.
 
-    A text without syncmers has one hash of all its words, or of itself if it has no words.
+    An anchor is one number: 32 bits of hash, above the place of its first word. A text without syncmers has one
+    anchor at 0, the hash of all its words, or of itself if it has no words.
     """
     df = df.withColumn("h__", _hashes(F.col(text)))
     df = df.withColumn("g__", F.when(F.size("h__") >= K, _inner(F.col("h__"))))
+    packed = lambda i, x: F.shiftleft(x - (1 << 31), 32).bitwiseOR(i.cast("long"))
     chosen = F.when(
-        F.col("g__").isNotNull(), _choose(F.col("h__"), F.col("g__"), lambda i, x: x, F.lit(_NONE))
+        F.col("g__").isNotNull(), F.array_compact(_choose(F.col("h__"), F.col("g__"), packed, F.lit(None).cast("long")))
     ).otherwise(F.array().cast("array<bigint>"))
-    df = df.withColumn("c__", F.array_remove(F.sort_array(F.array_distinct(chosen)), _NONE))
+    df = df.withColumn("c__", F.sort_array(chosen))
+    first = F.filter("c__", lambda x, i: (i == 0) | (F.shiftright(x, 32) != F.shiftright(F.get("c__", i - 1), 32)))
     whole = F.shiftrightunsigned(F.xxhash64(F.when(F.size("h__") > 0, F.array_join(F.col("h__").cast("array<string>"), " ")).otherwise(F.col(text))), 32)
-    kept = F.when(F.size("c__") > 0, F.col("c__")).otherwise(F.array(whole))
-    # signed 32-bit numbers in the same order
-    return df.withColumn(to, F.transform(kept, lambda x: (x - (1 << 31)).cast("int"))).drop("h__", "g__", "c__")
+    return df.withColumn(to, F.when(F.size("c__") > 0, first).otherwise(F.array(packed(F.lit(0), whole)))).drop("h__", "g__", "c__")
 
 
 def as_text(sketch: Column) -> Column:
-    """A fingerprint as a string: eight hex digits for each hash."""
-    return F.array_join(F.transform(sketch, lambda x: F.lpad(F.lower(F.hex(x.cast("bigint") + (1 << 31))), 8, "0")), "")
+    """A fingerprint as a string: sixteen hex digits for each anchor, its hash and its place."""
+    return F.array_join(F.transform(sketch, lambda x: F.lpad(F.hex(x), 16, "0")), "")
+
+
+def matched(a: Column, b: Column) -> Column:
+    """How many anchors of two fingerprints stand for the same passage.
+
+    Each hash that both hold votes for the shift between its places; anchors count whose shift another
+    anchor votes for too, or the only one in common. Sorted arrays side by side make this linear but for sorting.
+    """
+    other = F.lit(1 << 31)
+    both = F.sort_array(F.concat(a, F.transform(b, lambda x: x.bitwiseOR(other))))
+    place = lambda x: x.bitwiseAND(F.lit((1 << 31) - 1))
+    head = lambda x: F.shiftright(x, 32)
+    shifts = lambda m: F.sort_array(F.array_compact(F.transform(m, lambda x, i: F.when(head(x) == head(F.get(m, i + 1)), place(F.get(m, i + 1)) - place(x)))))
+    agreed = lambda s: F.when(F.size(s) == 1, 1).otherwise(F.size(F.filter(s, lambda x, i: x.eqNullSafe(F.get(s, i - 1)) | x.eqNullSafe(F.get(s, i + 1)))))
+    once = lambda value, f: F.get(F.transform(F.array(value), f), 0)
+    return once(once(both, shifts), agreed)
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """The Jaccard likeness of two fingerprints, which hold all hashes of their texts."""
-    return F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b))
+    """The part of all anchors of two fingerprints that matched() finds in both, 0 to 1; 1 for equal texts."""
+    return F.transform(F.array(matched(a, b)), lambda m: m / (F.size(a) + F.size(b) - m))[0]
 
 
 def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:

@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from .common import small_batches
 
-#: Pre-tokens whose ids a worker remembers before it starts anew.
-CACHE = 200_000
+#: Pre-tokens whose ids a worker remembers before it starts anew, and their characters: about 40 MB at most.
+CACHE, CACHED_CHARS = 200_000, 32
 
 
 def read_ranks(path: str) -> list[bytes]:
@@ -82,24 +82,29 @@ class Codec:
         import sentencepiece
 
         self.merges = sentencepiece.SentencePieceProcessor(model_proto=model or serialise(tokens))
-        self.tokens, self.most = tokens, cache
+        self.most = cache
+        # the inverse mapping: each piece of the model back to the bytes its characters stand for
+        back = {c: bytes([b]) for b, c in enumerate(byte_chars())}
+        unknown = self.merges.unk_id()
+        self.pieces = [b"" if i == unknown else b"".join(map(back.__getitem__, self.merges.id_to_piece(i))) for i in range(self.merges.get_piece_size())]
         self.find = regex.compile(pattern).findall
         self.whole = {t: i for i, t in enumerate(tokens)}
         self.table = {b: c for b, c in enumerate(byte_chars())}
         self.known: dict[str, bytes] = {}
 
-    def _ids(self, pieces: list[str]) -> None:
-        rest = []
+    def _ids(self, pieces: list[str]) -> dict[str, bytes]:
+        rest, out = [], {}
         for p in pieces:
             raw = p.encode("utf-8", "replace")
             rank = self.whole.get(raw)
             if rank is None:
                 rest.append((p, raw.decode("latin-1").translate(self.table)))
             else:
-                self.known[p] = struct.pack("<I", rank)
+                out[p] = struct.pack("<I", rank)
         if rest:
             for (p, _), ids in zip(rest, self.merges.encode([m for _, m in rest], num_threads=1)):
-                self.known[p] = np.array(ids, "<u4").tobytes()
+                out[p] = np.array(ids, "<u4").tobytes()
+        return out
 
     def encode_bytes(self, text: str | None) -> bytes:
         """The ids of a text as little-endian unsigned 32-bit numbers; none for null or empty texts."""
@@ -109,20 +114,22 @@ class Codec:
             return b"".join(map(known.__getitem__, found))
         except KeyError:
             pass
-        if len(known) > self.most:
+        own = self._ids([p for p in dict.fromkeys(found) if p not in known])
+        out = b"".join([own[p] if p in own else known[p] for p in found])
+        if len(known) + len(own) > self.most:
             known.clear()
-        self._ids([p for p in dict.fromkeys(found) if p not in known])
-        return b"".join(map(known.__getitem__, found))
+        known.update((p, ids) for p, ids in own.items() if len(p) <= CACHED_CHARS)
+        return out
 
     def encode(self, text: str | None) -> list[int]:
         return np.frombuffer(self.encode_bytes(text), "<u4").tolist()
 
     def decode_bytes(self, ids: bytes) -> bytes:
         """The bytes that the ids stand for: the inverse of the byte mapping over their pieces."""
-        return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+        return b"".join(map(self.pieces.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
     def decode(self, ids: list[int]) -> bytes:
-        return b"".join(self.tokens[i] for i in ids)
+        return b"".join(map(self.pieces.__getitem__, ids))
 
 
 def encode(
@@ -161,15 +168,17 @@ def encode(
 
 
 def decode(encoded: DataFrame, vocab_path: str, ids: str = "ids", doc_id: str = "doc_id") -> DataFrame:
-    """(doc_id, text) from lists of ids; bytes that are no UTF-8 become replacement characters, null ids null."""
+    """(doc_id, text) from lists of ids, by the pieces of the model; bytes that are no UTF-8 become replacement
+    characters, null ids null, ids that are no piece an error."""
     tokens = read_ranks(vocab_path)
-    shared = encoded.sparkSession.sparkContext.broadcast(tokens)
+    shared = encoded.sparkSession.sparkContext.broadcast((tokens, "", serialise(tokens)))
     work = encoded.select(F.col(doc_id).alias("doc_id"), F.col(ids).alias("ids"))
     kind = work.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
+        codec = Codec(*shared.value)
         for b in batches:
-            found = [None if x is None else b"".join(shared.value[i] for i in x).decode("utf-8", "replace") for x in b.column(1).to_pylist()]
+            found = [None if x is None else codec.decode(x).decode("utf-8", "replace") for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.string())], ["doc_id", "text"])
 
     return work.mapInArrow(run, f"doc_id {kind}, text string")

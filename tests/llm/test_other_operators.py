@@ -98,14 +98,14 @@ def test_top_k(spark, block, monkeypatch):
     rng = np.random.default_rng(block)
     rows = [(i, [float(x) for x in rng.integers(-4, 5, 6)]) for i in range(-60, 140)]
     rows += [(500 + i, [1.0] * 6) for i in range(30)]  # ties and one vector many times
-    rows += [(700, None), (None, [1.0] * 6), (701, [1.0, None] + [0.0] * 4), (702, [float("nan")] * 6), (703, [float("inf")] * 6), (704, []), (720, [2.0, 3.0]), (721, [1.0, 1.0]), (740, [9e6] * 6)]
+    rows += [(700, None), (None, [1.0] * 6), (701, [1.0, None] + [0.0] * 4), (702, [float("nan")] * 6), (703, [float("inf")] * 6), (704, []), (720, [2.0, 3.0]), (721, [1.0, 1.0]), (740, [9e6] * 6), (800, []), (0, [3.0] * 6)]
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").withColumn("score", F.lit("clash")).withColumn("block", F.lit(0))
     got = {}
     for r in topk.top_k(df, df.where("vec_id % 20 = 0"), k=20).orderBy("query_id", "rank").collect():
         got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
-    good = [(i, v) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v)]
+    good = [(i, v) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
     for q, v in good:
-        if q % 20 == 0:
+        if q % 20 == 0 and v == min(w for i, w in good if i == q):  # a repeated query id asks with its smallest vector
             scores = sorted((-int(sum(a * b for a, b in zip(v, w))), i) for i, w in good if i != q and len(w) == len(v))[:20]
             assert got.get(q, []) == [(n + 1, i, -s) for n, (s, i) in enumerate(scores)]
     assert topk.top_k(df.limit(0), df).count() == 0 and topk.top_k(df, df.limit(0)).count() == 0

@@ -9,6 +9,8 @@ from .common import cut
 
 #: Bytes of a leaf's offset range, children of an inner node, records of an archive file.
 RANGE_BYTES, FANOUT, FILE_RECORDS = 65_536, 16, 512
+#: Files that records without an id are dealt into.
+NAMELESS_FILES = 4096
 
 _DATE = "2024-01-01T00:00:00Z"
 
@@ -27,10 +29,11 @@ def record(target: Column, record_id: Column, payload: Column) -> Column:
 def archive(pages: DataFrame, page_id: str = "page_id", url: str = "url", payload: str = "html") -> DataFrame:
     """(file, record_id, content) of pages as WARC records; each file holds FILE_RECORDS neighbouring ids.
 
-    Rows with a null id go to a file of their own, -1.
+    Rows with a null id go to files of their own, -1 and below, dealt by the length of url and payload.
     """
+    long = F.length(F.coalesce(F.col(url), F.lit(""))) + F.length(F.coalesce(F.col(payload), F.lit("")))
     return pages.select(
-        F.coalesce(F.floor(F.col(page_id) / FILE_RECORDS), F.lit(-1)).cast("long").alias("file"), F.col(page_id).alias("record_id"),
+        F.coalesce(F.floor(F.col(page_id) / FILE_RECORDS), -1 - long % NAMELESS_FILES).cast("long").alias("file"), F.col(page_id).alias("record_id"),
         record(F.col(url), F.col(page_id), F.col(payload)).alias("content"),
     )
 
@@ -101,17 +104,23 @@ def audit(first: DataFrame, second: DataFrame, range_bytes: int = RANGE_BYTES, f
         differ = x.join(y, ["file", "node"], "full").where(~F.col("h1").eqNullSafe(F.col("h2")))
         bad = cut(differ.select("file", F.col("node").alias("up")))
     leaf = F.floor(F.col("start") / range_bytes).cast("long")
-    reached = bad.select("file", F.col("up").alias("leaf"), F.lit(True).alias("reached"))
-    mark = lambda d, n: d.select("file", "record_id", "copy", *[F.col(c).alias(c + n) for c in ("size", "digest", "start")], leaf.alias("leaf")).join(reached, ["file", "leaf"], "left").withColumnRenamed("leaf", "leaf" + n).withColumnRenamed("reached", "reached" + n)
-    x, y = mark(a, "1"), mark(b, "2").select(*[F.col(c).alias("y_" + c) for c in ("file", "record_id", "copy")], "size2", "digest2", "start2", "leaf2", "reached2")
+    reached = bad.select("file", F.col("up").alias("leaf"))
+    inside = lambda d: d.withColumn("leaf", leaf).join(reached, ["file", "leaf"], "left_semi")
+    mark = lambda d, n: d.select("file", "record_id", "copy", *[F.col(c).alias(c + n) for c in ("size", "digest", "start", "leaf")])
+    # only records below differing leaves are held against each other; a record there may have moved from or to an equal leaf
+    x, y = mark(inside(a), "1"), mark(inside(b), "2")
+    intact = a.withColumn("leaf", leaf).join(reached, ["file", "leaf"], "left_anti")
+    y = y.select(*[F.col(c).alias("y_" + c) for c in ("file", "record_id", "copy")], "size2", "digest2", "start2", "leaf2")
     both = x.join(y, (F.col("file") == F.col("y_file")) & F.col("record_id").eqNullSafe(F.col("y_record_id")) & (F.col("copy") == F.col("y_copy")), "full")
-    checked = F.coalesce("reached1", F.lit(False)) | F.coalesce("reached2", F.lit(False))
     status = (
-        F.when(~checked, "ok").when(F.col("digest2").isNull(), "missing").when(F.col("digest1").isNull(), "extra")
+        F.when(F.col("digest2").isNull(), "missing").when(F.col("digest1").isNull(), "extra")
         .when(F.col("digest1") != F.col("digest2"), "corrupt").when(F.col("start1") != F.col("start2"), "moved").otherwise("ok")
     )
-    return both.select(
+    found = both.select(
         F.coalesce("file", "y_file").alias("file"), F.coalesce("record_id", "y_record_id").alias("record_id"), F.coalesce("copy", "y_copy").alias("copy"),
         F.coalesce("start1", "start2").alias("start"), F.coalesce("size1", "size2").alias("size"), F.col("digest1").alias("digest"),
-        F.col("digest2").alias("replica_digest"), F.coalesce("leaf1", "leaf2").alias("leaf"), checked.alias("checked"), status.alias("status"),
+        F.col("digest2").alias("replica_digest"), F.coalesce("leaf1", "leaf2").alias("leaf"), F.lit(True).alias("checked"), status.alias("status"),
     )
+    return found.unionByName(intact.select(
+        "file", "record_id", "copy", "start", "size", "digest", F.col("digest").alias("replica_digest"), "leaf", F.lit(False).alias("checked"), F.lit("ok").alias("status")
+    ))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.dump import number_rows
@@ -12,6 +12,8 @@ from .common import WORD, cut
 WEIGHTS = (5.0, 2.0, 1.0)
 #: A target is joined by broadcast up to this many sources, else by a shuffle.
 BROADCAST_SOURCES = 20_000
+#: Parts that rows alike in id, source and text are dealt into.
+SALTS = 64
 
 
 def size_of(text: Column) -> Column:
@@ -65,30 +67,52 @@ def plan(
 ) -> DataFrame:
     """(doc_id, size, source_size, target, rate, copies): how often each document is taken.
 
-    copies is floor(rate) plus one with probability rate - floor(rate), drawn by a hash of the seed
-    and the document's id, so reruns agree; repeated ids are drawn alike. Sizes and rates count all
-    documents. Null texts have size 0; null sources are a source of their own; an empty table gives
-    no rows. With whole_rows a struct named row holds the document's columns, whatever their names.
+    copies is floor(rate) plus one with probability rate - floor(rate), drawn by a hash of the seed and of the
+    document's id, source and text, so reruns agree and rows that share an id, or have none, draw apart; rows alike in all
+    three are numbered and draw by their number too. Sizes and rates count all documents. Null texts have size 0; null
+    sources are a source of their own; an empty table gives no rows. With whole_rows a struct named row holds the
+    document's columns, whatever their names.
     """
-    work = docs.select(
-        F.struct(F.col(doc_id).alias("id"), F.col(source).alias("source")).alias("d"),
-        size_of(F.col(text)).alias("size"),
-        *([F.struct(*docs.columns).alias("row")] if whole_rows else []),
-    )
+    own = F.struct(F.col(doc_id).alias("id"), F.col(source).alias("source"))
+    null = F.lit("null")
+    # id, source and text in one: what a draw depends on
+    key = F.md5(F.concat_ws(":", *[F.coalesce(F.col(c).cast("string"), null) for c in (doc_id, source, text)]))
+    small = cut(docs.select(own.alias("d"), size_of(F.col(text)).alias("size"), key.alias("key")))
+    work = docs.select(own.alias("d"), size_of(F.col(text)).alias("size"), key.alias("key"), F.struct(*docs.columns).alias("row")) if whole_rows else small
     sums = cut(targets(
-        work.groupBy(F.col("d.source").alias("source")).agg(F.sum("size").alias("source_size")), weights, share, most
+        small.groupBy(F.col("d.source").alias("source")).agg(F.sum("size").alias("source_size")), weights, share, most
     ))
     few = sums.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
     sums = sums.withColumnRenamed("source", "s")
-    joined = work.join(F.broadcast(sums) if few else sums, work["d.source"].eqNullSafe(sums["s"]))
+    joined = _numbered(work, small).join(F.broadcast(sums) if few else sums, F.col("d.source").eqNullSafe(sums["s"]))
     whole = F.floor("rate")
-    copies = whole + F.when(draw(seed, F.col("d.id")) < F.col("rate") - whole, 1).otherwise(0)
+    copies = whole + F.when(draw(seed, F.col("key"), F.col("copy")) < F.col("rate") - whole, 1).otherwise(0)
     return joined.select(
         F.col("d.id").alias(doc_id), "size", "source_size", "target", "rate", copies.cast("long").alias("copies"),
         *(["row"] if whole_rows else []),
     )
 
 
+def _numbered(work: DataFrame, small: DataFrame) -> DataFrame:
+    """work with a column copy that tells rows of one key apart; only such rows are shuffled to be numbered.
+
+    They are dealt by their key and a salt, so that no task holds all rows of a key.
+    """
+    same = cut(small.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select(F.col("key").alias("k")))
+    if not same.limit(1).count():
+        return work.withColumn("copy", F.lit(0).cast("long"))
+    salted = work.withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)))
+    found = salted.join(same, salted["key"] == same["k"], "left")
+    single = found.where("k is null").withColumn("copy", F.lit(0).cast("long"))
+    several = found.where("k is not null").drop("k")
+    # numbers run on from salt to salt, so the rows of a key have the same ones however they are dealt
+    before = Window.partitionBy("key").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
+    parts = several.groupBy("key", "salt").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    number = F.row_number().over(Window.partitionBy("key", "salt").orderBy("size")) + F.col("before") - 1
+    several = several.join(parts.drop("n"), ["key", "salt"]).withColumn("copy", number.cast("long"))
+    return single.drop("k", "salt").unionByName(several.drop("salt", "before"))
+
+
 def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", **options) -> DataFrame:
     """The mixed documents, in the columns of docs: each row as often as plan() says, perhaps never."""
     planned = plan(docs, text, source, doc_id, whole_rows=True, **options)

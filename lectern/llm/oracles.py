@@ -4,7 +4,7 @@ from __future__ import annotations
 
 OP3_MIX_SOURCES = r"""
 WITH d AS (
-  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents
+  SELECT doc_id, source, md5(concat_ws(':', coalesce(doc_id::VARCHAR, 'null'), coalesce(source, 'null'), coalesce(text, 'null'))) AS key, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents
 ), s AS (
   SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source
 ), w AS (
@@ -21,11 +21,11 @@ WITH d AS (
 ), t AS (
   SELECT l.source, l.source_size, least(l.source_size * 2.0::DOUBLE, o.level * l.weight) AS target FROM l, o
 ), r AS (
-  SELECT d.doc_id, d.size, t.source_size, t.target,
+  SELECT d.doc_id, d.key, row_number() OVER (PARTITION BY d.key) - 1 AS copy, d.size, t.source_size, t.target,
     CASE WHEN t.source_size > 0 THEN least(t.target / t.source_size, 2.0::DOUBLE) ELSE 0.0::DOUBLE END AS rate
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
 ), n AS (
-  SELECT *, (floor(rate) + CASE WHEN ('0x' || substr(md5('17:' || coalesce(doc_id::VARCHAR, 'null')), 1, 8))::BIGINT::DOUBLE / 4294967296.0::DOUBLE
+  SELECT *, (floor(rate) + CASE WHEN ('0x' || substr(md5('17:' || key || ':' || copy), 1, 8))::BIGINT::DOUBLE / 4294967296.0::DOUBLE
     < rate - floor(rate) THEN 1 ELSE 0 END)::BIGINT AS copies FROM r
 )
 SELECT doc_id, size, source_size, target, size * copies AS taken, copies FROM n
@@ -63,7 +63,7 @@ SELECT * FROM r WHERE rank <= 20
 
 OP10_WARC_FIXITY = r"""
 WITH p AS (
-  SELECT coalesce(floor(page_id / 512.0), -1)::BIGINT AS file, page_id, coalesce(url, '') AS url, html FROM pages
+  SELECT coalesce(floor(page_id / 512.0), -1 - (length(coalesce(url, '')) + length(coalesce(html, ''))) % 4096)::BIGINT AS file, page_id, coalesce(url, '') AS url, html FROM pages
 ), q AS (
   SELECT file, page_id, url, CASE WHEN page_id % 97 = 5 THEN '#' || substr(html, 2) WHEN page_id % 101 = 7 THEN html || '#' ELSE html END AS html
   FROM p WHERE page_id % 1009 <> 11 OR page_id IS NULL

@@ -54,6 +54,18 @@ def test_mixing(spark, sf, odd, none):
     assert sum(r.t for r in found.collect()) == pytest.approx(1.5 * sum(r.n for r in found.collect()), rel=0.05)
 
 
+def test_rows_without_ids_draw_apart(spark):
+    """Each source comes near its target, also where ids are null, repeated, or whole rows repeat."""
+    rng = np.random.default_rng(2)
+    text = lambda: " ".join(["w"] * int(rng.integers(5, 40)) + [str(rng.integers(1 << 40))])
+    rows = [(None, text(), "a") for _ in range(600)] + [(i, text(), "b") for i in range(600)] + [(i % 3, text(), "c") for i in range(600)] + [(7, "same row again", "d")] * 3000
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    found = mixing.plan(docs).groupBy("source_size", "target").agg(F.sum(F.col("size") * F.col("copies")).alias("taken")).collect()
+    assert len(found) == 4 and all(0.9 < r.taken / r.target < 1.1 for r in found)
+    again = mixing.plan(docs.repartition(5))
+    assert key(mixing.plan(docs).collect()) == key(again.collect())
+
+
 # ---------------------------------------------------------------- 4 SimHash
 
 

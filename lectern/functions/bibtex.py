@@ -33,136 +33,166 @@ class Item:
     error: str | None = None
 
 
-#: How blocks and field names begin.
-_START = re.compile(r"@\s*([A-Za-z]+)\s*([{(])")
-_NAME = re.compile(r"""([^\s=,{}"#()]+)\s*=\s*""")
-_GAP = re.compile(r"[\s,]*")
-_SPACE = re.compile(r"\s*")
-
-
-class _Reader:
-    def __init__(self, text: str):
-        self.text, self.at = text, 0
-
-    def skip(self, pattern: re.Pattern) -> None:
-        self.at = pattern.match(self.text, self.at).end()
-
-    def peek(self) -> str:
-        if self.at >= len(self.text):
-            raise Malformed("unexpected end")
-        return self.text[self.at]
-
-    def group(self, opens: str, closes: str) -> str:
-        """The text inside a pair of delimiters that starts here; a backslash guards one character."""
-        begin, level = self.at + 1, 0
-        while self.at < len(self.text):
-            char = self.text[self.at]
-            self.at += 1
-            if char == "\\":
-                self.at += 1
-            elif char == opens:
-                level += 1
-            elif char == closes:
-                level -= 1
-                if not level:
-                    return self.text[begin : self.at - 1]
-        raise Malformed("unbalanced")
-
-    def quoted(self) -> str:
-        """The text of a quoted string that starts here; quotes inside braces belong to it."""
-        self.at += 1
-        begin, level = self.at, 0
-        while self.at < len(self.text):
-            char = self.text[self.at]
-            self.at += 1
-            if char == "\\":
-                self.at += 1
-            elif char == '"' and not level:
-                return self.text[begin : self.at - 1]
-            else:
-                level += (char == "{") - (char == "}")
-        raise Malformed("unterminated string")
-
-    def value(self, closes: str) -> tuple[str, bool]:
-        """A field's value; True with it if it is one literal, else the value is the expression."""
-        begin, literals = self.at, []
-        bare = re.compile(rf"[^\s,#{re.escape(closes)}]+")
-        while True:
-            self.skip(_SPACE)
-            char = self.peek()
-            if char == "{":
-                literals.append(self.group("{", "}"))
-            elif char == '"':
-                literals.append(self.quoted())
+_START = re.compile(r"@\s*(?P<type>[A-Za-z]+)\s*(?P<opens>[{(])")
+_MARKS = r"""(?P<mark>[{}()"#,=])|(?P<space>\s+)|(?P<word>"""
+# inside groups and strings a backslash guards the character after it
+_INSIDE = re.compile(_MARKS + r"""\\.?|[^\\{}()"#,=\s]+)""", re.S)
+_OUTSIDE = re.compile(_MARKS + r"""[^{}()"#,=\s]+)""")
+
+
+@dataclass
+class _Block:
+    """A block as it is read, token by token.
+
+    The state is the method that takes the next token; it gives the state after it, or None to stay. stack holds
+    what closes the delimiters that are open inside a value or a kept block.
+    """
+
+    text: str
+    begin: int
+    head: re.Match
+    item: Item | None = None
+    stack: list[str] = field(default_factory=list)
+    closes: str = ""
+    opened: int = 0
+    name: str = ""
+    pieces: list[tuple[str, bool]] = field(default_factory=list)
+    since: int = 0
+    end: int | None = None
+
+    def read(self) -> tuple[Item, int]:
+        """The block's item and where it ends."""
+        self.closes = {"{": "}", "(": ")"}[self.head["opens"]]
+        kept = self.head["type"].lower() in KEPT_BLOCKS
+        state = self.kept if kept else self.key
+        self.since = self.head.end()
+        inside, token = (self.kept, self.group, self.quoted), self.head
+        while token := (_INSIDE if state in inside else _OUTSIDE).match(self.text, token.end()):
+            state = state(token[0], token) or state
+            if self.end is not None:
+                raw = self.text[self.begin : self.end]
+                if kept:
+                    return Item("other", raw), self.end
+                self.item.raw = raw
+                return self.item, self.end
+        raise Malformed({"kept": "block not closed", "key": "key expected", "quoted": "string not closed"}.get(state.__name__, "entry not closed"))
+
+    def kept(self, mark, token):
+        """A comment, preamble or macro: anything up to its closing delimiter."""
+        if mark == self.head["opens"]:
+            self.stack.append(self.closes)
+        elif mark == self.closes:
+            if not self.stack:
+                self.end = token.end()
             else:
-                word = bare.match(self.text, self.at)
-                if not word:
-                    raise Malformed("bad value")
-                self.at = word.end()
-                literals.append(word[0] if word[0].isdigit() else None)
-            self.skip(_SPACE)
-            if not self.text.startswith("#", self.at):
-                break
-            self.at += 1
-        if len(literals) == 1 and literals[0] is not None:
-            return literals[0], True
-        return self.text[begin : self.at].strip(), False
-
-    def block(self) -> Item:
-        """The block whose @ stands here."""
-        begin = self.at
-        start = _START.match(self.text, begin)
-        closes = "}" if start[2] == "{" else ")"
-        self.at = start.end()
-        if start[1].lower() in KEPT_BLOCKS:
-            self.at -= 1
-            self.group(start[2], closes)
-            return Item("other", self.text[begin : self.at])
-        key = re.compile(rf"\s*([^,\s{re.escape(closes)}]*)\s*,").match(self.text, self.at)
-        if not key:
-            raise Malformed("no key")
-        self.at = key.end()
-        item = Item("entry", "", start[1].lower(), key[1])
-        while True:
-            self.skip(_GAP)
-            if self.peek() == closes:
-                self.at += 1
-                item.raw = self.text[begin : self.at]
-                return item
-            name = _NAME.match(self.text, self.at)
-            if not name:
-                raise Malformed(f"bad field at {self.text[self.at : self.at + 30]!r}")
-            self.at = name.end()
-            value, literal = self.value(closes)
-            item.fields.append((name[1].lower(), value))
-            if not literal:
-                item.exprs[name[1].lower()] = value
-
-
-_NEXT_BLOCK = re.compile(r"\n\s*@")
+                self.stack.pop()
+
+    def key(self, mark, token):
+        if mark == ",":
+            key = self.text[self.since : token.start()].strip()
+            if re.search(r"\s", key):
+                raise Malformed("key expected")
+            self.item = Item("entry", "", self.head["type"].lower(), key)
+            return self.between
+        if mark == self.closes:
+            raise Malformed("key expected")
+
+    def between(self, mark, token):
+        """Between fields: commas, white space, the end of the entry, or the beginning of a name."""
+        if mark == self.closes:
+            self.end = token.end()
+        elif mark != "," and not token["space"]:
+            if token["mark"] and mark not in "()":
+                raise Malformed(f"field name expected at {self.text[token.start() : token.start() + 30]!r}")
+            self.since = token.start()
+            return self.naming(mark, token) or self.naming
+
+    def naming(self, mark, token):
+        if mark == "=":
+            self.name = self.text[self.since : token.start()].strip().lower()
+            if re.search(r"""[\s{}"#(),]""", self.name):
+                raise Malformed(f"field name expected at {self.text[self.since : self.since + 30]!r}")
+            self.pieces, self.since = [], token.end()
+            return self.value
+        if token["mark"]:
+            raise Malformed(f"field name expected at {self.text[self.since : self.since + 30]!r}")
+
+    def value(self, mark, token):
+        """A piece of a value is due: a group, a string or a bare word."""
+        if token["space"]:
+            return None
+        self.opened = token.end()
+        if mark == "{":
+            self.stack = ["}"]
+            return self.group
+        if mark == '"':
+            self.stack = []
+            return self.quoted
+        if mark in ("#", ",", self.closes):
+            raise Malformed("value expected")
+        self.opened = token.start()
+        return self.bare
+
+    def bare(self, mark, token):
+        if token["space"] or mark in ("#", ",", self.closes):
+            word = self.text[self.opened : token.start()]
+            self.pieces.append((word, word.isdigit()))
+            return self.after(mark, token) or self.after
+
+    def group(self, mark, token):
+        if mark == "{":
+            self.stack.append("}")
+        elif mark == "}":
+            self.stack.pop()
+            if not self.stack:
+                self.pieces.append((self.text[self.opened : token.start()], True))
+                return self.after
+
+    def quoted(self, mark, token):
+        """Quotes inside braces belong to the string."""
+        if mark == '"' and not self.stack:
+            self.pieces.append((self.text[self.opened : token.start()], True))
+            return self.after
+        if mark == "{":
+            self.stack.append("}")
+        elif mark == "}":
+            self.stack.append("{") if not self.stack or self.stack[-1] == "{" else self.stack.pop()
+
+    def after(self, mark, token):
+        """After a piece: a # and another piece, or the end of the field."""
+        if token["space"]:
+            return None
+        if mark == "#":
+            return self.value
+        literal = len(self.pieces) == 1 and self.pieces[0][1]
+        value = self.pieces[0][0] if literal else self.text[self.since : token.start()].strip()
+        self.item.fields.append((self.name, value))
+        if not literal:
+            self.item.exprs[self.name] = value
+        return self.between(mark, token) or self.between
 
 
 def parse(text: str | None) -> list[Item]:
     """All of a file in order. After a malformed block reading goes on at the next line that begins with @."""
     text = text or ""
-    items, done, at = [], 0, text.find("@")
-    while at >= 0:
-        if not _START.match(text, at):
-            at = text.find("@", at + 1)
-            continue
-        reader = _Reader(text)
-        reader.at = at
+    items, done = [], 0
+    head = _START.search(text)
+    while head:
+        begin = head.start()
         try:
-            item, end = reader.block(), reader.at
+            item, end = _Block(text, begin, head).read()
         except Malformed as problem:
-            ahead = _NEXT_BLOCK.search(text, at + 1)
+            ahead = re.compile(r"\n\s*@").search(text, begin + 1)
             end = ahead.start() + 1 if ahead else len(text)
-            item = Item("other", text[at:end].rstrip(), error=str(problem))
-        between = text[done:at].strip()
-        items += [Item("other", between)] * bool(between) + [item]
-        done, at = end, text.find("@", end)
-    rest = text[done:].strip()
-    return items + [Item("other", rest)] * bool(rest)
+            item = Item("other", text[begin:end].rstrip(), error=str(problem))
+        items += [*_other(text[done:begin]), item]
+        done, head = end, _START.search(text, end)
+    return items + _other(text[done:])
+
+
+def _other(text: str) -> list[Item]:
+    """What stands between blocks, if anything."""
+    return [Item("other", text.strip())] if text.strip() else []
 
 
 def first_entry(text: str | None) -> Item | None:

@@ -17,9 +17,9 @@ from .transform import KEY_PREFIX
 #: What a way of matching is worth, what agreeing names and years add, and the thresholds.
 BASES = {"source key": 100, "doi": 90, "arXiv id": 80, "title": 60, "similar title": 40}
 NAMES_WORTH, SAME_YEAR, NEAR_YEAR, OTHER_KIND = 30, 10, 4, -30
-SIMILAR, PUBLISHED_OVERLAP, BEST_FROM, KEPT, TITLE_LIMIT = 0.9, 0.4, 70, 8, 60
+SIMILAR, PUBLISHED_OVERLAP, BEST_FROM, KEPT = 0.9, 0.4, 70, 8
 
-#: How a record's address, preprint ids and DOIs are written in entries.
+# how a record's address, preprint ids and DOIs are written in entries
 _IN_ADDRESS = re.compile(r"dblp\.org/rec/(.+?)(?:\.bib|\.html)?$")
 _PREPRINT_URL = re.compile(r"arxiv\.org/(?:abs|pdf)/([\w.\-/]+?)(?:v\d+)?(?:\.pdf)?$")
 _PREPRINT_TEXT = re.compile(r"(?:abs/|arXiv:)(\d{4}\.\d{4,5})")
@@ -74,7 +74,7 @@ def entry_facts_column(raw) -> Column:
     return F.get(_facts_udf(raw), F.lit(0))
 
 
-def found_pairs(pubs: DataFrame, index: Index, facts: DataFrame, limit: int | None = TITLE_LIMIT) -> DataFrame:
+def found_pairs(pubs: DataFrame, index: Index, facts: DataFrame, limit: int | None = None) -> DataFrame:
     """(entry, id, how, base, seq): the best way each record was found for each entry, data sets excepted.
 
     facts: (entry, f). The four ways are joined by equality and united; similar titles are compared
@@ -102,7 +102,7 @@ def found_pairs(pubs: DataFrame, index: Index, facts: DataFrame, limit: int | No
     )
 
 
-def published_versions(pubs: DataFrame, index: Index, records: DataFrame, limit: int | None = TITLE_LIMIT) -> DataFrame:
+def published_versions(pubs: DataFrame, index: Index, records: DataFrame, limit: int | None = None) -> DataFrame:
     """(id, version, overlap): other records that are the published form of the informal ones among records.
 
     Same normalised title, not informal, neither proceedings nor data, names that overlap enough.
@@ -119,7 +119,7 @@ def published_versions(pubs: DataFrame, index: Index, records: DataFrame, limit:
     return both.select(F.col("entry").alias("id"), F.col("id").alias("version"), "overlap")
 
 
-def upgrades(pubs: DataFrame, index: Index, items: DataFrame, limit: int | None = TITLE_LIMIT) -> DataFrame:
+def upgrades(pubs: DataFrame, index: Index, items: DataFrame, limit: int | None = None) -> DataFrame:
     """(record, version): keys of the published versions of the records that items of kind record hold."""
     held = pubs.join(items.where("kind = 'record'").select(F.col("record").alias("key")).distinct(), "key", "left_semi")
     key = lambda name: pubs.select(F.col("id").alias(f"{name}_id"), F.col("key").alias(name))
@@ -133,7 +133,7 @@ def _title_tokens(title):
     return sorted({t for w in title_words(title) for t in search_tokens(w)})
 
 
-def match(pubs: DataFrame, index: Index, entries: DataFrame, limit: int | None = TITLE_LIMIT) -> DataFrame:
+def match(pubs: DataFrame, index: Index, entries: DataFrame, limit: int | None = None) -> DataFrame:
     """(entry, rank, key, how, score, best, summary columns): up to KEPT candidates of each entry (entry, raw).
 
     score: the way's base, agreement of names and years, less if only the record is a proceedings.

@@ -7,6 +7,7 @@ import unicodedata
 from dataclasses import dataclass
 from functools import reduce
 
+from pyspark.errors import AnalysisException, ParseException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -48,7 +49,7 @@ def search_tokens(text: str) -> tuple[str, ...]:
     return tuple(regex.findall(r"[\p{L}\p{N}\p{Co}]+", text.lower().translate(table)))
 
 
-#: Fixed value: a part of a query: a minus, a name with a colon, then a quoted phrase or a word.
+# a part of a query: a minus, a name with a colon, then a quoted phrase or a word.
 _PART = re.compile(r'(-)?(?:(\w+):)?(?:"([^"]*)"|(\S+))')
 
 
@@ -104,13 +105,16 @@ def field_text(name: str) -> Column:
     return F.col(name).cast("string")
 
 
-def build_index(pubs: DataFrame) -> Index:
-    """The positional index of a publications table: one pass tokenises, one shuffle groups."""
-    tokenised = pubs.select("id", *[F.coalesce(tokens(field_text(f)), F.array().cast("array<string>")).alias(f) for f in WEIGHTS])
-    by_field = tokenised.select("id", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("words")) for f in WEIGHTS])).alias("t"))
+def build_index(pubs: DataFrame, fields: tuple[str, ...] = tuple(WEIGHTS)) -> Index:
+    """The positional index of a publications table: one pass tokenises, one shuffle groups.
+
+    Linkage needs the title only; with fewer fields lengths count the tokens of those.
+    """
+    tokenised = pubs.select("id", *[F.coalesce(tokens(field_text(f)), F.array().cast("array<string>")).alias(f) for f in fields])
+    by_field = tokenised.select("id", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("words")) for f in fields])).alias("t"))
     placed = by_field.select("id", "t.field", F.posexplode("t.words").alias("pos", "term"))
     postings = placed.groupBy("field", "term", "id").agg(F.sort_array(F.collect_list("pos")).alias("positions"))
-    lengths = tokenised.select("id", reduce(Column.__add__, [F.size(f) for f in WEIGHTS]).cast("long").alias("n"))
+    lengths = tokenised.select("id", reduce(Column.__add__, [F.size(f) for f in fields]).cast("long").alias("n"))
     return Index(postings, lengths)
 
 
@@ -170,7 +174,7 @@ def scan_matches(pubs: DataFrame, terms: list[Term]) -> DataFrame:
         return F.size(F.filter(F.col(name), here)) * F.lit(WEIGHTS[name])
 
     sums = [reduce(Column.__add__, [occurrences(t, f) for f in WEIGHTS if t.field in (None, f)]).alias(f"tf{i}") for i, t in enumerate(terms)]
-    return rows.select("id", reduce(Column.__add__, [F.size(f) for f in WEIGHTS]).cast("long").alias("n"), *sums)
+    return rows.select("id", reduce(Column.__add__, [F.size(f) for f in fields]).cast("long").alias("n"), *sums)
 
 
 def rank(table: DataFrame, terms: list[Term]) -> DataFrame:
@@ -222,20 +226,29 @@ def search_page(pubs: DataFrame, index: Index, query: str, offset: int = 0, limi
     """{results, more[, error]}: a page as rows, and whether there are more; errors are told, not raised."""
     try:
         rows = search(pubs, index, query, offset, limit + 1, **options).collect()
-    except Exception as problem:  # noqa: BLE001
+    except (ValueError, AnalysisException, ParseException) as problem:  # what the query itself got wrong; a failing cluster raises
         return {"results": [], "more": False, "error": str(problem)}
     return {"results": rows[:limit], "more": len(rows) > limit}
 
 
-def title_candidates(pubs: DataFrame, index: Index, entries: DataFrame, most: int | None = 60) -> DataFrame:
+def title_candidates(pubs: DataFrame, index: Index, entries: DataFrame, most: int | None = None) -> DataFrame:
     """(entry, id) of the records whose title has all of the words of an entry's title.
 
-    entries has entry and words (array of search tokens). With most, only so many records of the
+    entries has entry and words (array of search tokens). Entries meet records by the rarest of their words alone; the other
+    words are then looked for in the titles met, so a common word makes no pairs. With most, only so many records of the
     lowest ids are kept for an entry; without, all are.
     """
-    asked = entries.select("entry", F.size(F.array_distinct("words")).alias("k"), F.explode(F.array_distinct("words")).alias("term"))
+    asked = entries.select("entry", F.array_distinct("words").alias("words"))
+    each = asked.select("entry", F.size("words").alias("k"), F.explode("words").alias("term"))
     posted = index.postings.where("field = 'title'").select("term", "id")
-    full = posted.join(asked, "term").groupBy("entry", "id", "k").agg(F.count("*").alias("n")).where("n = k").select("entry", "id")
+    often = posted.join(each.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("records"))
+    # a word that no title has rules an entry out
+    rarest = each.join(often, "term").groupBy("entry").agg(
+        F.min_by("term", F.struct("records", "term")).alias("term"), F.count("*").alias("n"), F.first("k").alias("k")
+    ).where("n = k").select("entry", "term")
+    met = posted.join(rarest, "term").select("entry", "id").join(asked, "entry")
+    titles = pubs.select("id", tokens(field_text("title")).alias("has"))
+    full = met.join(titles, "id").where(F.size(F.array_except("words", "has")) == 0).select("entry", "id")
     if most is None:
         return full
     from pyspark.sql import Window

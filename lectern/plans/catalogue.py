@@ -358,7 +358,7 @@ def same_title_groups(spark, sf_dir):
 @query()
 def published_versions(spark, sf_dir):
     pubs = text_records(spark, sf_dir)
-    return link.published_versions(pubs, search.build_index(pubs), pubs, limit=None)
+    return link.published_versions(pubs, search.build_index(pubs, ("title",)), pubs)
 
 
 @query(f"""
@@ -386,14 +386,47 @@ FROM f JOIN pubs p ON p.key = f.k WHERE p.type <> 'data'
 def match_candidates(spark, sf_dir):
     """Entries linked by key and DOI; a key is worth more, so it names how a record was found by both."""
     pubs = text_records(spark, sf_dir).withColumn("venue", F.lit("V"))
-    found = link.match(pubs, search.build_index(pubs), _entries(spark, sf_dir))
+    found = link.match(pubs, search.build_index(pubs, ("title",)), _entries(spark, sf_dir))
     return found.select("entry", "key", "how", "score")
 
 
+def part_records(spark, sf_dir):
+    """Parts as records: name and type are the title, every fourth is a preprint."""
+    k, none = F.col("p_partkey"), F.lit(None).cast("string")
+    preprint = k % 4 == 0
+    return table(spark, sf_dir, "part").select(
+        k.alias("id"), F.concat(F.lit("part/"), k.cast("string")).alias("key"), F.lit("article").alias("type"), none.alias("publtype"),
+        F.concat_ws(" ", "p_name", "p_type").alias("title"), F.array(F.concat(F.lit("Maker "), "p_brand")).alias("authors"),
+        F.array().cast("array<string>").alias("editors"), F.when(preprint, "CoRR").otherwise("J").alias("venue"), F.lit(2001).alias("year"),
+        F.when(preprint, F.concat(F.lit("abs/2401."), F.lpad(k.cast("string"), 5, "0"))).alias("volume"), F.concat(F.lit("10.7000/Part."), k.cast("string")).alias("doi"),
+    )
+
+
+@query("""
+WITH pubs AS (
+  SELECT p_partkey AS id, lower(concat_ws(' ', p_name, p_type)) AS title, regexp_extract_all(lower(concat_ws(' ', p_name, p_type)), '[a-z0-9]+') AS norm FROM part
+)
+SELECT id AS entry, id, CASE id % 3 WHEN 0 THEN 'doi' ELSE 'arXiv id' END AS how, CASE id % 3 WHEN 0 THEN 90 ELSE 80 END AS base
+FROM pubs WHERE id % 3 = 0 OR id % 3 = 1 AND id % 4 = 0
+UNION ALL SELECT e.id, p.id, 'title', 60 FROM pubs e JOIN pubs p ON p.norm = e.norm WHERE e.id % 3 = 2
+""")
+def match_ways(spark, sf_dir):
+    """Entries that name a DOI in other case, a preprint's number or a title: each finds its records by that way alone."""
+    pubs = part_records(spark, sf_dir)
+    k = F.col("id").cast("string")
+    said = F.when(F.col("id") % 3 == 0, F.concat(F.lit("doi = {https://doi.org/10.7000/PART."), k, F.lit("}"))).when(
+        F.col("id") % 3 == 1, F.concat(F.lit("archivePrefix = {arXiv}, eprint = {2401."), F.lpad(k, 5, "0"), F.lit("}"))
+    ).otherwise(F.concat(F.lit("title = {"), F.upper("title"), F.lit("}")))
+    entries = pubs.select(F.col("id").alias("entry"), F.concat(F.lit("@misc{m, "), said, F.lit("}")).alias("raw"))
+    facts = entries.select("entry", link.entry_facts_column("raw").alias("f"))
+    found = link.found_pairs(pubs, search.build_index(pubs, ("title",)), facts)
+    return found.where("how <> 'similar title'").select("entry", "id", "how", "base")
+
+
 @query()
 def match_best(spark, sf_dir):
     pubs = text_records(spark, sf_dir)
-    return link.match(pubs, search.build_index(pubs), _entries(spark, sf_dir)).where("best").select("entry", "key", "how", "score")
+    return link.match(pubs, search.build_index(pubs, ("title",)), _entries(spark, sf_dir)).where("best").select("entry", "key", "how", "score")
 
 
 # ---------------------------------------------------------------- documents

@@ -27,8 +27,10 @@ SEGMENTS, WIDTH, RADIUS, WHOLE = 16, 4, 14, 28
 BUDGETS = [RADIUS * n // SEGMENTS for n in range(1, SEGMENTS + 1)]
 #: Fingerprints compared at once; a larger product of two sides is split by the next segment of the chain.
 AT_ONCE = 1 << 20
-#: In a bucket with more candidate pairs a node than this, each node's best two are tried before the others.
-FEW = 4
+#: A bucket with more candidate pairs a node than this is a crowd: its nodes are compared in blocks of so many.
+FEW, CROWD_BLOCK = 4, 512
+#: Shingles counted at once in a block.
+COLUMNS = 4096
 #: Words of 64 bits of the bitmap that tells which texts are compared.
 BITMAP = 1 << 18
 
@@ -149,71 +151,63 @@ class Bucket:
         yield from self._pairs(0, self.own, self.own, len(self.ring), 1, 0)
 
 
-def _first_choice(bucket: Bucket) -> tuple[np.ndarray, np.ndarray, bool]:
-    """All candidate pairs of a bucket where they are few; else for each node its nearest and its most central partner."""
+def merged(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Labels after places i and j are joined: each the smallest place of its class."""
+    while True:
+        a, b = label[i], label[j]
+        apart = a != b
+        if not apart.any():
+            return label
+        to = np.arange(len(label))
+        np.minimum.at(to, np.maximum(a, b)[apart], np.minimum(a, b)[apart])
+        while (to[to] != to).any():
+            to = to[to]
+        label = to[label]
+
+
+def _candidates(bucket: Bucket) -> tuple[np.ndarray, np.ndarray, bool]:
+    """All candidate pairs of a bucket where they are few; of a crowd each node and the first that candidates join it to."""
     n, count = len(bucket.ring), 0
-    x, y, central = [], [], np.zeros(n)
-    for i, j, d in bucket.hits():
+    x, y, label = [], [], np.arange(n)
+    for i, j, _ in bucket.hits():
         count += len(i)
         if count <= FEW * n:
             x.append(i)
             y.append(j)
-        near = WHOLE + 1.0 - d
-        central += np.bincount(i, near, n) + np.bincount(j, near, n)
-    if not count:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), True
+        label = merged(label, i, j)
     if count <= FEW * n:
-        return np.concatenate(x), np.concatenate(y), True
-    rank = np.empty(n)
-    rank[np.lexsort((np.arange(n), -central))] = np.arange(n)
-    best = [np.full(n, np.inf), np.full(n, np.inf)]
-    mate = [np.zeros(n, np.int64), np.zeros(n, np.int64)]
-    for i, j, d in bucket.hits():
-        for one, other in ((i, j), (j, i)):
-            for which, cost in enumerate((d * float(n) + rank[other], rank[other])):
-                order = np.lexsort((cost, one))
-                who = one[order]
-                head = order[np.concatenate(([True], who[1:] != who[:-1]))]
-                better = head[cost[head] < best[which][one[head]]]
-                best[which][one[better]], mate[which][one[better]] = cost[better], other[better]
-    got = np.flatnonzero(best[0] < np.inf)
-    return np.tile(got, 2), np.concatenate([m[got] for m in mate]), False
-
-
-def candidates(nodes: DataFrame, parts: bool = False) -> DataFrame:
-    """(a, b, whole): pairs of nodes (fp, n, ring, rest[, component]) that pass the filter, each once or more.
+        none = np.zeros(0, np.int64)
+        return np.concatenate([none, *x]), np.concatenate([none, *y]), True
+    own = np.flatnonzero(label != np.arange(n))
+    return own, label[own], False
+
+
+def candidates(nodes: DataFrame) -> DataFrame:
+    """(a, b, whole): pairs of nodes (fp, n, ring, rest) that pass the filter, each once or more.
 
     A node goes under the first segment of each chain start and its class of sizes, and as a guest to the next
-    class, since sets of that similarity differ in size by no more than a class. Without parts a bucket of many pairs gives
-    two a node, and whole is false; with parts all pairs of different components come.
+    class, since sets of that similarity differ in size by no more than a class. A crowd gives no pairs but what
+    joins its nodes, and whole is false there.
     """
     size = F.floor(F.ln(F.greatest(F.col("n"), F.lit(1))) / F.lit(_RATIO) + F.lit(1e-9)).cast("int")
     start = F.explode(F.array(*[
         F.struct(F.lit(s).alias("t"), F.shiftrightunsigned("ring", 64 - WIDTH * (s + 1)).bitwiseAND(F.lit((1 << WIDTH) - 1)).cast("int").alias("k"), F.lit(g).alias("guest"), (size + g).alias("size"))
         for s in range(SEGMENTS) for g in (0, 1)
     ]))
-    label = F.col("component") if parts else F.col("fp").alias("component")
-    rows = nodes.where("n > 0").select(start.alias("e"), "fp", "n", "ring", "rest", label)
-    rows = rows.select(((F.col("e.size").cast("long") * SEGMENTS + F.col("e.t")) * (1 << WIDTH) + F.col("e.k")).alias("key"), "e.t", "e.guest", "fp", "n", "ring", "rest", "component")
+    rows = nodes.where("n > 0").select(start.alias("e"), "fp", "n", "ring", "rest")
+    rows = rows.select(((F.col("e.size").cast("long") * SEGMENTS + F.col("e.t")) * (1 << WIDTH) + F.col("e.k")).alias("key"), "e.t", "e.guest", "fp", "n", "ring", "rest")
 
     def pairs(held):
-        key, t, guest, fp, n, ring, rest, component = held
+        key, t, guest, fp, n, ring, rest = held
         cuts = np.flatnonzero(np.diff(key)) + 1
         for lo, hi in zip(np.concatenate(([0], cuts)).tolist(), np.concatenate((cuts, [len(key)])).tolist()):
             if hi - lo < 2 or guest[lo:hi].all():
                 continue
-            ids, own = fp[lo:hi], component[lo:hi]
             bucket = Bucket(turned(ring[lo:hi].view(np.uint64), int(t[lo])), rest[lo:hi].view(np.uint64), n[lo:hi], guest[lo:hi] > 0)
-            ids, own = ids[bucket.order], own[bucket.order]
-            if parts:
-                for x, y, _ in bucket.hits():
-                    keep = own[x] != own[y]
-                    if keep.any():
-                        yield ids[x[keep]], ids[y[keep]], True
-            else:
-                x, y, whole = _first_choice(bucket)
-                if len(x):
-                    yield ids[x], ids[y], whole
+            x, y, whole = _candidates(bucket)
+            if len(x):
+                ids = fp[lo:hi][bucket.order]
+                yield ids[x], ids[y], whole
 
     def run(batches):
         held = None
@@ -237,6 +231,48 @@ def candidates(nodes: DataFrame, parts: bool = False) -> DataFrame:
     return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a bigint, b bigint, whole boolean")
 
 
+def crowd_links(crowds: DataFrame, grams: DataFrame, least: float) -> DataFrame:
+    """Edges (a, b) that join the nodes of each crowd (node, component) whose sets are alike: all pairs are counted.
+
+    A crowd is dealt into blocks; each pair of blocks meets in one group of bounded size, where products of
+    0-1 matrices count common shingles. A group gives no more edges than nodes. The work is quadratic in
+    the different texts of one crowd, rows grow by the number of its blocks.
+    """
+    blocks = F.ceil(F.col("nodes") / CROWD_BLOCK).cast("int")
+    sizes = crowds.groupBy("component").agg(F.count("*").alias("nodes")).select("component", blocks.alias("blocks"))
+    dealt = crowds.join(sizes, "component").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    met = dealt.join(grams.withColumnRenamed("fp", "node"), "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = met.select("component", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "node", "grams")
+
+    def compare(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks()
+        ids, own = group.column("node").to_numpy(), group.column("own").to_numpy()
+        lists = group.column("grams").chunk(0)
+        sizes = np.diff(np.asarray(lists.offsets))
+        values = np.asarray(lists.values)[lists.offsets[0].as_py() : lists.offsets[-1].as_py()]
+        owner = np.repeat(np.arange(len(ids)), sizes)
+        _, at, often = np.unique(values, return_inverse=True, return_counts=True)
+        kept = often[at] > 1  # what one set has alone is common to none
+        at, owner = np.unique(at[kept], return_inverse=True)[1], owner[kept]
+        order = np.argsort(at, kind="stable")
+        at, owner = at[order], owner[order]
+        left = np.flatnonzero(own == group.column("x")[0].as_py())
+        right = np.flatnonzero(own == group.column("y")[0].as_py())
+        common = np.zeros((len(left), len(right)), np.float32)
+        for lo in range(0, int(at[-1]) + 1 if len(at) else 0, COLUMNS):
+            a, b = np.searchsorted(at, (lo, lo + COLUMNS))
+            held = np.zeros((len(ids), COLUMNS), np.float32)
+            held[owner[a:b], at[a:b] - lo] = 1
+            common += held[left] @ held[right].T
+        alike = common >= (sizes[left][:, None] + sizes[right][None, :] - common) * (least - 1e-9)
+        i, j = np.nonzero(alike)
+        label = merged(np.arange(len(ids)), left[i], right[j])
+        some = np.flatnonzero(label != np.arange(len(ids)))
+        return pa.table({"a": ids[label[some]], "b": ids[some]})
+
+    return met.groupBy("component", "x", "y").applyInArrow(compare, "a bigint, b bigint")
+
+
 def _only(docs: DataFrame, doc_id: str, ids: DataFrame) -> DataFrame:
     """The rows of docs whose id may be among ids (a bitmap of fixed size, so a few others too), or is null."""
     bit = lambda c: F.pmod(F.xxhash64(c), F.lit(BITMAP * 64))
@@ -252,9 +288,8 @@ def near_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", wor
     """(doc_id, fp, component_id, class_fp) for every row, as simhash.near_duplicates() has them; fp is a hash of the text's shingles.
 
     Candidate pairs whose shingles have a Jaccard similarity of at least so much, counted on the whole sets, link.
-    Texts with the same shingles are one node, so copies make no pairs. A large group of near copies
-    does not make all its pairs either: each node's nearest and most central partners are counted first, then only
-    pairs that lie in different classes after that. least must not be below LEAST, which the radius is made for.
+    Texts with the same shingles are one node, so copies make no pairs; the nodes of a crowd are counted in blocks (see
+    crowd_links()). least must not be below LEAST, which the radius is made for.
     """
     if least < LEAST:
         raise ValueError(f"the radius reaches similarities of {LEAST} or more")
@@ -271,16 +306,11 @@ def near_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", wor
         both = both.withColumn("s", F.size(F.array_intersect("x", "y")))
         return both.where(F.col("s") >= (F.size("x") + F.size("y") - F.col("s")) * (least - 1e-9)).select("a", "b")
 
-    edges = cut(alike(pairs))
+    edges = alike(pairs.where("whole"))
+    crowds = pairs.where("not whole").select("a", "b")
+    if crowds.limit(1).count():
+        edges = edges.unionByName(crowd_links(connected_components(crowds), grams, least))
     parts = connected_components(edges)
-    if pairs.where("not whole").limit(1).count():
-        crowd = pairs.where("not whole").select(F.explode(F.array("a", "b")).alias("fp")).distinct()
-        again = distinct.join(crowd, "fp").join(parts.withColumnRenamed("node", "fp"), "fp", "left")
-        again = cut(again.withColumn("component", F.coalesce("component", "fp")))
-        more = candidates(again, parts=True).select("a", "b").distinct().join(pairs.select("a", "b"), ["a", "b"], "left_anti")
-        more = cut(alike(more))
-        if more.limit(1).count():
-            parts = connected_components(edges.unionByName(more))
     return classes_of(found.select("doc_id", "fp"), distinct.select("fp", "rep"), parts)
 
 

@@ -48,9 +48,12 @@ def planted(spark, sf):
     return rows
 
 
-def test_near_copies_are_dropped(spark, sf, none):
+def test_near_copies_are_dropped(spark, sf, none, monkeypatch):
     import corpus_pipeline as p
 
+    monkeypatch.setattr(near_copies, "CROWD_BLOCK", 40)
+    monkeypatch.setattr(near_copies, "COLUMNS", 100)
+
     rows = planted(spark, sf)
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
     pairs = list(similarities(dict(rows)))

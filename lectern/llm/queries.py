@@ -27,6 +27,7 @@ def vocabulary_pattern() -> str:
 
 
 def op1_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's host, path, rule and verdict; null and malformed urls have an empty host and path, repeated rows count each."""
     return url_filter.judge(table(spark, sf_dir, "pages").select("page_id", "url"))
 
 
@@ -80,20 +81,24 @@ def op2_chat_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's size and how many words the mix takes of it; null texts have size 0, null sources come last."""
     planned = mixing.plan(table(spark, sf_dir, "documents"))
     return planned.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's fingerprint and the smallest id its links reach; blank texts have fingerprint 0 and are linked like any other."""
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def op5_closed_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's fingerprint, that of its edited text, and both likenesses; null texts count as empty."""
     return syncmers.edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's toxicity, learned from labels that are not held out; texts without a known term have the prior's score."""
     docs = table(spark, sf_dir, "documents")
     index = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     found = toxicity.score(docs, index)
@@ -101,6 +106,7 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's base phrases by place, and the labels of phrases and of chained template spans; null texts have no words."""
     found = licenses.scan(table(spark, sf_dir, "documents"))
     return found.select(
         "doc_id", "n_words", F.size("places").cast("long").alias("n_base"),
@@ -111,11 +117,13 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's number of tokens and digests of its ids and of their decoded bytes; null texts count as empty."""
     docs = table(spark, sf_dir, "documents")
     return byte_bpe.encode(docs, vocabulary_path(), vocabulary_pattern(), with_ids=False, with_digests=True)
 
 
 def op9_threshold_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best rows for every vec_id divisible by 20; unusable vectors take no part, a repeated query id gives one answer set."""
     rows = table(spark, sf_dir, "embeddings").where(topk.usable(F.col("embedding")))
     rows = rows.select("vec_id", topk.quantise(F.col("embedding")).alias("embedding"))
     return topk.top_k(rows, rows.where("vec_id % 20 = 0"), k=20)

@@ -24,22 +24,13 @@ def arrow(fn: Callable, returns: str | DataType) -> Callable[..., Column]:
 
     def call(*columns) -> Column:
         if not made:
-            made.append(F.pandas_udf(_arity(batch, fn), returns))
+            made.append(F.pandas_udf(batch, returns))
         return made[0](*columns)
 
     call.__name__, call.__doc__ = getattr(fn, "__name__", "udf"), fn.__doc__
     return call
 
 
-def _arity(batch, fn):
-    """batch with as many pandas arguments as fn has, since a pandas UDF's kind is read from its signature."""
-    n = fn.__code__.co_argcount
-    names = ", ".join(f"c{i}: pd.Series" for i in range(n))
-    scope = {"batch": batch, "pd": pd}
-    exec(f"def call({names}) -> pd.Series:\n    return batch({', '.join(f'c{i}' for i in range(n))})", scope)
-    return scope["call"]
-
-
 # ---------------------------------------------------------------- folding for search (JVM)
 
 
@@ -88,7 +79,7 @@ def strip_latex(text: str | None) -> str:
 
 
 def strip_latex_column(text: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), r"\\[a-zA-Z]+[\s\x{85}\p{Z}]*", ""), "[{}\\\\\"'`^~]", "")
+    return F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), r"\\[a-zA-Z]+[\s\x1C-\x1F\x{85}\p{Z}]*", ""), "[{}\\\\\"'`^~]", "")
 
 
 def norm_title(title: str | None) -> str:
@@ -96,6 +87,13 @@ def norm_title(title: str | None) -> str:
     return " ".join(re.findall("[a-z0-9]+", unicodedata.normalize("NFKD", strip_latex(title)).lower()))
 
 
+def norm_title_column(title: Column) -> Column:
+    """norm_title() of ASCII titles in the JVM, of others in Python: Latin letters by translate() took twice as long."""
+    foreign = title.rlike(r"[^\x00-\x7F]")
+    words = F.trim(F.regexp_replace(F.lower(strip_latex_column(title)), "[^a-z0-9]+", " "))
+    return F.when(foreign, norm_title_udf(F.when(foreign, title))).otherwise(words)
+
+
 def ascii_lower(text: str | None) -> str:
     """Lower case; what does not decompose to ASCII is dropped."""
     return unicodedata.normalize("NFKD", text or "").encode("ascii", "ignore").decode().lower()

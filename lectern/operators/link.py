@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.bibtex import field_of, first_entry
 from ..functions.names import bib_last_names, overlap_of_names_udf, overlap_udf
-from ..functions.text import arrow, norm_title, norm_title_udf, similarity_udf, strip_latex, title_words
+from ..functions.text import arrow, norm_title, norm_title_column, similarity_udf, strip_latex, title_words
 from .records import informal_strict, summary
 from .search import Index, search_tokens, title_candidates
 from .transform import KEY_PREFIX
@@ -89,7 +89,7 @@ def found_pairs(pubs: DataFrame, index: Index, facts: DataFrame, limit: int | No
     by_arxiv = facts.select("entry", F.concat(F.lit("abs/"), F.col("f.arxiv")).alias("v")).join(preprints, F.col("volume") == F.col("v"))
     asked = facts.where("f.title is not null and size(f.words) > 0").select("entry", F.col("f.words").alias("words"), F.col("f.norm").alias("norm"))
     cand = title_candidates(pubs, index, asked, limit).join(asked.select("entry", "norm"), "entry").join(p.select("id", "title"), "id")
-    cand = cand.withColumn("other", norm_title_udf("title"))
+    cand = cand.withColumn("other", norm_title_column(F.col("title")))
     same = cand.where("other = norm")
     near = cand.where("other <> norm").where(similarity_udf("other", "norm") > SIMILAR)
     ways = [way(d, how, n) for n, (d, how) in enumerate([(by_key, "source key"), (by_doi, "doi"), (by_arxiv, "arXiv id"), (same, "title"), (near, "similar title")])]
@@ -109,12 +109,12 @@ def published_versions(pubs: DataFrame, index: Index, records: DataFrame, limit:
     """
     tokenise = arrow(_title_tokens, "array<string>")
     own = records.where(informal_strict()).select(
-        F.col("id").alias("entry"), tokenise("title").alias("words"), norm_title_udf("title").alias("norm"), F.col("authors").alias("own_authors"), F.col("key").alias("own_key")
+        F.col("id").alias("entry"), tokenise("title").alias("words"), norm_title_column(F.col("title")).alias("norm"), F.col("authors").alias("own_authors"), F.col("key").alias("own_key")
     )
     cand = title_candidates(pubs, index, own.where(F.size("words") > 0), limit)
     other = pubs.where(~informal_strict() & ~F.col("type").isin("proceedings", "data")).select("id", "key", "authors", "title")
     # titles are normalised only where all words agree
-    both = cand.join(own.drop("words"), "entry").join(other, "id").where("key <> own_key").withColumn("other", norm_title_udf("title")).where("other = norm")
+    both = cand.join(own.drop("words"), "entry").join(other, "id").where("key <> own_key").withColumn("other", norm_title_column(F.col("title"))).where("other = norm")
     both = both.withColumn("overlap", overlap_of_names_udf("authors", "own_authors")).where(F.col("overlap") > PUBLISHED_OVERLAP)
     return both.select(F.col("entry").alias("id"), F.col("id").alias("version"), "overlap")
 

@@ -12,6 +12,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def pick(values, by: str) -> Column:
+    """The value at a place counted from 0, by an expression of integers that Spark and DuckDB read alike."""
+    return F.element_at(F.array(*map(F.lit, values)), (F.expr(by) + 1).cast("int"))
+
+
+def pick_sql(values, by: str) -> str:
+    """pick() for DuckDB."""
+    return "([" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + f"])[(({by}) + 1)::INTEGER]"
+
+
 def _empty_extra(**given: Column) -> Column:
     parts = []
     for piece in EXTRA_DDL.split(", "):

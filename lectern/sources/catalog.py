@@ -10,7 +10,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import norm_title_udf
+from ..functions.text import norm_title_column
 from ..operators import link, records, search
 from ..schema import COLUMNS
 from .dump import number_rows, read_dump
@@ -60,7 +60,8 @@ def build(spark: SparkSession, dump: str, target: str, **options) -> int:
     """Publish a dump under target and return its number of records.
 
     Tables of the new version: pubs (with lower-cased doi and normalised title, sorted by key so that
-    a lookup prunes row groups), postings (by field, sorted by term) and lengths. The version becomes
+    a lookup prunes row groups), postings (by field, in ranges of term and id, so that a common word is
+    many tasks' work) and lengths. The version becomes
     current only when all of it is written and keys are unique; on failure its folder goes and the
     version before stays.
     """
@@ -72,11 +73,11 @@ def build(spark: SparkSession, dump: str, target: str, **options) -> int:
         staged = spark.read.parquet(f"{version}/stage")
         if duplicate_keys(staged).limit(1).count():
             raise DuplicateKey(", ".join(r["key"] for r in duplicate_keys(staged).limit(5).collect()))
-        pubs = number_rows(staged, "file", "place").select(*COLUMNS, F.lower("doi").alias("doi_lc"), norm_title_udf("title").alias("norm_title"))
+        pubs = number_rows(staged, "file", "place").select(*COLUMNS, F.lower("doi").alias("doi_lc"), norm_title_column(F.col("title")).alias("norm_title"))
         pubs.repartitionByRange("key").sortWithinPartitions("key").write.parquet(f"{version}/pubs")
         pubs = spark.read.parquet(f"{version}/pubs")
         index = search.build_index(pubs)
-        index.postings.repartition("field", "term").sortWithinPartitions("field", "term").write.partitionBy("field").parquet(f"{version}/postings")
+        index.postings.repartitionByRange("field", "term", "id").sortWithinPartitions("field", "term", "id").write.partitionBy("field").parquet(f"{version}/postings")
         index.lengths.write.parquet(f"{version}/lengths")
         n = pubs.count()
         meta = {"source": dump.rpartition("/")[2], "records": n, "built": int(time.time()), "build_seconds": int(time.time() - begun)}

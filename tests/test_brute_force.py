@@ -4,7 +4,10 @@ import difflib
 import re
 import unicodedata
 
-from lectern.operators import document, records
+from pyspark.sql import functions as F
+
+from lectern.functions.text import norm_title, norm_title_column
+from lectern.operators import document, link, records, search, transform
 from lectern.plans import catalogue
 from lectern.plans.carriers import table, text_records
 
@@ -21,6 +24,13 @@ def test_norm_title(spark):
     assert {r.id: r.norm for r in catalogue.norm_title(spark, SF).collect()} == want
 
 
+def test_norm_title_of_any_character(spark):
+    texts = [f"a{chr(c)}B" for c in range(1, 0x2200)] + ["", None, "\\emph {X}y", "\\ss\x1c z", "e\u0301a", "ﬁn Ⅷ"]
+    got = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("t", norm_title_column(F.col("t")).alias("n")).collect()
+    assert [r.n for r in got if r.n != norm_title(r.t)] == []
+    assert all(r.n == norm(r.t) for r in got)
+
+
 def test_published_versions(spark):
     rows = text_records(spark, SF).collect()
     preprint = lambda r: r.venue == "CoRR" or "informal" in (r.publtype or "")
@@ -37,11 +47,22 @@ def test_published_versions(spark):
 
 def test_match_best(spark):
     rows = catalogue.match_best(spark, SF).collect()
-    assert len(rows) == len({r.entry for r in rows}) and all(r.score >= 70 for r in rows)
     pubs = {r.key: r for r in text_records(spark, SF).collect()}
-    for r in rows:
-        if r.how == "source key":
-            assert r.key == f"text/{r.entry}" and pubs[r.key].type != "data"
+    versions = {}
+    for v in catalogue.published_versions(spark, SF).collect():
+        versions.setdefault(v.id, []).append(v.version)
+    want = set()
+    for e in catalogue._entries(spark, SF).collect():
+        found = pubs.get(f"text/{e.entry}")  # an entry names its record's key; its title has no record
+        if found is None or found.type == "data":
+            continue
+        score = 100 + (10 if found.year == 2000 + e.entry % 25 else 0) - (30 if found.type == "proceedings" else 0)
+        preprint = found.venue == "CoRR" or "informal" in (found.publtype or "")
+        last = max(versions.get(found.id, [])) if preprint and found.id in versions else None
+        how = "source key" if last is None else f"published version of {found.key}"
+        if score >= 70:
+            want.add((e.entry, found.key if last is None else f"text/{last}", how, float(score)))
+    assert {(r.entry, r.key, r.how, r.score) for r in rows} == want
 
 
 def test_similar_titles(spark):
@@ -54,6 +75,73 @@ def test_similar_titles(spark):
         assert abs(r.ratio - difflib.SequenceMatcher(None, p.p_name, first[p.p_brand, p.p_size]).ratio()) < 1e-6
 
 
+def test_similar_titles_are_linked(spark):
+    names = ["Sorting in parallel on grids", "On grids: sorting in parallel", "Sorting in parallel on the grids", "Sorting on trees", "Sorting in parallel on grids"]
+    pubs = catalogue._whole(spark.createDataFrame([(i, f"k{i}", "article", n, ["A B"], "J", 2000) for i, n in enumerate(names)], "id long, key string, type string, title string, authors array<string>, venue string, year int"))
+    entry = "@article{x, title = {Sorting in Parallel on Grids}}"
+    facts = spark.createDataFrame([(1, entry)], "entry int, raw string").select("entry", link.entry_facts_column("raw").alias("f"))
+    got = {(r.id, r.how, r.base) for r in link.found_pairs(pubs, search.build_index(pubs, ("title",)), facts).collect()}
+    asked, want = norm("Sorting in Parallel on Grids"), set()
+    for i, n in enumerate(names):
+        alike = difflib.SequenceMatcher(None, norm(n), asked).ratio()
+        if norm(n) == asked:
+            want.add((i, "title", 60))
+        elif set(asked.split()) <= set(norm(n).split()) and alike > 0.9:
+            want.add((i, "similar title", 40))
+    assert got == want and len(want) == 3
+
+
+def test_word_diffs(spark):
+    def common(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            new = [0]
+            for j, y in enumerate(b):
+                new.append(row[j] + 1 if x == y else max(row[j + 1], new[j]))
+            row = new
+        return row[-1]
+
+    turns = {}
+    for r in table(spark, SF, "conversations").collect():
+        turns.setdefault(r.conv_id, []).append((r.turn, r.role, r.text))
+    want = {}
+    for conv, rows in turns.items():
+        before = ""
+        for turn, _, text in sorted(rows, key=lambda r: (r[0], r[1], r[2] or "")):
+            a, b = re.split(r"(\s+)", before or ""), re.split(r"(\s+)", text or "")
+            same = common(a, b) if len(a) * len(b) <= 250_000 else None
+            want[conv, turn] = [1, 1] if same is None else [len(a) - same, len(b) - same]
+            before = text
+    assert {(r.conv_id, r.turn): list(r.changed) for r in catalogue.word_diffs(spark, SF).collect()} == want
+
+
+def _entry(r, options):
+    rec = r.asDict(recursive=True)
+    return transform.record_entry(rec, None, options)
+
+
+def test_render_records(spark):
+    made = {r.id: _entry(r, transform.Options()) for r in text_records(spark, SF).collect()}
+    got = catalogue.render_records(spark, SF).collect()
+    assert len(got) == len(made)
+    place = {}
+    for i in sorted(made):
+        doc = i % 64
+        place[doc] = place.get(doc, 0) + 1
+        found = [r for r in got if r.doc == doc and r.pos == place[doc]]
+        assert [(r.key, r.type, r.text, r.duplicate) for r in found] == [(made[i].key, made[i].type, transform.text_of(made[i]), None)]
+
+
+def test_option_preview(spark):
+    plain = transform.Options.of(series_abbrev=False, booktitle="keep", full_years=False, url_doi="keep", drop_source_meta=False, latex=False, protect_caps=False)
+    want = set()
+    for r in text_records(spark, SF).withColumn("title", F.col("key")).collect():
+        left, right = ({n: " ".join(v.split()) for n, v in _entry(r, o).fields} for o in (plain, transform.Options()))
+        order = [*right, *[n for n in left if n not in right]]
+        want |= {(r.id, n, left.get(n), right.get(n), i + 1) for i, n in enumerate(order) if left.get(n) != right.get(n)}
+    assert {(r.entry, r.name, r.left, r.right, r.at) for r in catalogue.option_preview(spark, SF).collect()} == want
+
+
 def test_categories_overlap(spark):
     df = spark.createDataFrame([(1, "proceedings", "informal", "X"), (2, "article", None, "CoRR"), (3, "article", "Informal", "X"), (4, None, None, None)], "id int, type string, publtype string, venue string")
     found = lambda *names: [r.id for r in df.where(records.in_categories(list(names))).collect()]

@@ -26,7 +26,7 @@ DOUBT = 3
 #: Terms of at least this part of the examples have whole rows instead of postings.
 FULL = 1 / 8
 #: Characters of those beginnings of words that are terms too.
-BEGINNINGS = (4,)
+BEGINNINGS = (4, 5)
 
 _WORDS = re.compile(r"\w+")
 _NO_PLACES, _NO_SCORES = np.zeros(0, np.int64), np.zeros(0)

@@ -41,32 +41,39 @@ class Reader:
     """Counts the terms of whole texts by their numbers; terms that no example has are left out, their weight is 0."""
 
     def __init__(self, numbers: dict[str, int]):
-        # whole words, then the beginnings by their length: a shorter word is none of those
-        self.tables = [{t: i for t, i in numbers.items() if t[0] != "^"}]
-        for n in BEGINNINGS:
-            self.tables.append({t[1:]: i for t, i in numbers.items() if t[0] == "^" and len(t) == n + 1})
+        # a known word is looked up once and its beginnings are read off its row; beginnings of other words by their length
+        self.tables = [{t[1:]: i for t, i in numbers.items() if t[0] == "^" and len(t) == n + 1} for n in BEGINNINGS]
+        words = [(t, i) for t, i in numbers.items() if t[0] != "^"]
+        self.row = {t: r for r, (t, _) in enumerate(words)}
+        beginnings = [[table.get(t[:n], -1) for t, _ in words] for n, table in zip(BEGINNINGS, self.tables)]
+        self.known = np.array([[i for _, i in words], *beginnings], np.int64)
+
+    def _found(self, words) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the terms of distinct words, and the place of the word of each."""
+        get = self.row.get
+        rows = np.array([get(w, -1) for w in words], np.int64)
+        at = np.flatnonzero(rows >= 0)
+        which, places = [self.known[:, rows[at]].ravel()], [np.tile(at, len(self.known))]
+        if len(at) < len(rows):
+            other = [(i, w) for i, (w, r) in enumerate(zip(words, rows.tolist())) if r < 0]
+            for n, table in zip(BEGINNINGS, self.tables):
+                get = table.get
+                which.append(np.array([get(w[:n], -1) for _, w in other], np.int64))
+                places.append(np.array([i for i, _ in other], np.int64))
+        which, places = np.concatenate(which), np.concatenate(places)
+        return which[which >= 0], places[which >= 0]
 
     def counts(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """The numbers of a text's terms, rising, and how often each stands; none for null and empty texts."""
         words = Counter(_WORDS.findall((text or "").lower()))
-        get = self.tables[0].get
-        which = [get(w, -1) for w in words]
-        for n, table in zip(BEGINNINGS, self.tables[1:]):
-            get = table.get
-            which += [get(w[:n], -1) for w in words]
-        which = np.array(which, np.int64)
-        often = np.tile(np.fromiter(words.values(), np.int64, len(words)), len(self.tables))
-        terms, at = np.unique(which[which >= 0], return_inverse=True)
-        return terms, np.bincount(at, often[which >= 0], minlength=len(terms)).astype(np.int64)
-
-    def terms(self, text: str | None) -> set[int]:
-        """The numbers of a text's terms."""
-        words = set(_WORDS.findall((text or "").lower()))
-        found = set(map(self.tables[0].get, words))
-        for n, table in zip(BEGINNINGS, self.tables[1:]):
-            found.update(map(table.get, {w[:n] for w in words}))
-        found.discard(None)
-        return found
+        which, places = self._found(words)
+        often = np.fromiter(words.values(), np.int64, len(words))[places]
+        terms, at = np.unique(which, return_inverse=True)
+        return terms, np.bincount(at, often, minlength=len(terms)).astype(np.int64)
+
+    def terms(self, text: str | None) -> np.ndarray:
+        """The numbers of a text's terms; a beginning may stand there for each of its words."""
+        return self._found(set(_WORDS.findall((text or "").lower())))[0]
 
 
 @dataclass
@@ -226,7 +233,7 @@ def document_frequencies(docs: DataFrame, numbers: dict[str, int], text: str = "
         reader, rows = Reader(shared.value), np.zeros(len(shared.value), np.int64)
         for b in batches:
             for t in b.column(0):
-                rows[list(reader.terms(t.as_py()))] += 1
+                rows[reader.terms(t.as_py())] += 1  # once a row, however often a number stands there
         found = np.flatnonzero(rows)
         yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(rows[found])], ["term", "rows"])
 

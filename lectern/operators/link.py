@@ -102,37 +102,40 @@ def found_pairs(pubs: DataFrame, index: Index, facts: DataFrame, limit: int | No
     )
 
 
-def published_versions(pubs: DataFrame, index: Index, records: DataFrame, limit: int | None = None) -> DataFrame:
+def _normalised(pubs: DataFrame, *columns: str) -> DataFrame:
+    """columns and the normalised title norm of the records; a stored one is taken where there is one."""
+    norm = F.col("norm_title") if "norm_title" in pubs.columns else norm_title_column(F.col("title"))
+    # generated, not projected: a projection would be merged into each use and normalise again
+    return pubs.select(*columns, F.explode(F.array(norm)).alias("norm"))
+
+
+def published_versions(pubs: DataFrame, records: DataFrame) -> DataFrame:
     """(id, version, overlap): other records that are the published form of the informal ones among records.
 
-    Same normalised title, not informal, neither proceedings nor data, names that overlap enough.
+    Same normalised title that is not empty, not informal, neither proceedings nor data, names that overlap enough.
     """
-    tokenise = arrow(_title_tokens, "array<string>")
-    own = records.where(informal_strict()).select(
-        F.col("id").alias("entry"), tokenise("title").alias("words"), norm_title_column(F.col("title")).alias("norm"), F.col("authors").alias("own_authors"), F.col("key").alias("own_key")
-    )
-    cand = title_candidates(pubs, index, own.where(F.size("words") > 0), limit)
-    other = pubs.where(~informal_strict() & ~F.col("type").isin("proceedings", "data")).select("id", "key", "authors", "title")
-    # titles are normalised only where all words agree
-    both = cand.join(own.drop("words"), "entry").join(other, "id").where("key <> own_key").withColumn("other", norm_title_column(F.col("title"))).where("other = norm")
+    digest = F.when(F.col("norm") != "", F.sha2("norm", 256)).alias("title_digest")
+    own = _normalised(records.where(informal_strict()), "id", "key", "authors").select(F.col("id").alias("entry"), F.col("key").alias("own_key"), F.col("authors").alias("own_authors"), digest)
+    other = _normalised(pubs.where(~informal_strict() & ~F.col("type").isin("proceedings", "data")), "id", "key", "authors").select("id", "key", "authors", digest)
+    # titles meet by their digests, so no text is shuffled
+    both = own.join(other, "title_digest").where("key <> own_key")
     both = both.withColumn("overlap", overlap_of_names_udf("authors", "own_authors")).where(F.col("overlap") > PUBLISHED_OVERLAP)
     return both.select(F.col("entry").alias("id"), F.col("id").alias("version"), "overlap")
 
 
-def upgrades(pubs: DataFrame, index: Index, items: DataFrame, limit: int | None = None) -> DataFrame:
-    """(record, version): keys of the published versions of the records that items of kind record hold."""
+def upgrades(pubs: DataFrame, index: Index | None, items: DataFrame) -> DataFrame:
+    """(record, version): keys of the published versions of the records that items of kind record hold.
+
+    Equal titles meet without the index; callers that hold one may pass it.
+    """
     held = pubs.join(items.where("kind = 'record'").select(F.col("record").alias("key")).distinct(), "key", "left_semi")
     key = lambda name: pubs.select(F.col("id").alias(f"{name}_id"), F.col("key").alias(name))
-    found = published_versions(pubs, index, held, limit)
+    found = published_versions(pubs, held)
     return found.join(key("record"), F.col("id") == F.col("record_id")).join(key("version_key"), F.col("version") == F.col("version_key_id")).select(
         "record", F.col("version_key").alias("version")
     )
 
 
-def _title_tokens(title):
-    return sorted({t for w in title_words(title) for t in search_tokens(w)})
-
-
 def match(pubs: DataFrame, index: Index, entries: DataFrame, limit: int | None = None) -> DataFrame:
     """(entry, rank, key, how, score, best, summary columns): up to KEPT candidates of each entry (entry, raw).
 
@@ -151,7 +154,7 @@ def match(pubs: DataFrame, index: Index, entries: DataFrame, limit: int | None =
     order = Window.partitionBy("entry").orderBy(F.desc("score"), "seq")
     rows = rows.select("entry", "id", "key", "how", "score", "seq", "informal", F.row_number().over(order).alias("at"))
     first = rows.where("at = 1 and informal").select("entry", F.col("id").alias("first_id"), F.col("key").alias("first_key"), F.col("score").alias("first_score"))
-    versions = published_versions(pubs, index, pubs.join(first.select(F.col("first_id").alias("id")).distinct(), "id", "left_semi"), limit)
+    versions = published_versions(pubs, pubs.join(first.select(F.col("first_id").alias("id")).distinct(), "id", "left_semi"))
     promoted = first.join(versions.withColumnRenamed("id", "first_id"), "first_id").select("entry", F.col("version").alias("id"), "first_key", "first_score")
     both = rows.join(promoted, ["entry", "id"], "full")
     # in the order in which versions are found, the score of one that is new is that of the one before it

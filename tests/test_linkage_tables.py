@@ -34,3 +34,10 @@ def same(spark, tables, name):
 
 def test_published_versions_of_short_words(spark, tables):
     same(spark, tables, "published_versions")
+
+
+def test_versions_meet_by_titles(spark, tables):
+    """Equal titles meet by digests: no index of words is built of whole texts."""
+    same(spark, tables, "versions_by_names")
+    df = catalogue.versions_by_names(spark, tables[0])
+    assert "posexplode" not in df._jdf.queryExecution().optimizedPlan().toString()

@@ -6,6 +6,7 @@ import difflib
 import html
 import re
 import unicodedata
+from html.entities import html5
 from collections.abc import Callable
 
 import pandas as pd
@@ -65,11 +66,25 @@ def tokens(text: Column) -> Column:
 # ---------------------------------------------------------------- markup
 
 
-def strip_markup(raw: str | None) -> str | None:
-    """Text of a marked-up value: tags go, entities are decoded, white space is folded, in this order."""
+_CLOSED = re.compile(r"&(?:#\d+|#[xX][0-9a-fA-F]+|(\w+));", re.ASCII)
+
+
+def strip_markup(raw: str | None, closed: bool = False) -> str | None:
+    """Text of a marked-up value: tags go, entities are decoded, white space is folded, in this order.
+
+    With closed only entities that end in a semicolon are decoded, as where a text may be cut inside one;
+    else also those names that browsers accept without.
+    """
     if raw is None:
         return None
-    return " ".join(html.unescape(re.sub(r"<[^>]+>", "", raw)).split())
+    text = re.sub(r"<[^>]+>", "", raw)
+    # unescape() would take the beginning of an unknown name for a known one
+    text = _CLOSED.sub(lambda m: html5.get(f"{m[1]};", m[0]) if m[1] else html.unescape(m[0]), text) if closed else html.unescape(text)
+    return " ".join(text.split())
+
+
+def strip_closed_markup(raw: str | None) -> str | None:
+    return strip_markup(raw, closed=True)
 
 
 def strip_latex(text: str | None) -> str:
@@ -144,6 +159,7 @@ def word_diff(before: str | None, after: str | None, most_cells: int = 250_000)
 
 
 markup_udf = arrow(strip_markup, "string")
+closed_markup_udf = arrow(strip_closed_markup, "string")
 norm_title_udf = arrow(norm_title, "string")
 ascii_lower_udf = arrow(ascii_lower, "string")
 similarity_udf = arrow(similarity, "double")

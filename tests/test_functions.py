@@ -159,3 +159,23 @@ def test_word_diff_is_a_longest_common_subsequence():
         kept = [[p for p, new in side if not new] for side in (left, right)]
         assert [p for p, _ in left] == a and [p for p, _ in right] == b
         assert kept[0] == kept[1] and len(kept[0]) == longest(a, b)
+
+
+def test_cut_entities_stay():
+    raw = "<p>a &amp; b&quot;&amp;lt; &copy=1 &#38;&#x26; &nosuch; &notit; &AMP &amp"
+    assert text.strip_markup(raw, closed=True) == 'a & b"&lt; &copy=1 && &nosuch; &notit; &AMP &amp'
+    assert text.strip_markup("&copy 1 &amp") == "© 1 &" and text.strip_markup(None, closed=True) is None
+
+
+def test_cut_pages(spark, tmp_path):
+    import duckdb
+
+    from lectern.plans import catalogue
+
+    con = duckdb.connect()
+    pages = [(1, "<p>a &amp; b &copy; c&amp"), (2, "x &quot y&lt"), (3, "&middot;&amp;quot; <b>&am"), (4, None)]
+    con.execute("create table pages (page_id bigint, html varchar)")
+    con.executemany("insert into pages values (?, ?)", pages)
+    con.execute(f"copy pages to '{tmp_path}/pages.parquet' (format parquet)")
+    got = {tuple(r) for r in catalogue.entity_decode_strip(spark, str(tmp_path)).collect()}
+    assert got == set(con.execute(catalogue.ORACLES["entity_decode_strip"]).fetchall())

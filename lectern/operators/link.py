@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from ..functions.bibtex import field_of, first_entry
 from ..functions.names import bib_last_names, overlap_of_names_udf, overlap_udf
 from ..functions.text import arrow, norm_title, norm_title_column, similarity_udf, strip_latex, title_words
+from ..scratch import cut
 from .records import informal_strict, summary
-from .search import Index, search_tokens, title_candidates
+from .search import Index, build_index, search_tokens, title_candidates
 from .transform import KEY_PREFIX
 
 #: What a way of matching is worth, what agreeing names and years add, and the thresholds.
@@ -74,34 +75,69 @@ def entry_facts_column(raw) -> Column:
     return F.get(_facts_udf(raw), F.lit(0))
 
 
-def found_pairs(pubs: DataFrame, index: Index, facts: DataFrame, limit: int | None = None) -> DataFrame:
+def found_pairs(pubs: DataFrame, index: Index | None, facts: DataFrame) -> DataFrame:
     """(entry, id, how, base, seq): the best way each record was found for each entry, data sets excepted.
 
-    facts: (entry, f). The four ways are joined by equality and united; similar titles are compared
-    only where all words of the title occur. seq orders records as they are found: by way, then id.
+    facts: (entry, f). What an entry names (keys, DOI, preprint, title) meets what records offer in one join by equality;
+    for titles that is the outcome of title_pairs(). seq orders records as they are found: by way, then id.
     """
     pubs = pubs.where("type <> 'data'")
-    p = pubs.select("id", "key", "doi", "venue", "volume", "title")
-    way = lambda d, how, n: d.select("entry", "id", F.lit(how).alias("how"), F.lit(BASES[how]).alias("base"), F.struct(F.lit(n).alias("way"), "id").alias("seq"))
-    by_key = facts.select("entry", F.explode("f.keys").alias("key")).join(p, "key")
-    by_doi = facts.select("entry", F.col("f.doi").alias("d")).join(p.where("doi is not null"), F.lower("doi") == F.col("d"))
-    preprints = p.where("venue = 'CoRR'")
-    by_arxiv = facts.select("entry", F.concat(F.lit("abs/"), F.col("f.arxiv")).alias("v")).join(preprints, F.col("volume") == F.col("v"))
-    asked = facts.where("f.title is not null and size(f.words) > 0").select("entry", F.col("f.words").alias("words"), F.col("f.norm").alias("norm"))
-    cand = title_candidates(pubs, index, asked, limit).join(asked.select("entry", "norm"), "entry").join(p.select("id", "title"), "id")
-    cand = cand.withColumn("other", norm_title_column(F.col("title")))
-    same = cand.where("other = norm")
-    near = cand.where("other <> norm").where(similarity_udf("other", "norm") > SIMILAR)
-    ways = [way(d, how, n) for n, (d, how) in enumerate([(by_key, "source key"), (by_doi, "doi"), (by_arxiv, "arXiv id"), (same, "title"), (near, "similar title")])]
-    union = ways[0]
-    for w in ways[1:]:
-        union = union.unionByName(w)
+    title = F.when(F.col("f.title").isNotNull() & (F.size("f.words") > 0), _title_handle(F.col("f.norm"), F.col("f.words")))
+    named = [F.transform(F.coalesce("f.keys", F.array().cast("array<string>")), lambda k: F.struct(F.lit("key").alias("by"), k.alias("value")))]
+    named += [F.array(F.struct(F.lit(by).alias("by"), value.alias("value"))) for by, value in (
+        ("doi", F.col("f.doi")), ("preprint", F.concat(F.lit("abs/"), F.col("f.arxiv"))), ("title", title))]
+    asked = facts.select("entry", F.explode(F.array_distinct(F.concat(*named))).alias("n")).select("entry", "n.by", "n.value").where("value is not null")
+    offers = lambda d, by, how, n, value: d.select(F.lit(by).alias("by"), F.col(value).alias("value"), "id", F.lit(how).alias("how"), F.lit(BASES[how]).alias("base"), F.lit(n).alias("way"))
+    alike = title_pairs(pubs, index, facts)
+    how = F.when(F.col("same"), "title").otherwise("similar title")
+    alike = alike.select(F.lit("title").alias("by"), F.col("handle").alias("value"), "id", how.alias("how"), F.when(F.col("same"), BASES["title"]).otherwise(BASES["similar title"]).alias("base"), F.when(F.col("same"), 3).otherwise(4).alias("way"))
+    offered = offers(pubs, "key", "source key", 0, "key").unionByName(offers(pubs.withColumn("d", F.lower("doi")), "doi", "doi", 1, "d")).unionByName(
+        offers(pubs.where("venue = 'CoRR'"), "preprint", "arXiv id", 2, "volume")
+    ).where("value is not null").unionByName(alike)
+    found = asked.join(offered, ["by", "value"]).withColumn("seq", F.struct("way", "id"))
     # a higher base replaces how a record was found, but not its place
-    return union.groupBy("entry", "id").agg(
-        F.max_by("how", F.struct("base", -F.col("seq.way"))).alias("how"), F.max("base").alias("base"), F.min("seq").alias("seq")
+    return found.groupBy("entry", "id").agg(
+        F.max_by("how", F.struct("base", -F.col("way"))).alias("how"), F.max("base").alias("base"), F.min("seq").alias("seq")
     )
 
 
+def _title_handle(norm: Column, words: Column) -> Column:
+    """What an entry's title is known by: its normalised form and the words that a record's title must have."""
+    return F.concat_ws("\n", norm, F.array_join(words, " "))
+
+
+def title_pairs(pubs: DataFrame, index: Index | None, facts: DataFrame) -> DataFrame:
+    """(handle, id, same): the records whose title has all words of an entry's title and is the same or similar.
+
+    Entries of one title are asked for once. The ratio of two texts is at most twice the shorter length over both lengths, so
+    only records whose title is about as long can be found; without an index their words alone are indexed, which are few if
+    records have longer titles than entries.
+    """
+    titled = facts.where("f.title is not null and size(f.words) > 0").select("entry", F.col("f.words").alias("words"), F.col("f.norm").alias("norm"))
+    # one entry stands for all of its title; both sides are kept as scratch tables, since they are read several times
+    asked = cut(titled.groupBy("norm", "words").agg(F.min("entry").alias("entry")))
+    shortest, longest = asked.agg(F.min(F.length("norm")), F.max(F.length("norm"))).first()
+    # letters and digits of a title's beginning stay in its normalised form, so most long ones are told without normalising them
+    most = int((longest or 0) * (2 / SIMILAR - 1)) + 1
+    start = F.substring("title", 1, 2 * most + 100)
+    longer = ~F.contains(start, F.lit("\\")) & (F.length(F.regexp_replace(start, "[^a-zA-Z0-9]+", "")) > most)
+    titles = _normalised(pubs.where(F.col("title").isNotNull() & ~longer), "id", "title")
+    titles = cut(titles.where(_may_be_alike(F.length("norm"), F.greatest(F.lit(shortest), F.least(F.lit(longest), F.length("norm"))))))
+    cand = title_candidates(titles, index or build_index(titles, ("title",)), asked.select("entry", "words"))
+    both = cand.join(asked, "entry").join(titles.select("id", F.col("norm").alias("other")), "id").where(_may_be_alike(F.length("norm"), F.length("other")))
+    pairs = both.select("id", "other", "norm", _title_handle(F.col("norm"), F.col("words")).alias("handle"))
+    # two titles are compared once, however many records have the one
+    same = F.col("other") == F.col("norm")
+    ratio = F.when(same, 1.0).otherwise(similarity_udf(F.when(~same, F.col("other")), F.when(~same, F.col("norm"))))
+    alike = pairs.select("other", "norm").distinct().where(ratio > SIMILAR)
+    return pairs.join(alike, ["other", "norm"]).select("handle", "id", same.alias("same"))
+
+
+def _may_be_alike(a: Column, b: Column) -> Column:
+    """Whether texts of these lengths can have a ratio above SIMILAR."""
+    return F.least(a, b) * 2 >= (a + b) * SIMILAR
+
+
 def _normalised(pubs: DataFrame, *columns: str) -> DataFrame:
     """columns and the normalised title norm of the records; a stored one is taken where there is one."""
     norm = F.col("norm_title") if "norm_title" in pubs.columns else norm_title_column(F.col("title"))
@@ -136,7 +172,7 @@ def upgrades(pubs: DataFrame, index: Index | None, items: DataFrame) -> DataFram
     )
 
 
-def match(pubs: DataFrame, index: Index, entries: DataFrame, limit: int | None = None) -> DataFrame:
+def match(pubs: DataFrame, index: Index | None, entries: DataFrame) -> DataFrame:
     """(entry, rank, key, how, score, best, summary columns): up to KEPT candidates of each entry (entry, raw).
 
     score: the way's base, agreement of names and years, less if only the record is a proceedings.
@@ -144,15 +180,17 @@ def match(pubs: DataFrame, index: Index, entries: DataFrame, limit: int | None =
     another; one that was not found before takes the score of the candidate then in front. best marks
     the first candidate from BEST_FROM on.
     """
-    facts = entries.select("entry", entry_facts_column("raw").alias("f")).where("f is not null")
+    # exploded, not filtered, so that each is read once; entries are small: a file of many would be read by one task, and by few if partitions were merged by their bytes
+    tasks = int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    facts = cut(entries.repartition(tasks, "entry").select("entry", F.explode(_facts_udf("raw")).alias("f")))
     people = F.when(F.size(F.coalesce("authors", F.array().cast("array<string>"))) > 0, F.col("authors")).otherwise(F.col("editors"))
-    rows = found_pairs(pubs, index, facts, limit).join(facts, "entry").join(pubs.withColumn("people", people).select("id", "key", "type", "venue", "publtype", "year", "people"), "id")
+    rows = found_pairs(pubs, index, facts).join(facts, "entry").join(pubs.withColumn("people", people).select("id", "key", "type", "venue", "publtype", "year", "people"), "id")
     years = F.when(F.col("year") == F.col("f.year"), SAME_YEAR).when(F.abs(F.col("year") - F.col("f.year")) <= 1, NEAR_YEAR).otherwise(0)
     kind = F.when((F.col("type") == "proceedings") & (F.col("f.type") != "proceedings"), OTHER_KIND).otherwise(0)
     score = F.bround(F.col("base") + NAMES_WORTH * overlap_udf("f.last_names", "people") + years + kind, 1)
     rows = rows.withColumn("score", score).withColumn("informal", informal_strict())
     order = Window.partitionBy("entry").orderBy(F.desc("score"), "seq")
-    rows = rows.select("entry", "id", "key", "how", "score", "seq", "informal", F.row_number().over(order).alias("at"))
+    rows = cut(rows.select("entry", "id", "key", "how", "score", "informal", F.row_number().over(order).alias("at")))
     first = rows.where("at = 1 and informal").select("entry", F.col("id").alias("first_id"), F.col("key").alias("first_key"), F.col("score").alias("first_score"))
     versions = published_versions(pubs, pubs.join(first.select(F.col("first_id").alias("id")).distinct(), "id", "left_semi"))
     promoted = first.join(versions.withColumnRenamed("id", "first_id"), "first_id").select("entry", F.col("version").alias("id"), "first_key", "first_score")

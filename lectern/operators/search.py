@@ -40,13 +40,16 @@ class Term:
     excluded: bool
 
 
+_FOLDS = {ord(c): (FOLD_TABLE[1][i] if i < len(FOLD_TABLE[1]) else None) for i, c in enumerate(FOLD_TABLE[0])}
+
+
 def search_tokens(text: str) -> tuple[str, ...]:
-    """What tokens() makes of a text, on the driver."""
+    """What tokens() makes of a text, in Python."""
+    if text.isascii():
+        return tuple(re.findall("[a-z0-9]+", text.lower()))
     import regex
 
-    source, target = FOLD_TABLE
-    table = {ord(c): (target[i] if i < len(target) else None) for i, c in enumerate(source)}
-    return tuple(regex.findall(r"[\p{L}\p{N}\p{Co}]+", text.lower().translate(table)))
+    return tuple(regex.findall(r"[\p{L}\p{N}\p{Co}]+", text.lower().translate(_FOLDS)))
 
 
 # a part of a query: a minus, a name with a colon, then a quoted phrase or a word.

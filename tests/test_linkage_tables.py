@@ -41,3 +41,15 @@ def test_versions_meet_by_titles(spark, tables):
     same(spark, tables, "versions_by_names")
     df = catalogue.versions_by_names(spark, tables[0])
     assert "posexplode" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("name", ["match_ways", "match_promoted", "match_candidates"])
+def test_keys_of_six_digits(spark, tables, name):
+    same(spark, tables, name)
+
+
+@pytest.mark.parametrize("name", ["match_candidates", "match_best"])
+def test_long_titles_are_not_indexed(spark, tables, name):
+    """Titles longer than any similar one are left before they are split into words; entries are read once."""
+    df = catalogue.QUERIES[name](spark, tables[0])
+    assert "posexplode" not in df._jdf.queryExecution().optimizedPlan().toString()

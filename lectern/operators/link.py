@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.bibtex import field_of, first_entry
+from ..functions.bibtex import first_entry
 from ..functions.names import bib_last_names, overlap_of_names_udf, overlap_udf
 from ..functions.text import arrow, norm_title, norm_title_column, similarity_udf, strip_latex, title_words
 from ..scratch import cut
@@ -20,6 +20,9 @@ BASES = {"source key": 100, "doi": 90, "arXiv id": 80, "title": 60, "similar tit
 NAMES_WORTH, SAME_YEAR, NEAR_YEAR, OTHER_KIND = 30, 10, 4, -30
 SIMILAR, PUBLISHED_OVERLAP, BEST_FROM, KEPT = 0.9, 0.4, 70, 8
 
+#: How much of a normalised title is compared first, and in how much of a title it is looked for.
+START, START_READ = 100, 300
+
 # how a record's address, preprint ids and DOIs are written in entries
 _IN_ADDRESS = re.compile(r"dblp\.org/rec/(.+?)(?:\.bib|\.html)?$")
 _PREPRINT_URL = re.compile(r"arxiv\.org/(?:abs|pdf)/([\w.\-/]+?)(?:v\d+)?(?:\.pdf)?$")
@@ -42,7 +45,10 @@ def entry_facts(raw: str | None) -> dict | None:
     entry = first_entry(raw)
     if entry is None:
         return None
-    value = lambda name: field_of(entry, name) or ""
+    values: dict[str, str] = {}
+    for name, said in entry.fields:
+        values.setdefault(name, said)
+    value = lambda name: values.get(name) or ""
     keys = [entry.key.removeprefix(KEY_PREFIX)] * entry.key.startswith(KEY_PREFIX)
     keys += _IN_ADDRESS.findall(value("biburl"))[:1]
     marked = "arxiv" in (value("archiveprefix").lower(), value("eprinttype").lower())
@@ -54,11 +60,12 @@ def entry_facts(raw: str | None) -> dict | None:
     year = re.search(r"\d{4}", value("year"))
     title = value("title")
     doi = _doi(value("doi")) or (_doi(value("url")) if "doi.org" in value("url") else None)
+    people = value("author") or value("editor")
     return {
         "type": entry.type, "keys": keys, "doi": doi.lower() if doi else None, "arxiv": re.sub(r"v\d+$", "", arxiv) or None,
         "title": title or None, "norm": norm_title(title) if title else None,
         "words": sorted({t for w in title_words(strip_latex(title)) for t in search_tokens(w)}),
-        "last_names": bib_last_names(value("author") or value("editor")), "year": int(year[0]) if year else None,
+        "last_names": bib_last_names(people) if people else [], "year": int(year[0]) if year else None,
     }
 
 
@@ -75,6 +82,13 @@ def entry_facts_column(raw) -> Column:
     return F.get(_facts_udf(raw), F.lit(0))
 
 
+def entry_table(entries: DataFrame) -> DataFrame:
+    """(entry, f) of the entries (entry, raw) that have one, as a scratch table, so that each is read once."""
+    # exploded, not filtered; entries are small: a file of many would be read by one task, and by few if partitions were merged by their bytes
+    tasks = int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return cut(entries.repartition(tasks, "entry").select("entry", F.explode(_facts_udf("raw")).alias("f")))
+
+
 def found_pairs(pubs: DataFrame, index: Index | None, facts: DataFrame) -> DataFrame:
     """(entry, id, how, base, seq): the best way each record was found for each entry, data sets excepted.
 
@@ -87,18 +101,22 @@ def found_pairs(pubs: DataFrame, index: Index | None, facts: DataFrame) -> DataF
     named += [F.array(F.struct(F.lit(by).alias("by"), value.alias("value"))) for by, value in (
         ("doi", F.col("f.doi")), ("preprint", F.concat(F.lit("abs/"), F.col("f.arxiv"))), ("title", title))]
     asked = facts.select("entry", F.explode(F.array_distinct(F.concat(*named))).alias("n")).select("entry", "n.by", "n.value").where("value is not null")
-    offers = lambda d, by, how, n, value: d.select(F.lit(by).alias("by"), F.col(value).alias("value"), "id", F.lit(how).alias("how"), F.lit(BASES[how]).alias("base"), F.lit(n).alias("way"))
+    ways = list(BASES)
+    offers = lambda d, by, how, value: d.select(F.lit(by).alias("by"), F.col(value).alias("value"), "id", F.lit(ways.index(how)).alias("way"))
     alike = title_pairs(pubs, index, facts)
-    how = F.when(F.col("same"), "title").otherwise("similar title")
-    alike = alike.select(F.lit("title").alias("by"), F.col("handle").alias("value"), "id", how.alias("how"), F.when(F.col("same"), BASES["title"]).otherwise(BASES["similar title"]).alias("base"), F.when(F.col("same"), 3).otherwise(4).alias("way"))
-    offered = offers(pubs, "key", "source key", 0, "key").unionByName(offers(pubs.withColumn("d", F.lower("doi")), "doi", "doi", 1, "d")).unionByName(
-        offers(pubs.where("venue = 'CoRR'"), "preprint", "arXiv id", 2, "volume")
+    way = F.when(F.col("same"), ways.index("title")).otherwise(ways.index("similar title"))
+    alike = alike.select(F.lit("title").alias("by"), F.col("handle").alias("value"), "id", way.alias("way"))
+    offered = offers(pubs, "key", "source key", "key").unionByName(offers(pubs.withColumn("d", F.lower("doi")), "doi", "doi", "d")).unionByName(
+        offers(pubs.where("venue = 'CoRR'"), "preprint", "arXiv id", "volume")
     ).where("value is not null").unionByName(alike)
-    found = asked.join(offered, ["by", "value"]).withColumn("seq", F.struct("way", "id"))
-    # a higher base replaces how a record was found, but not its place
-    return found.groupBy("entry", "id").agg(
-        F.max_by("how", F.struct("base", -F.col("way"))).alias("how"), F.max("base").alias("base"), F.min("seq").alias("seq")
-    )
+    # a few names may make many pairs, so the tasks are not merged by their bytes
+    tasks = int(pubs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = asked.repartition(tasks, "by", "value").join(offered.repartition(tasks, "by", "value"), ["by", "value"])
+    # a higher base replaces how a record was found, but not its place; numbers alone are grouped, as texts would be sorted
+    base = F.get(F.array(*map(F.lit, BASES.values())), F.col("way"))
+    found = found.groupBy("entry", "id").agg(F.max(base * len(ways) - F.col("way")).alias("best"), F.min("way").alias("first"))
+    best = F.pmod(-F.col("best"), F.lit(len(ways)))
+    return found.select("entry", "id", F.get(F.array(*map(F.lit, ways)), best).alias("how"), F.get(F.array(*map(F.lit, BASES.values())), best).alias("base"), F.struct(F.col("first").alias("way"), "id").alias("seq"))
 
 
 def _title_handle(norm: Column, words: Column) -> Column:
@@ -117,11 +135,14 @@ def title_pairs(pubs: DataFrame, index: Index | None, facts: DataFrame) -> DataF
     # one entry stands for all of its title; both sides are kept as scratch tables, since they are read several times
     asked = cut(titled.groupBy("norm", "words").agg(F.min("entry").alias("entry")))
     shortest, longest = asked.agg(F.min(F.length("norm")), F.max(F.length("norm"))).first()
-    # letters and digits of a title's beginning stay in its normalised form, so most long ones are told without normalising them
+    # letters and digits of a title's beginning, up to a command, stay in its normalised form, so most long ones are told without normalising them
     most = int((longest or 0) * (2 / SIMILAR - 1)) + 1
-    start = F.substring("title", 1, 2 * most + 100)
-    longer = ~F.contains(start, F.lit("\\")) & (F.length(F.regexp_replace(start, "[^a-zA-Z0-9]+", "")) > most)
-    titles = _normalised(pubs.where(F.col("title").isNotNull() & ~longer), "id", "title")
+    start = _start(pubs) if 2 * most <= START_READ else F.substring("title", 1, 2 * most + 100)
+    if most < 500:
+        longer = start.rlike(rf"^(?:[^a-zA-Z0-9\\]*+[a-zA-Z0-9]){{{most + 1}}}")
+    else:  # a matcher is nested as deep as it counts
+        longer = F.length(F.regexp_replace(F.substring_index(start, "\\", 1), "[^a-zA-Z0-9]+", "")) > most
+    titles = _normalised(pubs.where(~longer), "id", "title")
     titles = cut(titles.where(_may_be_alike(F.length("norm"), F.greatest(F.lit(shortest), F.least(F.lit(longest), F.length("norm"))))))
     cand = title_candidates(titles, index or build_index(titles, ("title",)), asked.select("entry", "words"))
     both = cand.join(asked, "entry").join(titles.select("id", F.col("norm").alias("other")), "id").where(_may_be_alike(F.length("norm"), F.length("other")))
@@ -145,18 +166,52 @@ def _normalised(pubs: DataFrame, *columns: str) -> DataFrame:
     return pubs.select(*columns, F.explode(F.array(norm)).alias("norm"))
 
 
+def _start(pubs: DataFrame) -> Column:
+    """A beginning of the records' titles: title_start where that is stored, else the first START_READ characters."""
+    return F.substring("title_start" if "title_start" in pubs.columns else "title", 1, START_READ)
+
+
+def _alike_starts(pubs: DataFrame, records: DataFrame) -> DataFrame:
+    """Ids of pubs whose normalised titles begin, in their first START characters, like one of the other side.
+
+    The sides are the informal records and those that are not. Most are told by the beginning of the title, whose normalised
+    form begins the whole one; a beginning with too few letters and digits is not enough, and then the title is normalised whole.
+    """
+    digest = lambda norm: F.xxhash64(F.substring(norm, 1, START)).alias("start")
+    # generated, as in _normalised()
+    rows = pubs.select("id", informal_strict().alias("own"), F.explode(F.array(_start(pubs))).alias("title"))
+    rows = rows.select("id", "own", F.explode(F.array(norm_title_column(F.col("title")))).alias("norm"))
+    begun = cut(rows.select("id", "own", F.when(F.length("norm") >= START, digest(F.col("norm"))).alias("start")))
+    left = begun.where("start is null").select("id")
+    if not left.isEmpty():
+        whole = _normalised(pubs.withColumn("own", informal_strict()).join(left, "id", "left_semi"), "id", "own")
+        begun = begun.where("start is not null").unionByName(cut(whole.where("norm <> ''").select("id", "own", digest(F.col("norm")))))
+    if records is not pubs:
+        begun = begun.where("not own").unionByName(begun.where("own").join(records.select("id"), "id", "left_semi"))
+    common = begun.groupBy("start").agg(F.min("own").alias("least"), F.max("own").alias("most")).where("most and not least")
+    return cut(begun.join(common, "start", "left_semi").select("id"))
+
+
 def published_versions(pubs: DataFrame, records: DataFrame) -> DataFrame:
-    """(id, version, overlap): other records that are the published form of the informal ones among records.
+    """(id, version, overlap): other records that are the published form of the informal ones among records, which are some of pubs.
 
     Same normalised title that is not empty, not informal, neither proceedings nor data, names that overlap enough.
     """
-    digest = F.when(F.col("norm") != "", F.sha2("norm", 256)).alias("title_digest")
-    own = _normalised(records.where(informal_strict()), "id", "key", "authors").select(F.col("id").alias("entry"), F.col("key").alias("own_key"), F.col("authors").alias("own_authors"), digest)
-    other = _normalised(pubs.where(~informal_strict() & ~F.col("type").isin("proceedings", "data")), "id", "key", "authors").select("id", "key", "authors", digest)
-    # titles meet by their digests, so no text is shuffled
-    both = own.join(other, "title_digest").where("key <> own_key")
-    both = both.withColumn("overlap", overlap_of_names_udf("authors", "own_authors")).where(F.col("overlap") > PUBLISHED_OVERLAP)
-    return both.select(F.col("entry").alias("id"), F.col("id").alias("version"), "overlap")
+    sides = pubs.where(informal_strict() | ~F.col("type").isin("proceedings", "data"))
+    if "norm_title" not in pubs.columns:
+        # only titles that begin like one of the other side are normalised whole
+        sides = sides.join(_alike_starts(sides, sides if records is pubs else records), "id", "left_semi")
+    rows = _normalised(sides.withColumn("own", informal_strict()), "id", "key", "authors", "own")
+    # read twice, so kept: titles meet by their digests
+    rows = cut(rows.where("norm <> ''").select("id", "key", "authors", "own", F.sha2("norm", 256).alias("title_digest")))
+    own = rows.where("own") if records is pubs else rows.where("own").join(records.select("id"), "id", "left_semi")
+    own = own.select(F.col("id").alias("entry"), F.col("key").alias("own_key"), F.col("authors").alias("own_authors"), "title_digest")
+    both = own.join(rows.where("not own"), "title_digest").where("key <> own_key")
+    # copies of one title make many pairs in one task, so they are dealt out before names are compared
+    both = both.repartition(int(pubs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    # generated, not projected: the condition would be taken to where the pairs are made, and names compared twice
+    both = both.select(F.col("entry").alias("id"), F.col("id").alias("version"), F.explode(F.array(overlap_of_names_udf("authors", "own_authors"))).alias("overlap"))
+    return both.where(F.col("overlap") > PUBLISHED_OVERLAP)
 
 
 def upgrades(pubs: DataFrame, index: Index | None, items: DataFrame) -> DataFrame:
@@ -180,9 +235,7 @@ def match(pubs: DataFrame, index: Index | None, entries: DataFrame) -> DataFrame
     another; one that was not found before takes the score of the candidate then in front. best marks
     the first candidate from BEST_FROM on.
     """
-    # exploded, not filtered, so that each is read once; entries are small: a file of many would be read by one task, and by few if partitions were merged by their bytes
-    tasks = int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    facts = cut(entries.repartition(tasks, "entry").select("entry", F.explode(_facts_udf("raw")).alias("f")))
+    facts = entry_table(entries)
     people = F.when(F.size(F.coalesce("authors", F.array().cast("array<string>"))) > 0, F.col("authors")).otherwise(F.col("editors"))
     rows = found_pairs(pubs, index, facts).join(facts, "entry").join(pubs.withColumn("people", people).select("id", "key", "type", "venue", "publtype", "year", "people"), "id")
     years = F.when(F.col("year") == F.col("f.year"), SAME_YEAR).when(F.abs(F.col("year") - F.col("f.year")) <= 1, NEAR_YEAR).otherwise(0)
@@ -191,8 +244,10 @@ def match(pubs: DataFrame, index: Index | None, entries: DataFrame) -> DataFrame
     rows = rows.withColumn("score", score).withColumn("informal", informal_strict())
     order = Window.partitionBy("entry").orderBy(F.desc("score"), "seq")
     rows = cut(rows.select("entry", "id", "key", "how", "score", "informal", F.row_number().over(order).alias("at")))
-    first = rows.where("at = 1 and informal").select("entry", F.col("id").alias("first_id"), F.col("key").alias("first_key"), F.col("score").alias("first_score"))
-    versions = published_versions(pubs, pubs.join(first.select(F.col("first_id").alias("id")).distinct(), "id", "left_semi"))
+    first = cut(rows.where("at = 1 and informal").select("entry", F.col("id").alias("first_id"), F.col("key").alias("first_key"), F.col("score").alias("first_score")))
+    preprints = pubs.join(first.select(F.col("first_id").alias("id")).distinct(), "id", "left_semi")
+    # without a preprint no title is read
+    versions = first.selectExpr("first_id as id", "first_id as version", "0d as overlap") if first.isEmpty() else published_versions(pubs, preprints)
     promoted = first.join(versions.withColumnRenamed("id", "first_id"), "first_id").select("entry", F.col("version").alias("id"), "first_key", "first_score")
     both = rows.join(promoted, ["entry", "id"], "full")
     # in the order in which versions are found, the score of one that is new is that of the one before it

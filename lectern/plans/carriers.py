@@ -30,16 +30,22 @@ def _empty_extra(**given: Column) -> Column:
     return F.struct(*parts)
 
 
-def text_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """documents and their labels as publications: the whole text, white space folded, is the title, the source the venue."""
+def text_records(spark: SparkSession, sf_dir: str, starts: bool = False) -> DataFrame:
+    """documents and their labels as publications: the whole text, white space folded, is the title, the source the venue.
+
+    With starts there is a column title_start, a beginning of the title, for linkage.
+    """
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     doc = F.col("doc_id")
     kind = F.element_at(F.array(*map(F.lit, RECORD_TYPES)), (doc % 8 + 1).cast("int"))
     poor = labels.groupBy("doc_id").agg(F.min("quality").alias("quality"))
     year = F.when(doc % 50 != 0, 2000 + doc % 25).cast("int")
+    folded = lambda text: F.trim(F.regexp_replace(text, r"[ \t\n\r\f]+", " "))
+    # folding whole texts costs more than reading them, so the beginning is folded by itself
+    start = [folded(F.substring("text", 1, 400)).alias("title_start")] * starts
     return docs.join(poor, "doc_id", "left").select(
         doc.alias("id"), F.concat(F.lit("text/"), doc.cast("string")).alias("key"), kind.alias("type"),
-        F.when(F.col("quality") == 0, F.lit("Informal")).alias("publtype"), F.trim(F.regexp_replace("text", r"[ \t\n\r\f]+", " ")).alias("title"),
+        F.when(F.col("quality") == 0, F.lit("Informal")).alias("publtype"), folded(F.col("text")).alias("title"), *start,
         F.array(F.concat(F.lit("Writer "), (doc % 37).cast("string")), F.concat(F.lit("Helper "), (doc % 11).cast("string"))).alias("authors"),
         F.array(F.concat(F.lit("Editor "), (doc % 7).cast("string"))).alias("editors"),
         F.when(doc % 5 == 0, "CoRR").otherwise(F.col("source")).alias("venue"), year.alias("year"),

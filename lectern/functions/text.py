@@ -87,10 +87,13 @@ def strip_closed_markup(raw: str | None) -> str | None:
     return strip_markup(raw, closed=True)
 
 
+_COMMAND = re.compile(r"\\[a-zA-Z]+\s*")
+_LATEX_MARKS = dict.fromkeys(map(ord, "{}\\\"'`^~"))
+
+
 def strip_latex(text: str | None) -> str:
     """Text without commands (and the space after them), braces, quotes, accents and ties."""
-    plain = re.sub(r"\\[a-zA-Z]+\s*", "", text or "")
-    return plain.translate(dict.fromkeys(map(ord, "{}\\\"'`^~")))
+    return (_COMMAND.sub("", text) if "\\" in text else text).translate(_LATEX_MARKS) if text else ""
 
 
 def strip_latex_column(text: Column) -> Column:

@@ -3,6 +3,7 @@
 import duckdb
 import pytest
 
+from lectern.functions.bibtex import parse
 from lectern.operators import link
 from lectern.plans import catalogue
 
@@ -44,3 +45,16 @@ def test_only_titles_that_begin_alike_are_normalised_whole(spark, monkeypatch):
     pubs = _records(spark, [LONG, LONG, "other " + LONG, "third " + LONG, LONG + "x"])
     assert {(r.id, r.version) for r in link.published_versions(pubs, pubs).collect()} == {(1, 0)}
     assert sorted(sum(whole, [])) == [0, 1, 4]
+
+
+def test_no_version_is_looked_for_without_a_preprint(spark, tables, monkeypatch):
+    monkeypatch.setattr(link, "published_versions", None)
+    same(spark, tables, "match_candidates")
+
+
+@pytest.mark.parametrize("raw, want", [
+    ("@a{k, t = {x, y = \"z\" # (}, u = {b{c}d}, v = {\\}e}}", [("t", "x, y = \"z\" # ("), ("u", "b{c}d"), ("v", "\\}e")]),
+    ("@a{k, t = {x} # {y}, u = {}}", [("t", "{x} # {y}"), ("u", "")]),
+])
+def test_groups_are_read_at_once(raw, want):
+    assert [(i.kind, i.fields, i.raw) for i in parse(raw)] == [("entry", want, raw)]

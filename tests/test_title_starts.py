@@ -58,6 +58,14 @@ def test_pairs_are_grouped_by_numbers(spark, tables):
     assert "max_by" not in df._jdf.queryExecution().optimizedPlan().toString()
 
 
+@pytest.mark.parametrize("longest", ["Ring", "ring " * 60, "ring " * 300])
+def test_equal_titles_of_any_length(spark, longest):
+    pubs = _records(spark, ["Ring", "ring " * 60, "Ring " * 300, "\\emph " + "ring " * 300, "r i n g", "thing"])
+    facts = link.entry_table(spark.createDataFrame([(1, "@misc{a, title = {ring}}"), (2, f"@misc{{b, title = {{{longest}}}}}")], "entry int, raw string"))
+    found = {(r.entry, r.id) for r in link.found_pairs(pubs, None, facts).where("how = 'title'").collect()}
+    assert found == {(1, 0)} | {"Ring": {(2, 0)}, "ring " * 60: {(2, 1)}, "ring " * 300: {(2, 2), (2, 3)}}[longest]
+
+
 @pytest.mark.parametrize("raw, want", [
     ("@a{k, t = {x, y = \"z\" # (}, u = {b{c}d}, v = {\\}e}}", [("t", "x, y = \"z\" # ("), ("u", "b{c}d"), ("v", "\\}e")]),
     ("@a{k, t = {x} # {y}, u = {}}", [("t", "{x} # {y}"), ("u", "")]),

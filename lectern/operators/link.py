@@ -22,6 +22,8 @@ SIMILAR, PUBLISHED_OVERLAP, BEST_FROM, KEPT = 0.9, 0.4, 70, 8
 
 #: How much of a normalised title is compared first, and in how much of a title it is looked for.
 START, START_READ = 100, 300
+#: Fixed value: up to how many ids are broadcast, so that the texts they choose are not shuffled.
+FEW = 1_000_000
 
 # how a record's address, preprint ids and DOIs are written in entries
 _IN_ADDRESS = re.compile(r"dblp\.org/rec/(.+?)(?:\.bib|\.html)?$")
@@ -171,6 +173,12 @@ def _start(pubs: DataFrame) -> Column:
     return F.substring("title_start" if "title_start" in pubs.columns else "title", 1, START_READ)
 
 
+def _among(pubs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The records of some ids, chosen where they are read if the ids are few."""
+    few = ids.limit(FEW + 1).count() <= FEW
+    return pubs.join(F.broadcast(ids) if few else ids, "id", "left_semi")
+
+
 def _alike_starts(pubs: DataFrame, records: DataFrame) -> DataFrame:
     """Ids of pubs whose normalised titles begin, in their first START characters, like one of the other side.
 
@@ -184,7 +192,7 @@ def _alike_starts(pubs: DataFrame, records: DataFrame) -> DataFrame:
     begun = cut(rows.select("id", "own", F.when(F.length("norm") >= START, digest(F.col("norm"))).alias("start")))
     left = begun.where("start is null").select("id")
     if not left.isEmpty():
-        whole = _normalised(pubs.withColumn("own", informal_strict()).join(left, "id", "left_semi"), "id", "own")
+        whole = _normalised(_among(pubs, left).withColumn("own", informal_strict()), "id", "own")
         begun = begun.where("start is not null").unionByName(cut(whole.where("norm <> ''").select("id", "own", digest(F.col("norm")))))
     if records is not pubs:
         begun = begun.where("not own").unionByName(begun.where("own").join(records.select("id"), "id", "left_semi"))
@@ -200,7 +208,7 @@ def published_versions(pubs: DataFrame, records: DataFrame) -> DataFrame:
     sides = pubs.where(informal_strict() | ~F.col("type").isin("proceedings", "data"))
     if "norm_title" not in pubs.columns:
         # only titles that begin like one of the other side are normalised whole
-        sides = sides.join(_alike_starts(sides, sides if records is pubs else records), "id", "left_semi")
+        sides = _among(sides, _alike_starts(sides, sides if records is pubs else records))
     rows = _normalised(sides.withColumn("own", informal_strict()), "id", "key", "authors", "own")
     # read twice, so kept: titles meet by their digests
     rows = cut(rows.where("norm <> ''").select("id", "key", "authors", "own", F.sha2("norm", 256).alias("title_digest")))

@@ -42,7 +42,10 @@ def text_records(spark: SparkSession, sf_dir: str, starts: bool = False) -> Data
     year = F.when(doc % 50 != 0, 2000 + doc % 25).cast("int")
     folded = lambda text: F.trim(F.regexp_replace(text, r"[ \t\n\r\f]+", " "))
     # folding whole texts costs more than reading them, so the beginning is folded by itself
-    start = [folded(F.substring("text", 1, 400)).alias("title_start")] * starts
+    if starts:
+        # before labels are joined, so that the join need not carry whole texts
+        docs = docs.withColumn("title_start", folded(F.substring("text", 1, 400)))
+    start = ["title_start"] * starts
     return docs.join(poor, "doc_id", "left").select(
         doc.alias("id"), F.concat(F.lit("text/"), doc.cast("string")).alias("key"), kind.alias("type"),
         F.when(F.col("quality") == 0, F.lit("Informal")).alias("publtype"), folded(F.col("text")).alias("title"), *start,

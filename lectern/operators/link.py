@@ -179,22 +179,22 @@ def _among(pubs: DataFrame, ids: DataFrame) -> DataFrame:
     return pubs.join(F.broadcast(ids) if few else ids, "id", "left_semi")
 
 
-def _alike_starts(pubs: DataFrame, records: DataFrame) -> DataFrame:
-    """Ids of pubs whose normalised titles begin, in their first START characters, like one of the other side.
+def _alike_starts(pubs: DataFrame, sides: DataFrame, records: DataFrame | None) -> DataFrame:
+    """Ids of sides, some of pubs, whose normalised titles begin, in their first START characters, like one of the other side.
 
     The sides are the informal records and those that are not. Most are told by the beginning of the title, whose normalised
     form begins the whole one; a beginning with too few letters and digits is not enough, and then the title is normalised whole.
     """
     digest = lambda norm: F.xxhash64(F.substring(norm, 1, START)).alias("start")
     # generated, as in _normalised()
-    rows = pubs.select("id", informal_strict().alias("own"), F.explode(F.array(_start(pubs))).alias("title"))
+    rows = sides.select("id", informal_strict().alias("own"), F.explode(F.array(_start(sides))).alias("title"))
     rows = rows.select("id", "own", F.explode(F.array(norm_title_column(F.col("title")))).alias("norm"))
     begun = cut(rows.select("id", "own", F.when(F.length("norm") >= START, digest(F.col("norm"))).alias("start")))
     left = begun.where("start is null").select("id")
     if not left.isEmpty():
         whole = _normalised(_among(pubs, left).withColumn("own", informal_strict()), "id", "own")
         begun = begun.where("start is not null").unionByName(cut(whole.where("norm <> ''").select("id", "own", digest(F.col("norm")))))
-    if records is not pubs:
+    if records is not None:
         begun = begun.where("not own").unionByName(begun.where("own").join(records.select("id"), "id", "left_semi"))
     common = begun.groupBy("start").agg(F.min("own").alias("least"), F.max("own").alias("most")).where("most and not least")
     return cut(begun.join(common, "start", "left_semi").select("id"))
@@ -208,7 +208,8 @@ def published_versions(pubs: DataFrame, records: DataFrame) -> DataFrame:
     sides = pubs.where(informal_strict() | ~F.col("type").isin("proceedings", "data"))
     if "norm_title" not in pubs.columns:
         # only titles that begin like one of the other side are normalised whole
-        sides = _among(sides, _alike_starts(sides, sides if records is pubs else records))
+        # chosen from pubs, not from sides: ids are not taken below a filter, and then labels and the like join with all texts
+        sides = _among(pubs, _alike_starts(pubs, sides, None if records is pubs else records))
     rows = _normalised(sides.withColumn("own", informal_strict()), "id", "key", "authors", "own")
     # read twice, so kept: titles meet by their digests
     rows = cut(rows.where("norm <> ''").select("id", "key", "authors", "own", F.sha2("norm", 256).alias("title_digest")))

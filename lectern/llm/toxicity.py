@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import re
+import sys
 import zlib
-from collections import Counter
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +27,10 @@ DOUBT = 3
 FULL = 1 / 8
 #: Characters of those beginnings of words that are terms too.
 BEGINNINGS = (4, 5)
+#: Words of more characters are looked up one by one; texts of more are read in pieces of about as many.
+LONG, PIECE = 64, 1 << 16
 
-_WORDS = re.compile(r"\w+")
+_WORDS, _GAP = re.compile(r"\w+"), re.compile(r"\W")
 _NO_PLACES, _NO_SCORES = np.zeros(0, np.int64), np.zeros(0)
 
 
@@ -37,43 +39,159 @@ def terms_of(word: str) -> list[str]:
     return [word, *("^" + word[:n] for n in BEGINNINGS if len(word) >= n)]
 
 
+class _Hashed:
+    """Distinct 64-bit keys in buckets of their highest bits, and the place of a key among them."""
+
+    def __init__(self, keys: np.ndarray):
+        self.order = np.argsort(keys)
+        keys = keys[self.order]
+        bits = max(8 * len(keys), 2).bit_length()
+        self.shift = np.uint64(64 - bits)
+        self.first = np.searchsorted(keys >> self.shift, np.arange(2**bits, dtype=np.uint64)).astype(np.int32)
+        self.steps = int(np.diff(self.first, append=len(keys)).max())
+        self.keys = np.append(keys, np.zeros(self.steps + 1, np.uint64))  # a search may walk beyond the last
+        self.order = np.append(self.order, np.full(self.steps + 1, -1))
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The place of each key in the order given first; -1 if it is none of them."""
+        at = self.first[keys >> self.shift]
+        for _ in range(self.steps):
+            at = at + (self.keys[at] != keys)
+        return np.where(self.keys[at] == keys, self.order[at], -1)
+
+
+def _code_points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def _word_characters() -> np.ndarray:
+    """For every code point whether it belongs to a word, as _WORDS has it."""
+    out = np.zeros(sys.maxunicode + 1, bool)
+    for m in _WORDS.finditer("".join(map(chr, range(len(out))))):
+        out[m.start() : m.end()] = True
+    return out
+
+
 class Reader:
-    """Counts the terms of whole texts by their numbers; terms that no example has are left out, their weight is 0."""
+    """Counts the terms of whole texts by their numbers; terms that no example has are left out, their weight is 0.
+
+    Words are found and looked up by their code points, all of a text at once: a hash names the one known word that it
+    may be, whose characters are then compared, so no other word counts as it. Each word has a row of numbers, its own and
+    those of its beginnings; words that no example has take the row of their longest known beginning.
+    """
 
     def __init__(self, numbers: dict[str, int]):
-        # a known word is looked up once and its beginnings are read off its row; beginnings of other words by their length
-        self.tables = [{t[1:]: i for t, i in numbers.items() if t[0] == "^" and len(t) == n + 1} for n in BEGINNINGS]
-        words = [(t, i) for t, i in numbers.items() if t[0] != "^"]
-        self.row = {t: r for r, (t, _) in enumerate(words)}
-        beginnings = [[table.get(t[:n], -1) for t, _ in words] for n, table in zip(BEGINNINGS, self.tables)]
-        self.known = np.array([[i for _, i in words], *beginnings], np.int64)
-
-    def _found(self, words) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers of the terms of distinct words, and the place of the word of each."""
-        get = self.row.get
-        rows = np.array([get(w, -1) for w in words], np.int64)
-        at = np.flatnonzero(rows >= 0)
-        which, places = [self.known[:, rows[at]].ravel()], [np.tile(at, len(self.known))]
-        if len(at) < len(rows):
-            other = [(i, w) for i, (w, r) in enumerate(zip(words, rows.tolist())) if r < 0]
-            for n, table in zip(BEGINNINGS, self.tables):
-                get = table.get
-                which.append(np.array([get(w[:n], -1) for _, w in other], np.int64))
-                places.append(np.array([i for i, _ in other], np.int64))
-        which, places = np.concatenate(which), np.concatenate(places)
-        return which[which >= 0], places[which >= 0]
+        words = [t for t in numbers if t[0] != "^"]
+        starts = {n: [t[1:] for t in numbers if t[0] == "^" and len(t) == n + 1] for n in sorted(BEGINNINGS, reverse=True)}
+        rows = [[numbers[w], *(numbers.get("^" + w[:n], -1) if len(w) >= n else -1 for n in BEGINNINGS)] for w in words]
+        for n, found in starts.items():
+            rows += [[-1, *(numbers.get("^" + t[:m], -1) if m <= n else -1 for m in BEGINNINGS)] for t in found]
+        self.known = np.array([*rows, [-1] * (1 + len(BEGINNINGS))], np.int32)  # the last row: no term at all
+        self.is_word = _word_characters()
+        self.long = {w: r for r, w in enumerate(words) if len(w) > LONG}
+        short = [r for r, w in enumerate(words) if len(w) <= LONG]
+        self.row = np.array(short, np.int64)
+        self.size = np.array([len(words[r]) for r in short], np.int64)
+        self.begin = np.cumsum(self.size) - self.size
+        self.characters = _code_points("".join(words[r] for r in short))
+        self.starts, at = [], len(words)
+        for n, found in starts.items():
+            self.starts.append((n, at, _code_points("".join(found)).reshape(-1, n)))
+            at += len(found)
+        # words of at most LONG characters: some base tells all that are known apart
+        base = 0x9E3779B97F4A7C15
+        while True:
+            self.power = np.cumprod(np.full(LONG, base, np.uint64))
+            keys = [self._hash(self.characters, self.size), *(self._hash(c.ravel(), np.full(len(c), c.shape[1])) for _, _, c in self.starts)]
+            if all(len(np.unique(k)) == len(k) for k in keys):
+                break
+            base = (base * 0xD1342543DE82EF95 + 2) % 2**64
+        self.tables = [_Hashed(k) for k in keys]
+
+    def _hash(self, characters: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """A hash of each word of size characters; the words stand one after another."""
+        if not len(size):
+            return np.zeros(0, np.uint64)
+        begin = np.cumsum(size) - size
+        place = np.minimum(np.arange(len(characters)) - np.repeat(begin, size), LONG - 1)
+        return np.add.reduceat((characters + np.uint64(1)) * self.power[place], begin)
+
+    def _rows(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """Where each word of a lower-cased text begins, and its row."""
+        points = _code_points(text)
+        inside = np.zeros(len(points) + 2, bool)
+        inside[1:-1] = self.is_word[points]
+        edges = np.flatnonzero(inside[1:] != inside[:-1])
+        begin, size = edges[::2], edges[1::2] - edges[::2]
+        which = self.tables[0].find(self._hash(points[inside[1:-1]], size))
+        at = np.flatnonzero(which >= 0)
+        at = at[self.size[which[at]] == size[at]]
+        # characters of the words found against those of the known words
+        found, length = which[at], size[at]
+        ends = np.cumsum(length)
+        step = np.arange(ends[-1] if len(ends) else 0)
+        same = points[step + np.repeat(begin[at] - ends + length, length)] == self.characters[step + np.repeat(self.begin[found] - ends + length, length)]
+        if not same.all():
+            right = np.logical_and.reduceat(same, ends - length)
+            at, found = at[right], found[right]
+        none = len(self.known) - 1
+        out = np.full(len(size), none, np.int32)
+        out[at] = self.row[found]
+        if self.long:
+            for i in np.flatnonzero(size > LONG).tolist():
+                out[i] = self.long.get(text[begin[i] : begin[i] + size[i]], none)
+        left = np.flatnonzero(out == none)
+        for (n, first, known), table in zip(self.starts, self.tables[1:]):
+            left = left[out[left] == none]
+            at = left[size[left] >= n]
+            points_of = points[begin[at][:, None] + np.arange(n)]
+            which = table.find(self._hash(points_of.ravel(), np.full(len(at), n)))
+            right = np.flatnonzero(which >= 0)
+            right = right[(points_of[right] == known[which[right]]).all(1)]
+            out[at[right]] = first + which[right]
+        return begin, out
+
+    def _terms(self, texts: list[str]):
+        """terms_of() of lower-cased texts that are read together; beyond PIECE characters piece by piece, cut between words."""
+        whole, at, begin, rows = "\n".join(texts), 0, [_NO_PLACES], [_NO_PLACES]
+        while at < len(whole):
+            gap = _GAP.search(whole, at + PIECE)
+            end = gap.start() if gap else len(whole)
+            places, found = self._rows(whole[at:end])
+            begin.append(places + at)
+            rows.append(found)
+            at = end
+        begin, rows = np.concatenate(begin), np.concatenate(rows)
+        after = np.cumsum([len(t) + 1 for t in texts])
+        first = 0
+        for last in np.searchsorted(begin, after).tolist():
+            found = self.known[rows[first:last]].ravel()
+            yield found[found >= 0]
+            first = last
+
+    def terms_of(self, texts):
+        """For each text the numbers of its terms, each as often as it stands there; short texts are read together."""
+        group, size = [], 0
+        for t in texts:
+            t = (t or "").lower()
+            if group and size + len(t) > PIECE:
+                yield from self._terms(group)
+                group, size = [], 0
+            group.append(t)
+            size += len(t) + 1
+        if group:
+            yield from self._terms(group)
+
+    def counts_of(self, texts):
+        """For each text the numbers of its terms, rising, and how often each stands; none for null and empty texts."""
+        for found in self.terms_of(texts):
+            found.sort()
+            first = np.flatnonzero(np.concatenate(([True], found[1:] != found[:-1]))) if len(found) else _NO_PLACES
+            yield found[first].astype(np.int64), np.diff(np.append(first, len(found)))
 
     def counts(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        """The numbers of a text's terms, rising, and how often each stands; none for null and empty texts."""
-        words = Counter(_WORDS.findall((text or "").lower()))
-        which, places = self._found(words)
-        often = np.fromiter(words.values(), np.int64, len(words))[places]
-        terms, at = np.unique(which, return_inverse=True)
-        return terms, np.bincount(at, often, minlength=len(terms)).astype(np.int64)
-
-    def terms(self, text: str | None) -> np.ndarray:
-        """The numbers of a text's terms; a beginning may stand there for each of its words."""
-        return self._found(set(_WORDS.findall((text or "").lower())))[0]
+        """counts_of() one text."""
+        return next(self.counts_of([text]))
 
 
 @dataclass
@@ -227,13 +345,13 @@ def evidence_of(n0: np.ndarray, n1: np.ndarray, clean: int, toxic: int) -> np.nd
 
 def document_frequencies(docs: DataFrame, numbers: dict[str, int], text: str = "text") -> np.ndarray:
     """In how many rows of docs each numbered term stands: every row counts; a task sends one sum a term."""
-    shared = docs.sparkSession.sparkContext.broadcast(numbers)
+    shared, size = docs.sparkSession.sparkContext.broadcast(Reader(numbers)), len(numbers)
 
     def run(batches):
-        reader, rows = Reader(shared.value), np.zeros(len(shared.value), np.int64)
+        reader, rows = shared.value, np.zeros(size, np.int64)
         for b in batches:
-            for t in b.column(0):
-                rows[reader.terms(t.as_py())] += 1  # once a row, however often a number stands there
+            for terms in reader.terms_of(t.as_py() for t in b.column(0)):
+                rows[terms] += 1  # once a row, however often a number stands there
         found = np.flatnonzero(rows)
         yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(rows[found])], ["term", "rows"])
 
@@ -298,12 +416,11 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "d
     found = document_frequencies(docs, numbers, text)
     total = docs.count()
     weight = (np.log((1 + total) / (1 + found)) + 1) * evidence_of(n0, n1, got.get(0, 0), got.get(1, 0))
-    shared = spark.sparkContext.broadcast(numbers)
+    shared = spark.sparkContext.broadcast(Reader(numbers))
 
     def count(batches):
-        reader = Reader(shared.value)
         for b in batches:
-            own = [reader.counts(t.as_py()) for t in b.column(2)]
+            own = list(shared.value.counts_of(t.as_py() for t in b.column(2)))
             arrays = [pa.array([o[c] for o in own], pa.list_(pa.int32())) for c in (0, 1)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *arrays], ["id", "y", "t", "n"])
 
@@ -326,15 +443,14 @@ def score(docs: DataFrame, index: Index, text: str = "text", doc_id: str = "doc_
     found = StructType.fromDDL("score double, predicted int, evidence array<struct<doc_id:string,similarity:double,toxic:int>>")
     schema = StructType([work.schema["doc_id"], *found.fields, *([work.schema["row"]] if whole_rows else [])])
     evidence = pa.list_(pa.struct([("doc_id", pa.string()), ("similarity", pa.float64()), ("toxic", pa.int32())]))
-    shared = docs.sparkSession.sparkContext.broadcast(index)
+    shared = docs.sparkSession.sparkContext.broadcast((replace(index, numbers={}), Reader(index.numbers)))
 
     def run(batches):
-        own = shared.value
-        reader = Reader(own.numbers)
+        own, reader = shared.value
         for b in batches:
             scores, why = [], []
-            for t in b.column(1):
-                places, near = own.nearest(*own.vector(*reader.counts(t.as_py())), NEIGHBOURS)
+            for counted in reader.counts_of(t.as_py() for t in b.column(1)):
+                places, near = own.nearest(*own.vector(*counted), NEIGHBOURS)
                 scores.append(own.calibrated(own.vote(places, near)))
                 why.append([{"doc_id": str(own.ids[p]), "similarity": s, "toxic": int(own.labels[p])} for p, s in zip(places[:NEIGHBOURS].tolist(), near[:NEIGHBOURS].tolist())])
             yield pa.RecordBatch.from_arrays(

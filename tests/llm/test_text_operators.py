@@ -3,6 +3,8 @@
 import hashlib
 import random
 import re
+import time
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -339,6 +341,57 @@ def test_block_max_search_is_exact():
     assert index.calibrated(0.0) <= index.calibrated(0.5) <= index.calibrated(1.0)
 
 
+def test_reader_counts_as_splitting_does():
+    """Words of any script, length and hash, in texts read together and in pieces, against plain splitting."""
+    rng = random.Random(6)
+    known = ["mit", "w1", "straße", "наука", "数学の本", "𝒳abc𝒳", "i̇stan", "a_b", "x" * 64, "y" * 65, "z" * 300, "herereat", "ab", "9½"]
+    numbers = {t: i for i, t in enumerate(sorted({t for w in known for t in toxicity.terms_of(w)} | {"^lone", "^lonel"}))}
+    words = [*known, "MIT", "İSTAN", "mi", "heresy", "herereats", "x" * 65, "y" * 64, "y" * 66, "z" * 299 + "ж", "lone", "lonely", "науки", "ΑΣ", "", "e\u0301t", "\U0001f600"]
+    texts = [None, "", " ", "\n", *known, "-".join(known)]
+    texts += ["".join(rng.choice(words) + rng.choice(" \n.,\u00a0\u3000—") for _ in range(rng.randrange(60))) for _ in range(300)]
+    texts.append(" ".join(rng.choice(words[:12]) for _ in range(60000)))
+
+    def plain(text):
+        out = {}
+        for w in re.findall(r"\w+", (text or "").lower()):
+            for t in toxicity.terms_of(w):
+                if t in numbers:
+                    out[numbers[t]] = out.get(numbers[t], 0) + 1
+        return sorted(out.items())
+
+    reader = toxicity.Reader(numbers)
+    got = list(reader.counts_of(texts))
+    assert len(texts[-1]) > 2 * toxicity.PIECE and len(got) == len(texts)
+    for text, (terms, counts) in zip(texts, got):
+        assert list(zip(terms.tolist(), counts.tolist())) == plain(text)
+    assert all(len(t) == 0 for t, _ in toxicity.Reader({}).counts_of(texts))
+    # words with the hash of a known one, of its length too, are not taken for it
+    reader._hash = lambda characters, size: np.full(len(size), reader.tables[0].keys[0])
+    assert len(next(reader.counts_of([" ".join("q" * n for n in range(1, 66))]))[0]) == 0
+
+
+def test_reading_costs_little_more_than_splitting():
+    """Words are looked up together: reading takes less than twice as long as splitting and counting words alone."""
+    rng = random.Random(7)
+    syllables = ["tion", "er", "ou", "ment", "the", "re", "ing", "an", "qu", "ci", "ón", "st"]
+    vocabulary = ["".join(rng.choice(syllables) for _ in range(rng.randrange(1, 5))) for _ in range(60000)]
+    numbers = {t: i for i, t in enumerate(sorted({t for w in vocabulary[:50000] for t in toxicity.terms_of(w)}))}
+    texts = [" ".join(rng.choice(vocabulary) for _ in range(400)) for _ in range(500)]
+    reader = toxicity.Reader(numbers)
+
+    def seconds(f):
+        took = []
+        for _ in range(3):
+            began = time.process_time()
+            f()
+            took.append(time.process_time() - began)
+        return min(took)
+
+    plain = seconds(lambda: [Counter(re.findall(r"\w+", t.lower())) for t in texts])
+    took = seconds(lambda: list(reader.counts_of(texts)))
+    assert took < 2 * plain, (took, plain)
+
+
 def test_document_frequencies_count_every_row(spark, odd):
     numbers = {t: i for i, t in enumerate(("same", "^same", "mit", "w1", "absent"))}
     assert toxicity.document_frequencies(odd.repartition(3), numbers).tolist() == [3, 3, 2, 1, 0]
